@@ -454,9 +454,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ready = ready.drop(text_col)
     small = ready.select("_sa_id", "_sa_sum", "_sa_group", "_sa_text")
     by_doc = ready.groupBy("_sa_group")
-    thin = small.groupBy("_sa_group")
     blocks = small.mapInArrow(_anchors(length, k, buckets), BLOCK).repartition(buckets, "bucket").mapInArrow(_meet(length), BLOCK)
-    blocks = thin.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
+    blocks = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
     blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
     out = T.StructType([ready.schema["_sa_text" if c == text_col else c] if c != text_col else T.StructField(text_col, T.StringType()) for c in carried] + [T.StructField(n, t) for n, t in added])
     keep = ["_sa_text" if c == text_col else c for c in carried]
