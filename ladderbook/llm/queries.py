@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
+from .packing import pack
+from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,3 +23,18 @@ def query(f):
 def op1_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup(docs, with_kept=False).drop("text")
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
