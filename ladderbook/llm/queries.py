@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from . import langid
 from .common import table
 from .packing import pack
 from .simhash import near_duplicates
@@ -38,3 +40,14 @@ def op6_token_counts(spark, sf_dir):
 @query
 def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _fold(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
