@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality
 from .common import table
+from .html_text import extract
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
@@ -60,3 +61,8 @@ def op8_quality(spark, sf_dir):
     model = quality.fit(docs, labels)
     scored = quality.score(docs, model).drop("text")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query
+def op10_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
