@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import langid, quality
+from .ann import nearest
 from .common import table
 from .html_text import extract
 from .packing import pack
@@ -66,3 +67,8 @@ def op8_quality(spark, sf_dir):
 @query
 def op10_html_text(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op5_ann(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
