@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, mixing, quality
 from .ann import nearest
 from .common import table
 from .html_text import extract
@@ -72,3 +72,67 @@ def op10_html_text(spark, sf_dir):
 @query
 def op5_ann(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: fixed values: the mixture of op4 and of the pipeline
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2}
+
+
+def domain_of(source):
+    """Four domains by the number in a source's name; d0 for a source without one."""
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1)
+    return F.concat(F.lit("d"), (F.when(number == "", "0").otherwise(number).cast("bigint") % 4).cast("string"))
+
+
+def mixture(docs, total, epochs, seed):
+    weights = (mixing.weight_of("domain", DOMAIN_WEIGHTS, 1), mixing.weight_of("lang", LANG_WEIGHTS, 1), F.lit(1).cast("bigint"))
+    return mixing.mix(docs, total, epochs, seed, domain=domain_of(F.col("source")), weights=weights)
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixture(docs, F.expr("tokens * 3 div 2"), 2, 7)
+
+
+def _parted_sql(nodes: str, parent: str, name: str) -> str:
+    """DuckDB: the children's shares of `budget`."""
+    order = f"partition by {parent} order by cast(cap as double) / weight, {name}"
+    filled = f"""select *, cast(cap as hugeint) * sum(weight) over ({order} rows between current row and unbounded following)
+        <= cast(weight as hugeint) * (budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)) as filled from {nodes}"""
+    return f"""select *, case when filled then cap else cast((cast(budget - coalesce(sum(case when filled then cap end) over (partition by {parent}), 0) as hugeint) * weight)
+        // sum(case when not filled then weight end) over (partition by {parent}) as bigint) end as share from ({filled})"""
+
+
+def _case_sql(column: str, weights: dict) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in weights.items()) + " else 1 end"
+
+
+ORACLES["op4_mixing"] = f"""
+with lean as (
+  select doc_id, (coalesce(strlen(text), 0) + 3) // 4 as n_tokens, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         'd' || (coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 4) as domain
+  from documents),
+leaves as (
+  select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens, cast(sum(n_tokens) * 2 as bigint) as cap, 1 as weight from lean group by all),
+langs as (
+  select domain, lang, cast(sum(cap) as bigint) as cap, {_case_sql("lang", LANG_WEIGHTS)} as weight from leaves group by domain, lang),
+domains as (
+  select 0 as root, domain, cast(sum(cap) as bigint) as cap, {_case_sql("domain", DOMAIN_WEIGHTS)} as weight,
+         (select cast(sum(tokens) * 3 // 2 as bigint) from leaves) as budget from langs group by domain),
+d as ({_parted_sql("domains", "root", "domain")}),
+lb as (select l.*, d.share as budget from langs l join d using (domain)),
+l as ({_parted_sql("lb", "domain", "lang")}),
+sb as (select s.*, l.share as budget from leaves s join l using (domain, lang)),
+s as ({_parted_sql("sb", "domain, lang", "source")}),
+bought as (
+  select domain, lang, source, share // greatest(tokens, 1) as whole, share % greatest(tokens, 1) as rest from s),
+spots as (
+  select lean.*, whole, rest, md5('7:' || whole || ':' || coalesce(cast(doc_id as varchar), '')) as spot from lean join bought using (domain, lang, source)),
+runs as (
+  select *, sum(n_tokens) over (partition by domain, lang, source order by spot) as upto from spots),
+times as (
+  select *, whole + case when upto <= rest then 1 else 0 end as times from runs)
+select doc_id, domain, lang, source, n_tokens, cast(unnest(range(times)) as integer) as epoch from times where times > 0
+"""
