@@ -9,6 +9,7 @@ from . import langid, mixing, quality
 from .ann import nearest
 from .common import table
 from .html_text import extract
+from .media import read_media, store_texts
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
@@ -136,3 +137,11 @@ times as (
   select *, whole + case when upto <= rest then 1 else 0 end as times from runs)
 select doc_id, domain, lang, source, n_tokens, cast(unnest(range(times)) as integer) as epoch from times where times > 0
 """
+
+
+@query
+def op9_media(spark, sf_dir):
+    stored = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = stored.withColumns({"media_bytes": F.octet_length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
+    read = read_media(digests, with_tensor=False)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
