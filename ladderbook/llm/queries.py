@@ -27,7 +27,7 @@ def query(f):
 @query
 def op1_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs, with_kept=False).drop("text")
+    return suffix_dedup(docs, kept_as=None).drop("text")
 
 
 @query

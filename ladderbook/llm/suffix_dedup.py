@@ -388,7 +388,7 @@ def _sorted_windows(p, body, at, chosen, lane_sizes, length):
     return _ranges(doc[later], total[later], p["group"][chosen][own], start[later], start[later] + length)
 
 
-def _cut(keep: list[str], schema: pa.Schema, with_kept: bool):
+def _cut(keep: list[str], schema: pa.Schema, kept_as: str | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         body, offsets = raw_bytes(text_array(left.column("_sa_text")))
         r = _joined([unpacked(x, RANGE) for x in right.column("payload").to_pylist()], RANGE)
@@ -413,19 +413,21 @@ def _cut(keep: list[str], schema: pa.Schema, with_kept: bool):
             removed.append(sum(e - s for s, e in cuts))
             spans.append(len(cuts))
             digests.append(digest.hexdigest())
-            if with_kept:
-                kept.append(b"".join(rest))
+            if kept_as:
+                left_over = b"".join(rest)
+                kept.append(left_over if kept_as == "bytes" else left_over.decode("utf-8", "ignore"))
         cols = [left.column(n) for n in keep]
         cols += [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-        if with_kept:
-            cols.append(pa.array(kept, pa.binary()))
+        if kept_as:
+            cols.append(pa.array(kept, schema[-1].type))
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_kept: bool = True) -> DataFrame:
-    """Every row of docs, with n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the remaining bytes.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, kept_as: str | None = "bytes") -> DataFrame:
+    """Every row of docs, with n_bytes, n_removed, n_spans, kept_sha256 and kept: the remaining bytes (kept_as
+    "bytes"), their text less the parts of cut characters ("text"), or no such column (None).
 
     A byte goes when a `length`-byte string that covers it also starts earlier: in a document of
     smaller id, or in the same one before. Strings are judged on the input.
@@ -441,7 +443,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("length must be from 40 to 255")
     k = K
     added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
-    added += [("kept", T.BinaryType())] * with_kept
+    if kept_as:
+        added.append(("kept", T.BinaryType() if kept_as == "bytes" else T.StringType()))
     carried = [c for c in docs.columns if c not in dict(added)]
     size = total_bytes(docs, text_col)
     groups = max(64, size // GROUP_BYTES)
@@ -459,4 +462,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
     out = T.StructType([ready.schema["_sa_text" if c == text_col else c] if c != text_col else T.StructField(text_col, T.StringType()) for c in carried] + [T.StructField(n, t) for n, t in added])
     keep = ["_sa_text" if c == text_col else c for c in carried]
-    return by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_cut(keep, to_arrow_schema(out), with_kept), out)
+    return by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_cut(keep, to_arrow_schema(out), kept_as), out)
