@@ -4,7 +4,9 @@ Centroids and codebooks are fitted on a bounded sample. Every vector goes to the
 centroid, and its residual is stored as one byte a subspace. A query visits its nearest lists, scores
 their codes by tables of its distances to the codebooks, and the best of all lists are ranked again
 by exact cosine. Equal vectors share one entry, which stands for all of them: it keeps the smallest
-ids, as many as a result can hold. Lists are dealt out in shards of bounded size.
+ids, as many as a result can hold. The entries are dealt out by a hash in shards of bounded size, each
+with its own lists; as the best of a query are spread over the shards at random, each shard returns
+its part of them and some deviations more.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ragged, written
 from .words import sample
 
 SAMPLE = 16_384  # vectors that the index is fitted on (the sample's documented bound)
@@ -24,9 +26,8 @@ LISTS = 1024  # most lists
 VISITED = 0.7  # share of the lists that a query visits, 8 at least: vectors without clusters need so many for a recall of 0.9
 SUBSPACES = 16
 RERANKED = 300  # best of all lists by code that are ranked again exactly
-SHARD = 20_000  # entries of a shard of a list
+SHARD = 20_000  # entries of a shard
 _CODED = pa.schema([("rep", pa.int64()), ("list", pa.int32()), ("code", pa.binary())])
-_PROBE = pa.schema([("rep", pa.int64()), ("list", pa.int32()), ("vector", pa.list_(pa.float32()))])
 _FOUND = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("near", pa.float32())])
 
 
@@ -93,49 +94,47 @@ def _code(shared):
     return run
 
 
-def _probe(shared):
-    def run(batches):
-        index = shared.value
-        lists, width = index.centroids.shape
-        visits = min(lists, max(8, int(np.ceil(VISITED * lists))))
-        for batch in batches:
-            vectors = batch.column("vector")
-            near = _unit(_matrix(vectors, width)) @ index.centroids.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, :visits].astype(np.int32)
-            row = np.repeat(np.arange(len(best)), best.shape[1])
-            for i in range(0, len(row), 1 << 14):
-                take = pa.array(row[i : i + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), pa.array(best.ravel()[i : i + (1 << 14)]), vectors.take(take).cast(pa.list_(pa.float32()))], schema=_PROBE)
-
-    return run
+def _search(shared, shards: int):
+    share = RERANKED / shards
+    most = min(RERANKED, int(np.ceil(share + 5 * np.sqrt(share) + 5)))
 
-
-def _search(shared):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         index = shared.value
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], schema=_FOUND)
-        reps = left.column("rep").to_numpy()
-        order = np.argsort(reps)
-        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)[order]
-        reps = reps[order]
-        q = _unit(_matrix(right.column("vector").combine_chunks(), index.centroids.shape[1]))
-        base = q @ index.centroids[right.column("list")[0].as_py()]
-        tables = [q[:, index.edges[k] : index.edges[k + 1]] @ book.T for k, book in enumerate(index.books)]
+        lists, width = index.centroids.shape
+        visits = min(lists, max(8, int(np.ceil(VISITED * lists))))
+        reps, home = left.column("rep").to_numpy(), left.column("list").to_numpy()
+        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
+        order = np.lexsort((reps, home))
+        reps, home, codes = reps[order], home[order], np.ascontiguousarray(codes[order].T)
+        start = np.searchsorted(home, np.arange(lists + 1))
         queries = right.column("rep").to_numpy()
+        q = _unit(_matrix(right.column("vector").combine_chunks(), width))
         out = []
-        for i in range(0, len(q), 64):
-            near = np.repeat(base[i : i + 64, None], len(reps), 1)
-            for k, table in enumerate(tables):
-                near += table[i : i + 64][:, codes[:, k]]
-            keep = min(RERANKED, len(reps))
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(reps) else np.broadcast_to(np.arange(keep), near.shape)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[i : i + 64], keep)), pa.array(reps[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], schema=_FOUND))
+        for i, asks in enumerate(queries):
+            base = index.centroids @ q[i]
+            best = np.argpartition(-base, visits - 1)[:visits]
+            entries = ragged(start[best], start[best + 1] - start[best])
+            near = base[home[entries]]
+            for k, book in enumerate(index.books):
+                near += (book @ q[i, index.edges[k] : index.edges[k + 1]])[codes[k][entries]]
+            if len(entries) > most:
+                top = np.lexsort((reps[entries], -near))[:most] if len(entries) < 4 * most else _top(near, reps[entries], most)
+                entries, near = entries[top], near[top]
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(entries), asks)), pa.array(reps[entries]), pa.array(near.astype(np.float32))], schema=_FOUND))
         return pa.Table.from_batches(out, schema=_FOUND)
 
     return run
 
 
+def _top(near: np.ndarray, reps: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest, ties to the smaller id."""
+    bound = np.partition(near, len(near) - most)[len(near) - most]
+    some = np.flatnonzero(near >= bound)
+    return some[np.lexsort((reps[some], -near[some]))[:most]]
+
+
 def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest others by cosine of every row for which the condition `queries` holds.
 
@@ -165,12 +164,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     chosen.sort(key=lambda r: r["key"])
     shared = spark.sparkContext.broadcast(fit(_unit(np.array([r["v"] for r in chosen], float)).astype(np.float32), total))
     coded = written(entries.mapInArrow(_code(shared), "rep bigint, list int, code binary"), "codes")
-    sizes = coded.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))  # at most LISTS rows
-    sharded = coded.join(F.broadcast(sizes), "list").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).select("rep", "list", "shard", "code")
-    asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi")
-    probes = asked.mapInArrow(_probe(shared), "rep bigint, list int, vector array<float>").join(F.broadcast(sizes), "list")
-    probes = probes.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).select("rep", "list", "shard", "vector")
-    found = sharded.groupBy("list", "shard").cogroup(probes.groupBy("list", "shard")).applyInArrow(_search(shared), "query bigint, rep bigint, near float")
+    shards = max(1, -(-total // SHARD))
+    sharded = coded.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+    asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = sharded.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search(shared, shards), "query bigint, rep bigint, near float")
     best = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     pairs = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= RERANKED).select("query", "rep")
     mine = members.select(F.col("rep").alias("query"), F.col("v").alias("w"))
