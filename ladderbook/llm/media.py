@@ -15,7 +15,7 @@ from . import progressive_jpeg as jpeg
 from .common import ragged, raw_bytes, slices, text_array
 
 UNIT = 192  # a payload's length is a multiple of this
-WRITE, READ = 1 << 20, 4 << 20  # bytes that are written and read at a time
+WRITE, READ = 1 << 19, 2 << 20  # bytes that are written and read at a time
 
 
 def _pass(batch: pa.RecordBatch, without: tuple[str, ...], new: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
