@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE = 8  # decimal places of prices and quantities
@@ -57,19 +57,35 @@ def _levels(message: Column, names: tuple[str, str]) -> Column:
     return F.coalesce(F.transform(pairs, lambda x: F.struct(scale_decimal(x["pair"][0]).alias("price"), scale_decimal(x["pair"][1]).alias("qty"))), F.array().cast("array<struct<price:bigint,qty:bigint>>"))
 
 
-def parse_depth(payload: Column) -> Column:
-    """STRUCT first_id, final_id, pu, last_id, event_ms, bids, asks, valid.
+def settled(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that later filters and projections read and do not work out again.
+
+    A filter on a computed column is otherwise moved below it, with the whole computation in the filter too.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def with_message(df: DataFrame, payload: str, only: Column | None = None) -> DataFrame:
+    """df with message: STRUCT first_id, final_id, pu, last_id, event_ms, bids, asks, valid (null where not `only`).
 
     Absent ids are 0, absent sides empty. One bad level makes the message invalid, as do broken JSON
-    and a message with neither ids nor levels.
+    and a message with neither ids nor levels. Each payload is parsed once: the steps are columns of
+    their own, which the optimizer does not repeat.
     """
-    message = F.try_parse_json(payload)
-    number = lambda n: F.coalesce(F.try_variant_get(message, f"$.{n}", "bigint"), F.lit(0).cast("bigint"))
-    bids, asks = _levels(message, ("b", "bids")), _levels(message, ("a", "asks"))
+    wanted = only if only is not None else F.lit(True)
+    df = df.withColumn("_json", F.when(wanted, F.try_parse_json(F.col(payload))))
+    message = F.col("_json")
+    df = df.withColumns({"_bids": _levels(message, ("b", "bids")), "_asks": _levels(message, ("a", "asks"))})
+    fields = {"U": "first_id", "u": "final_id", "pu": "pu", "lastUpdateId": "last_id", "E": "_e", "T": "_t"}
+    df = df.withColumns({c: F.coalesce(F.try_variant_get(message, f"$.{n}", "bigint"), F.lit(0).cast("bigint")).alias(c) for n, c in fields.items() for c in [f"_m_{c}"]})
+    bids, asks = F.col("_bids"), F.col("_asks")
     bad = lambda side: F.exists(side, lambda x: x["price"].isNull() | x["qty"].isNull())
-    some = (number("u") != 0) | (number("lastUpdateId") != 0) | (F.size(bids) > 0) | (F.size(asks) > 0)
-    event = F.coalesce(F.nullif(number("E"), F.lit(0)), number("T"))
-    return F.struct(number("U").alias("first_id"), number("u").alias("final_id"), number("pu").alias("pu"), number("lastUpdateId").alias("last_id"), event.alias("event_ms"), bids.alias("bids"), asks.alias("asks"), F.coalesce(message.isNotNull() & some & ~bad(bids) & ~bad(asks), F.lit(False)).alias("valid"))
+    some = (F.col("_m_final_id") != 0) | (F.col("_m_last_id") != 0) | (F.size(bids) > 0) | (F.size(asks) > 0)
+    event = F.coalesce(F.nullif(F.col("_m__e"), F.lit(0)), F.col("_m__t"))
+    ids = [F.col(f"_m_{c}").alias(c) for c in ("first_id", "final_id", "pu", "last_id")]
+    valid = F.coalesce(message.isNotNull() & some & ~bad(bids) & ~bad(asks), F.lit(False))
+    struct = F.struct(*ids, event.alias("event_ms"), bids.alias("bids"), asks.alias("asks"), valid.alias("valid"))
+    return settled(df, "message", F.when(wanted, struct)).drop("_json", "_bids", "_asks", *[f"_m_{c}" for c in fields.values()])
 
 
 def trade_event_ms(payload: Column) -> Column:
@@ -93,7 +109,7 @@ def instrument_id(symbol: Column) -> Column:
     """FNV-1a of the symbol's bytes in 31 bits."""
     # fixed values: the offset and the prime of that hash
     step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    letters = F.when(F.length(symbol) > 0, F.split(symbol, "(?!^)")).otherwise(F.array().cast("array<string>"))
+    letters = F.when(F.length(symbol) > 0, F.split(symbol, "(?<=.)(?=.)")).otherwise(F.array().cast("array<string>"))
     return F.aggregate(letters, F.lit(2166136261).cast("bigint"), step).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 

@@ -1,10 +1,332 @@
-"""Registered queries of the order-book jobs."""
+"""Registered queries of the order-book jobs, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import audits, levels
+from ..operators.rebuild import Rebuilt, numbered, parse_market, parse_snapshots, rebuild
+from ..sources import adapters as A
+from ..sources import captures
+from ..sources.storage import shared_dir, written
+from . import oracles as O
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+E6 = 1_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _folder(spark, what: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+# ------------------------------------------------------------------ sources and sinks
+
+
+@query(O.over_feed("select symbol, kind as stream_kind, ep as conn_epoch, event_id + 1 as conn_seq, tsec as recv_tsec, cast(tnsec as integer) as recv_tnsec from feed"))
+def market_scan(spark, sf_dir):
+    """A capture written as CSV and read again."""
+    path = _folder(spark, "market")
+    captures.write_market(A.market(spark, sf_dir).drop("capture_id"), path)
+    names = [f.strip().split(" ")[0] for f in captures.MARKET.split(",") if not f.strip().startswith("venue")]
+    types = dict(f.strip().split(" ") for f in captures.MARKET.split(","))
+    back = spark.read.options(header=True, quote='"', escape='"').schema(", ".join(f"{n} {types[n]}" for n in names)).csv(path)
+    return back.select("symbol", "stream_kind", "conn_epoch", "conn_seq", "recv_tsec", "recv_tnsec")
+
+
+@query(O.over_feed(f"select symbol, first_id - 1 as last_id, 20 as n_bids, (p - 1) * {E6} as best_bid from feed where {A.triggers_sql('spot')}"))
+def snapshot_scan(spark, sf_dir):
+    """A sidecar written as CSV, read again and parsed."""
+    path = _folder(spark, "capture_snapshots")
+    captures.write_snapshots(A.snapshots(spark, sf_dir), path)
+    rows = parse_snapshots(captures.read_snapshots(spark, path)).filter("valid")
+    return rows.select("symbol", F.col("message.last_id").alias("last_id"), F.size("message.bids").alias("n_bids"), F.col("message.bids")[0]["price"].alias("best_bid"))
+
+
+@query(O.over_feed("select distinct symbol, cast(substr(symbol, 4, 1) as integer) as pos from feed where sx < 6"))
+def symbol_list(spark, sf_dir):
+    lists = A.feed(spark, sf_dir).selectExpr("'sym0usdt,,SYM1USDT,sym1usdt,sym2usdt,SYM3USDT,sym4usdt,' || lower(symbol) || ',sym5usdt' as text").distinct()
+    return captures.symbol_list(lists).select(F.col("pos").cast("int").alias("pos"), "symbol").filter("pos < 6")
+
+
+def audit_rows(frames: DataFrame, policy: str = "recv") -> DataFrame:
+    """Raw frames as market rows; frames that are no envelope go to quarantined()."""
+    stream, data = C.split_envelope(F.col("frame"))
+    rows = C.settled(frames, "parts", F.struct(stream.alias("stream"), data.alias("payload_json"))).select("*", "parts.*").filter("stream is not null")
+    rows = rows.select("*", C.symbol_of(F.col("stream")).alias("symbol"), C.classify_stream(F.col("stream")).alias("stream_kind"))
+    rows = C.with_message(rows, "payload_json", F.col("stream_kind") != "trade")
+    event = F.when(F.col("stream_kind") == "trade", C.trade_event_ms(F.col("payload_json"))).otherwise(F.when(F.col("message.valid"), F.col("message.event_ms")).otherwise(0))
+    sec, nsec = C.time_policy(policy, event, F.col("recv_tsec"), F.col("recv_tnsec"))
+    return rows.select(sec.alias("tsec"), nsec.alias("tnsec"), F.lit("spot").alias("venue"), "stream_kind", "shard_id", "conn_epoch", "conn_seq", "symbol", "payload_json")
+
+
+def quarantined(frames: DataFrame) -> DataFrame:
+    """Frames that are no envelope, and depth messages that are broken, with the reason."""
+    stream, data = C.split_envelope(F.col("frame"))
+    rows = C.settled(frames, "parts", F.struct(stream.alias("stream"), data.alias("data"))).select("*", "parts.*").drop("parts")
+    depth = F.col("stream").isNotNull() & C.classify_stream(F.col("stream")).isin("depth_diff", "depth5")
+    rows = C.with_message(rows, "data", depth)
+    return rows.withColumn("reason", F.when(F.col("stream").isNull(), "envelope").when(~F.col("message.valid"), "payload")).filter("reason is not null").drop("message")
+
+
+_EVENT_MS = "(us // 1000 + 1704067200000)"
+
+
+@query(O.over_feed(f"select case when kind = 'depth5' then tsec else {_EVENT_MS} // 1000 end as tsec, cast(case when kind = 'depth5' then tnsec else {_EVENT_MS} % 1000 * 1000000 end as integer) as tnsec, kind as stream_kind, ep as conn_epoch, event_id + 1 as conn_seq, symbol from feed"))
+def capture_batch(spark, sf_dir):
+    """Frames to audit rows under the event-time policy."""
+    return audit_rows(A.frames(spark, sf_dir), "event").select("tsec", "tnsec", "stream_kind", "conn_epoch", "conn_seq", "symbol")
+
+
+@query(O.over_feed("select symbol, kind as stream_kind, count(*) as n from feed group by all"))
+def stream_capture(spark, sf_dir):
+    """The same frames through a streaming query, into files."""
+    from ..streaming.capture import capture_stream
+
+    return capture_stream(spark, A.frames(spark, sf_dir)).groupBy("symbol", "stream_kind").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ fields
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, case when event_id % 101 <> 0 then lower(symbol) || case kind when 'trade' then '@trade' when 'depth5' then '@depth5@100ms' else '@depth@100ms' end end as stream, case when event_id % 101 <> 0 then symbol end as symbol from feed"))
+def split_envelope(spark, sf_dir):
+    stream, _ = C.split_envelope(F.col("frame"))
+    return A.frames(spark, sf_dir, "malformed").select("conn_seq", stream.alias("stream")).withColumn("symbol", C.symbol_of(F.col("stream")))
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, kind, case kind when 'depth_diff' then 'D' when 'depth5' then 'S' else 'T' end as letter from feed"))
+def classify_stream(spark, sf_dir):
+    stream, _ = C.split_envelope(F.col("frame"))
+    return A.frames(spark, sf_dir).select("conn_seq", C.classify_stream(stream).alias("kind")).withColumn("letter", C.type_letter(F.col("kind")))
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, kind from feed"))
+def classify_payload(spark, sf_dir):
+    return A.market(spark, sf_dir).select("conn_seq", C.classify_payload(F.col("payload_json")).alias("kind"))
+
+
+_BAD = "(event_id % 101 = 0 or event_id % 103 = 0)"
+
+
+@query(O.over_feed(f"""select event_id + 1 as conn_seq, not {_BAD} as valid, case when not {_BAD} then case when kind = 'depth5' then 0 else first_id end end as first_id,
+  case when not {_BAD} then case when kind = 'depth5' then 0 else final_id end end as final_id, case when not {_BAD} then case when kind = 'depth5' then dn * 10 else 0 end end as last_id,
+  case when not {_BAD} then case when kind = 'depth5' then p - 1 else b1 end * {E6} end as bid, case when not {_BAD} then case when kind = 'depth5' then (k + 1) * 100 else q end * {E6} end as bid_size from feed where kind <> 'trade'"""))
+def parse_depth(spark, sf_dir):
+    rows = parse_market(A.market(spark, sf_dir, variant="malformed").filter("stream_kind <> 'trade'"))
+    m = lambda c: F.when(F.col("valid"), F.col(f"message.{c}"))
+    return rows.select("conn_seq", "valid", *[m(c).alias(c) for c in ("first_id", "final_id", "last_id")], F.when(F.col("valid"), F.col("message.bids")[0]["price"]).alias("bid"), F.when(F.col("valid"), F.col("message.bids")[0]["qty"]).alias("bid_size"))
+
+
+@query(O.over_feed(f"select event_id, case when event_id % 7 = 0 then null else cents * {E6} end as scaled from feed"))
+def scale_decimal(spark, sf_dir):
+    text = "concat(case when event_id % 7 = 0 then '+' else '000' end, cents div 100, '.', lpad(cast(cents % 100 as string), 2, '0'), '0000000000')"
+    return A.feed(spark, sf_dir).selectExpr("event_id", f"{text} as text").select("event_id", C.scale_decimal(F.col("text")).alias("scaled"))
+
+
+@query(O.over_feed(f"select event_id + 1 as conn_seq, case when kind = 'depth5' then 0 else {_EVENT_MS} end as event_ms, case when kind = 'depth5' then 0 else {_EVENT_MS} // 1000 end as sec, cast(case when kind = 'depth5' then 0 else {_EVENT_MS} % 1000 * 1000000 end as integer) as nsec from feed"))
+def event_time(spark, sf_dir):
+    rows = parse_market(A.market(spark, sf_dir))
+    rows = rows.select("conn_seq", F.coalesce("message.event_ms", C.trade_event_ms(F.col("payload_json"))).alias("event_ms"))
+    sec, nsec = C.ms_to_time(F.col("event_ms"))
+    return rows.select("conn_seq", "event_ms", sec.alias("sec"), nsec.alias("nsec"))
+
+
+@query(O.over_feed(f"select event_id + 1 as conn_seq, case when kind = 'depth5' then tsec else {_EVENT_MS} // 1000 end as tsec, tsec as received from feed"))
+def time_policy(spark, sf_dir):
+    rows = parse_market(A.market(spark, sf_dir))
+    event = F.coalesce("message.event_ms", C.trade_event_ms(F.col("payload_json")))
+    recv = C.time_policy("recv", event, F.col("recv_tsec"), F.col("recv_tnsec"))[0]
+    return rows.select("conn_seq", C.time_policy("event", event, F.col("recv_tsec"), F.col("recv_tnsec"))[0].alias("tsec"), recv.alias("received"))
+
+
+@query(O.over_feed(f"select distinct symbol, {O._ID} as id from feed"))
+def instrument_id(spark, sf_dir):
+    return A.feed(spark, sf_dir).select("symbol").distinct().select("symbol", C.instrument_id(F.col("symbol")).alias("id"))
+
+
+@query("""select event_id, '"' || replace(props, '"', '""') || '"' as escaped, event_type as plain from events""")
+def csv_escape(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", C.csv_escape(F.col("props")).alias("escaped"), C.csv_escape(F.col("event_type")).alias("plain"))
+
+
+# ------------------------------------------------------------------ filters
+
+
+@query(O.over_feed("select symbol, count(*) as n from feed where symbol in ('SYM1USDT', 'SYM3USDT') group by symbol"))
+def symbol_semi(spark, sf_dir):
+    """Rows of listed symbols."""
+    listed = captures.symbol_list(spark.createDataFrame([("sym1usdt,SYM3USDT,sym9usdt",)], "text string"))
+    rows = A.market(spark, sf_dir).join(F.broadcast(listed), "symbol", "left_semi")  # a list that a user types
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(O.over_feed("select symbol, event_id + 1 as seq from feed where kind = 'depth_diff' and final_id <= pm"))
+def stale_diffs(spark, sf_dir):
+    found = audits.continuity(parse_market(A.market(spark, sf_dir))).filter("outcome = 'stale'")
+    return found.select("symbol", F.col("conn_seq").alias("seq"))
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, case when q = 0 then 0 else 4 end as live from feed where kind = 'depth_diff'"))
+def live_levels(spark, sf_dir):
+    """Levels of a diff that stand, not end."""
+    rows = parse_market(A.market(spark, sf_dir)).filter("stream_kind = 'depth_diff'")
+    alive = lambda side: F.size(F.filter(f"message.{side}", lambda x: x["qty"] != 0))
+    return rows.select("conn_seq", (alive("bids") + alive("asks")).alias("live"))
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, case when event_id % 101 = 0 then 'envelope' else 'payload' end as reason from feed where event_id % 101 = 0 or event_id % 103 = 0 and kind <> 'trade'"))
+def parse_errors(spark, sf_dir):
+    return quarantined(A.frames(spark, sf_dir, "malformed")).select("conn_seq", "reason")
+
+
+# ------------------------------------------------------------------ rebuilds
+
+
+def checkpoint(spark, sf_dir, **options) -> Rebuilt:
+    return rebuild(written(parse_market(A.market(spark, sf_dir)), "parsed"), **options)
+
+
+def with_sidecar(spark, sf_dir, venue: str, **options) -> Rebuilt:
+    return rebuild(written(parse_market(A.market(spark, sf_dir, venue)), "parsed"), written(parse_snapshots(A.snapshots(spark, sf_dir, venue)), "snapshots"), **options)
+
+
+def _book(found: Rebuilt) -> DataFrame:
+    return found.book.drop("capture_id", "venue")
+
+
+@query(O.book("checkpoint"))
+def rebuild_checkpoint(spark, sf_dir):
+    """Books without a sidecar: each depth5 row is a checkpoint."""
+    return _book(checkpoint(spark, sf_dir))
+
+
+@query(O.book("spot"))
+def rebuild_sidecar(spark, sf_dir):
+    return _book(with_sidecar(spark, sf_dir, "spot"))
+
+
+@query(O.book("usdm"))
+def rebuild_sidecar_usdm(spark, sf_dir):
+    return _book(with_sidecar(spark, sf_dir, "usdm", chunk=16))
+
+
+@query(f"select * from ({O.book('checkpoint', trades=True)}) where type = 'T'")
+def trade_rows(spark, sf_dir):
+    """The book at each trade."""
+    return _book(checkpoint(spark, sf_dir, trades=True)).filter("type = 'T'")
+
+
+@query(O.checks())
+def depth5_mismatch(spark, sf_dir):
+    """Depth5 rows beside the best bid of the book before them."""
+    return checkpoint(spark, sf_dir).checks.select("symbol", "seq", "book_bid", "depth5_bid")
+
+
+@query(O.over_feed("select symbol, event_id + 1 as conn_seq, " + ", ".join(O.STATE) + f" from (select *, {O._PARTIAL} from feed where kind = 'depth5')"))
+def depth5_rows(spark, sf_dir):
+    rows = parse_market(A.market(spark, sf_dir)).filter("stream_kind = 'depth5' and valid")
+    return rows.select("symbol", "conn_seq", *C.first_levels(F.col("message.bids"), ("bid", "bid_size")), *C.first_levels(F.col("message.asks"), ("ask", "ask_size")))
+
+
+@query(O.over_feed(f"select symbol, event_id + 1 as conn_seq, (p + 2) * {E6} as bid0, (p + 1) * {E6} as ask0 from feed where kind = 'depth5' and event_id % 3 = 0"))
+def crossed_rows(spark, sf_dir):
+    """Crossed books, in depth5 rows of which every third has a bid set over the asks."""
+    rows = depth5_rows(spark, sf_dir).withColumn("bid0", F.when(F.expr("(conn_seq - 1) % 3 = 0"), F.col("ask0") + E6).otherwise(F.col("bid0")))
+    return audits.crossed(rows).select("symbol", "conn_seq", "bid0", "ask0")
+
+
+@query(O.over_feed("select 'left' as only_in, 0 as n from feed where false"))
+def replay_diff(spark, sf_dir):
+    """A book written and read again against a second rebuild in other chunks: no difference."""
+    path = _folder(spark, "book")
+    captures.write_book(checkpoint(spark, sf_dir).book, path)
+    saved = spark.read.parquet(path).withColumn("symbol", F.col("symbol").cast("string"))
+    again = checkpoint(spark, sf_dir, chunk=7).book
+    return audits.difference(saved, again).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
+
+
+def _checkpoint_writes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from ..operators.sequencing import actions
+
+    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    done = written(actions(parsed).filter("action in ('apply', 'seed')"), "actions")
+    key = ["capture_id", "venue", "symbol"]
+    rows = parsed.withColumnsRenamed({"conn_epoch": "epoch", "conn_seq": "seq"}).select(*key, "epoch", "seq", "message")
+    return levels.last_writes(levels.exploded(done.join(rows, [*key, "epoch", "seq"]))), done.select(*key, "segment", "ordinal")
+
+
+@query(O.writes())
+def book_state(spark, sf_dir):
+    """Live levels at the end of each segment."""
+    return levels.state_at_end(_checkpoint_writes(spark, sf_dir)[0]).select("symbol", "segment", "side", "price", "qty")
+
+
+@query(O.spans())
+def level_lifetimes(spark, sf_dir):
+    return levels.lifetimes(_checkpoint_writes(spark, sf_dir)[0]).select("symbol", "segment", "side", "price", "ordinal", "qty", "until")
+
+
+@query(O.final_top5())
+def top5_final(spark, sf_dir):
+    """The best five levels a side at the end of each segment."""
+    live = levels.state_at_end(_checkpoint_writes(spark, sf_dir)[0])
+    return levels.best_levels(live, ["symbol", "segment"])
+
+
+# ------------------------------------------------------------------ audits
+
+
+@query(O.continuity("spot"))
+def gaps_spot(spark, sf_dir):
+    return audits.continuity(parse_market(A.market(spark, sf_dir))).select("symbol", F.col("conn_seq").alias("seq"), "outcome")
+
+
+@query(O.continuity("usdm"))
+def gaps_usdm(spark, sf_dir):
+    return audits.continuity(parse_market(A.market(spark, sf_dir, "usdm"))).select("symbol", F.col("conn_seq").alias("seq"), "outcome")
+
+
+@query(O.over_feed("select symbol, event_id + 1 as conn_seq, coalesce(ep <> before, false) as changed, cast(sum(case when ep <> before then 1 else 0 end) over (partition by symbol order by event_id) as bigint) as epoch_seg from (select *, lag(ep) over (partition by symbol order by event_id) as before from feed)"))
+def epoch_segments(spark, sf_dir):
+    return audits.epoch_segments(A.market(spark, sf_dir)).select("symbol", "conn_seq", "changed", "epoch_seg")
+
+
+@query(O.over_feed("select symbol, event_id + 1 as conn_seq, row_number() over (partition by symbol order by event_id) as \"seqNo\" from feed"))
+def book_seqno(spark, sf_dir):
+    return numbered(A.market(spark, sf_dir), ["conn_seq"], 1000).select("symbol", "conn_seq", F.col("seqNo").cast("bigint").alias("seqNo"))
+
+
+@query(O.over_feed("select ep as conn_epoch, count(*) as frames, min(event_id) + 1 as first_seq, max(event_id) + 1 as last_seq, max(event_id) - min(event_id) + 1 - count(*) as holes from feed group by ep"))
+def conn_numbering(spark, sf_dir):
+    return audits.conn_numbering(A.frames(spark, sf_dir)).drop("shard_id")
+
+
+@query(O.over_feed("select 0 as shard_id, ep as conn_epoch, count(*) as messages, count(distinct symbol) as symbols, count(distinct symbol) * 3 as streams, count(distinct symbol) * 3 > 17 as over from feed group by ep"))
+def shard_load(spark, sf_dir):
+    return audits.shard_load(A.market(spark, sf_dir), 17).drop("capture_id")
+
+
+@query(O.metrics())
+def metrics(spark, sf_dir):
+    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    found = rebuild(parsed)
+    return audits.metrics(parsed, found.actions, found.book, found.checks)
 
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    raise NotImplementedError
+FLAGSHIP = rebuild_checkpoint
