@@ -16,7 +16,7 @@ def scale_decimal(text: Column) -> Column:
     lean = F.regexp_replace(F.regexp_replace(text, "^(-?)0+(?=[0-9])", "$1"), rf"(\.[0-9]{{{SCALE}}})0+$", "$1")
     lean = F.regexp_replace(lean, r"\.$", "")
     number = lean.try_cast("decimal(38,8)")
-    return F.when(text.rlike(_DECIMAL), (number * F.lit(10**SCALE).cast("decimal(10,0)")).try_cast("bigint"))
+    return F.when(text.rlike(_DECIMAL), F.try_multiply(number, F.lit(10**SCALE).cast("decimal(10,0)")).try_cast("bigint"))
 
 
 def split_envelope(frame: Column) -> tuple[Column, Column]:
