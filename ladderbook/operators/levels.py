@@ -81,15 +81,47 @@ STATES = T.StructType(_FIELDS)
 _ARROW = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in _FIELDS])
 
 
-def _sweep(key: tuple, rows: pa.Table) -> pa.Table:
-    side, ordinal, price, qty = (rows.column(c).to_numpy() for c in ("side", "ordinal", "price", "qty"))
-    ords = np.unique(ordinal[side < 0])
-    cols: list = [pa.array([k.as_py()] * len(ords), pa.string()) for k in key[:3]] + [pa.array(np.full(len(ords), key[3].as_py())), pa.array(ords)]
-    for n, sign in ((0, -1), (1, 1)):
-        own = side == n
-        for table in _sweep_side(ords, ordinal[own], price[own], qty[own], sign):
-            cols += [pa.array(table[:, i]) for i in range(BEST)]
-    return pa.Table.from_arrays(cols, schema=_ARROW)
+def _sweep(batches):
+    """Chunks one after another, as they come in order; only the unfinished one is kept back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        first = _first_of_chunks(table)
+        held = table.slice(first[-1]).to_batches()
+        if len(first) > 1:
+            yield _swept(table.slice(0, first[-1]), first[:-1])
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield _swept(table, np.zeros(1, np.int64))
+
+
+def _first_of_chunks(table: pa.Table) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in (*_BOOK, "chunk"):
+        x = table.column(name).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _swept(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    side, ordinal, price, qty = (table.column(c).to_numpy() for c in ("side", "ordinal", "price", "qty"))
+    found, sizes = [], []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), table.num_rows]):
+        s, o = side[i:j], ordinal[i:j]
+        ords = np.unique(o[s < 0])
+        best = []
+        for n, sign in ((0, -1), (1, 1)):
+            own = s == n
+            best += _sweep_side(ords, o[own], price[i:j][own], qty[i:j][own], sign)
+        found.append(np.column_stack([ords, *best]))
+        sizes.append(len(ords))
+    rows = np.concatenate(found)
+    keys = table.select(_BOOK).take(pa.array(np.repeat(first, sizes)))
+    cols = [keys.column(c).combine_chunks() for c in _BOOK] + [pa.array(rows[:, k]) for k in range(rows.shape[1])]
+    return pa.Table.from_arrays(cols, schema=_ARROW).combine_chunks().to_batches()[0]
 
 
 def states(writes: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -108,4 +140,5 @@ def states(writes: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> DataFrame
     none = F.lit(0).cast("bigint")
     signs = marks.select(*_BOOK, number(F.col("ordinal")).alias("chunk"), F.lit(-1).alias("side"), "ordinal", none.alias("price"), none.alias("qty"))
     rows = own.unionByName(carried).unionByName(signs)
-    return rows.groupBy(*_BOOK, "chunk").applyInArrow(_sweep, STATES)
+    by = [*_BOOK, "chunk"]
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_sweep, STATES)
