@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SCALE = 8  # decimal places of prices and quantities
 _DECIMAL = rf"^-?(?=\.?[0-9])[0-9]*(\.[0-9]{{0,{SCALE}}}0*)?$"
+_SHORT = rf"^-?[0-9]{{1,9}}(\.[0-9]{{1,{SCALE}}})?$"
 _FRAME = r'^\s*\{\s*"stream"\s*:\s*"[^"]*"\s*,\s*"data"\s*:\s*(\{.*\})\s*\}\s*$'
 
 
@@ -15,8 +16,10 @@ def scale_decimal(text: Column) -> Column:
     # leading zeros are no digits of the number, trailing zeros beyond the scale none of its value
     lean = F.regexp_replace(F.regexp_replace(text, "^(-?)0+(?=[0-9])", "$1"), rf"(\.[0-9]{{{SCALE}}})0+$", "$1")
     lean = F.regexp_replace(lean, r"\.$", "")
-    number = lean.try_cast("decimal(38,8)")
-    return F.when(text.rlike(_DECIMAL), F.try_multiply(number, F.lit(10**SCALE).cast("decimal(10,0)")).try_cast("bigint"))
+    any_form = F.try_multiply(lean.try_cast("decimal(38,8)"), F.lit(10**SCALE).cast("decimal(10,0)")).try_cast("bigint")
+    # most numbers are short: their digits, filled up to the scale, are the result
+    short = F.concat(F.substring_index(text, ".", 1), F.rpad(F.when(text.contains("."), F.substring_index(text, ".", -1)).otherwise(""), SCALE, "0")).cast("bigint")
+    return F.when(text.rlike(_SHORT), short).when(text.rlike(_DECIMAL), any_form)
 
 
 def split_envelope(frame: Column) -> tuple[Column, Column]:

@@ -141,4 +141,5 @@ def states(writes: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> DataFrame
     signs = marks.select(*_BOOK, number(F.col("ordinal")).alias("chunk"), F.lit(-1).alias("side"), "ordinal", none.alias("price"), none.alias("qty"))
     rows = own.unionByName(carried).unionByName(signs)
     by = [*_BOOK, "chunk"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_sweep, STATES)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small partitions of much work are not to be merged
+    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(_sweep, STATES)

@@ -58,7 +58,9 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str, venue: str = "spot", variant: str = "") -> DataFrame:
     """The messages as a market table. variant `malformed` cuts some payloads short and breaks some prices."""
-    rows = feed(spark, sf_dir).selectExpr("*", ("',\"pu\":' || pu" if venue == "usdm" else "''") + " as usdm")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = feed(spark, sf_dir).repartition(parts, "event_id")  # few symbols leave the windows in few partitions
+    rows = rows.selectExpr("*", ("',\"pu\":' || pu" if venue == "usdm" else "''") + " as usdm")
     payload = f"({_PAYLOAD})"
     if variant == "malformed":
         payload = f"case when event_id % 101 = 0 then substr({payload}, 1, 20) when event_id % 103 = 0 then replace({payload}, '[[\"', '[[\"abc') else {payload} end"
