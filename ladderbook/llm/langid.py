@@ -21,7 +21,7 @@ from .common import raw_bytes, slices, text_array
 from .words import Known, codes, cut, sample, sums
 
 ORDER = 4
-SLICE = 4 << 20
+SLICE = 2 << 20  # bytes of text that are scored at a time
 PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound)
 LONGEST = 20_000  # characters of a training text
 SLACK = 1.5  # bits a character above the usual before a text is rejected, beside SIGMAS deviations
@@ -186,7 +186,7 @@ def measure(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.n
 _KNOWN: dict[int, Known] = {}
 
 
-def _predict(shared, mark: int):
+def _predict(shared, mark: int, text_col: str | None):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
@@ -211,8 +211,9 @@ def _predict(shared, mark: int):
                 scores.append(np.where(none, 0.0, 1 / odds))
                 rejected.append(none | (least > bound))
             found = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(rejected) if rejected else [], pa.bool_())]
-            kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
-            fields = [batch.schema.field(c) for c in batch.schema.names if c != "_text"]
+            names_in = {c: text_col if c == "_text" else c for c in batch.schema.names if c != "_text" or text_col}
+            kept = [batch.column(c) for c in names_in]
+            fields = [batch.schema.field(c).with_name(n) for c, n in names_in.items()]
             yield pa.RecordBatch.from_arrays(kept + found, schema=pa.schema([*fields, *schema]))
 
     return run
@@ -229,8 +230,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     return train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without text_col if not keep_text) with lang_pred, score (0 to 1) and rejected.
 
     Null texts and texts without a letter are `und`, score 0, rejected, as is everything if there is
     no model. Texts are read whole; repeated rows get one result each. Columns of docs by the
@@ -238,12 +239,14 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """
     import uuid
 
-    names = {"lang_pred", "score", "rejected", "_text"}
-    kept = docs.select(*[c for c in docs.columns if c not in names], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    if model is None:
-        return kept.drop("_text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql import types as T
 
-    out = T.StructType([f for f in kept.schema if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return kept.mapInArrow(_predict(shared, uuid.uuid4().int), out)
+    names = {"lang_pred", "score", "rejected", "_text", text_col}
+    kept = docs.select(*[c for c in docs.columns if c not in names], F.col(text_col).cast("string").alias("_text"))
+    if model is None:
+        kept = kept.withColumnRenamed("_text", text_col) if keep_text else kept.drop("_text")
+        return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = [T.StructField(text_col if f.name == "_text" else f.name, f.dataType) for f in kept.schema if f.name != "_text" or keep_text]
+    out = T.StructType(fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return kept.mapInArrow(_predict(shared, uuid.uuid4().int, text_col if keep_text else None), out)

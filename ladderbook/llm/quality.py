@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import ragged, raw_bytes, slices, text_array
 from .words import Known, codes, cut, sample, sums
 
-SLICE = 4 << 20
+SLICE = 2 << 20  # bytes of text that are scored at a time
 ROWS = 3_000  # labelled texts of the sample (its documented bound)
 LONGEST = 30_000  # characters of a training text
 BUCKETS = 1 << 17
@@ -164,7 +164,7 @@ def scores(texts: pa.Array, model: Model, known: Known) -> np.ndarray:
 _KNOWN: dict[int, Known] = {}
 
 
-def _score(shared, mark: int):
+def _score(shared, mark: int, text_col: str | None):
     def run(batches):
         model = shared.value
         if mark not in _KNOWN:
@@ -174,8 +174,8 @@ def _score(shared, mark: int):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
             found = [scores(texts.slice(i, j - i), model, _KNOWN[mark]) for i, j in slices(offsets, SLICE)]
-            names = [c for c in batch.schema.names if c != "_text"]
-            schema = pa.schema([*(batch.schema.field(c) for c in names), ("score", pa.float64())])
+            names = {c: text_col if c == "_text" else c for c in batch.schema.names if c != "_text" or text_col}
+            schema = pa.schema([*(batch.schema.field(c).with_name(n) for c, n in names.items()), ("score", pa.float64())])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(found) if found else [], pa.float64())], schema=schema)
 
     return run
@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with score, the probability of label 1 (0 to 1).
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without text_col if not keep_text) with score, the probability of label 1 (0 to 1).
 
     Null and empty texts get the score of a text without features, and every text gets 0.5 if there
     is no model. Texts are read whole; repeated rows get one result each. A column of docs named
@@ -203,9 +203,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """
     import uuid
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("score", "_text")], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    kept = docs.select(*[c for c in docs.columns if c not in ("score", "_text", text_col)], F.col(text_col).cast("string").alias("_text"))
     if model is None:
-        return kept.drop("_text").withColumn("score", F.lit(0.5))
+        kept = kept.withColumnRenamed("_text", text_col) if keep_text else kept.drop("_text")
+        return kept.withColumn("score", F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([f for f in kept.schema if f.name != "_text"] + [T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_score(shared, uuid.uuid4().int), out)
+    fields = [T.StructField(text_col if f.name == "_text" else f.name, f.dataType) for f in kept.schema if f.name != "_text" or keep_text]
+    return kept.mapInArrow(_score(shared, uuid.uuid4().int, text_col if keep_text else None), T.StructType(fields + [T.StructField("score", T.DoubleType())]))

@@ -53,7 +53,7 @@ def _fold(n: int):
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
     model = langid.fit(docs.filter(~F.col("held_out")))
-    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
 
 
 @query
@@ -61,7 +61,7 @@ def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
     labels = table(spark, sf_dir, "labels").filter(F.coalesce(_fold(5) != 0, F.lit(True)))
     model = quality.fit(docs, labels)
-    scored = quality.score(docs, model).drop("text")
+    scored = quality.score(docs, model, keep_text=False)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 

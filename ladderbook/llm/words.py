@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 500_000  # pieces that a worker keeps; it starts anew beyond
+MOST = 300_000  # pieces that a worker keeps; it starts anew beyond
 
 
 def cut(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
