@@ -71,3 +71,9 @@ def metrics(parsed: DataFrame, actions: DataFrame, book: DataFrame, checks: Data
     all_of = all_of.fillna(0).withColumn("md_rows", F.col("msgs_total"))
     names = [n for n in all_of.columns if n != "symbol"]
     return all_of.rollup("symbol").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def observed(market: DataFrame, name: str = "capture") -> DataFrame:
+    """market, reporting its counters to the session's listeners while a batch or a stream writes it."""
+    kinds = {"depth_diff": "depth_diff", "depth5": "depth5", "trade": "trade"}
+    return market.observe(name, F.count("*").alias("msgs_total"), *[F.count_if(F.col("stream_kind") == k).alias(n) for k, n in kinds.items()])

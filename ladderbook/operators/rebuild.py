@@ -41,23 +41,24 @@ class Rebuilt:
     checks: DataFrame
 
 
-def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, chunk: int = levels.CHUNK, cap: int = BUFFER, seed_by_final_id: bool = False) -> Rebuilt:
+def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, chunk: int = levels.CHUNK, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None) -> Rebuilt:
     """Books of all (capture, venue, symbol) of parse_market() rows; snapshots: parse_snapshots() rows or None.
 
-    Without snapshots each depth5 row seeds its book. Trade rows are emitted if asked for.
+    Without snapshots, and in captures that `sidecars` (capture_id, have_sidecar) says have none, each
+    depth5 row seeds its book. Trade rows are emitted if asked for.
     """
-    done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id), "actions")
+    done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id, sidecars), "actions")
     rows = parsed.withColumnsRenamed({"conn_epoch": "epoch", "conn_seq": "seq"})
     at = [*KEY, "epoch", "seq"]
     applied = done.filter("action = 'apply'")
     seeds = done.filter("action = 'seed'")
     diffs = applied.select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at)
-    if snapshots is None:
-        seeding = seeds.select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at)
-    else:
-        seeding = seeds.select(*KEY, "seq", "segment", "ordinal").join(snapshots.select(*KEY, F.col("snap_ord").alias("seq"), "message"), [*KEY, "seq"])
     cols = [*KEY, "segment", "ordinal", "message"]
-    writes = written(levels.last_writes(levels.exploded(diffs.select(*cols).unionByName(seeding.select(*cols)))), "writes")
+    seeding = seeds.filter("source = 'depth5'").select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at).select(*cols)
+    if snapshots is not None:
+        kept = snapshots.select(*KEY, F.col("snap_ord").alias("seq"), "message")
+        seeding = seeding.unionByName(seeds.filter("source = 'snapshot'").select(*KEY, "seq", "segment", "ordinal").join(kept, [*KEY, "seq"]).select(*cols))
+    writes = written(levels.last_writes(levels.exploded(diffs.select(*cols).unionByName(seeding))), "writes")
     marks = applied.unionByName(seeds).select(*KEY, "segment", "ordinal")
     state = levels.states(writes, marks, chunk)
     state = written(state, "states")

@@ -35,15 +35,20 @@ def _run(options: dict):
     return run
 
 
-def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False) -> DataFrame:
+def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None) -> DataFrame:
     """The actions of every book.
 
     parsed: parse_market()'s rows. snapshots: parse_snapshots()'s, or None where no sidecar was kept;
-    a book's are used in order of snap_ord. Only ids travel; a book's rows pass through one task in
+    a book's are used in order of snap_ord. sidecars: (capture_id, have_sidecar) where only some captures
+    have one; as default all have, or none. Only ids travel; a book's rows pass through one task in
     order, batch by batch, which keeps no more of them than the buffer's cap.
     """
     m = F.col("message")
-    head = parsed.select(*_KEY, F.lit(snapshots is not None).alias("sidecar"), F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *[F.coalesce(m[c], F.lit(0).cast("bigint")).alias(c) for c in ("first_id", "final_id", "pu", "last_id")])
+    if sidecars is None:
+        parsed = parsed.withColumn("have_sidecar", F.lit(snapshots is not None))
+    else:
+        parsed = parsed.join(sidecars.select("capture_id", "have_sidecar"), "capture_id", "left").fillna({"have_sidecar": False})
+    head = parsed.select(*_KEY, F.col("have_sidecar").alias("sidecar"), F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *[F.coalesce(m[c], F.lit(0).cast("bigint")).alias(c) for c in ("first_id", "final_id", "pu", "last_id")])
     if snapshots is not None:
         none = F.lit(0).cast("bigint")
         asked = snapshots.filter("valid").select(*_KEY, F.lit(True).alias("sidecar"), F.lit(-1).cast("bigint").alias("epoch"), F.col("snap_ord").alias("seq"), F.lit("snapshot").alias("kind"), F.lit(True).alias("valid"), none.alias("first_id"), none.alias("final_id"), none.alias("pu"), F.col("message.last_id").alias("last_id"))

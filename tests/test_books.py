@@ -188,3 +188,31 @@ def test_small_columns(spark):
     msg = spark.createDataFrame([('{"U":1,"u":2,"b":[["abc","1"]],"a":[]}',), ('{"U":1,"u":2,"b":[["1","1"],["2"],"x"],"a":[]}',), ("{}",)], "payload_json string")
     got = [r[0] for r in C.with_message(msg, "payload_json").select("message").collect()]
     assert [m["valid"] for m in got] == [False, True, False] and len(got[1]["bids"]) == 1
+
+
+def test_captures_with_and_without_a_sidecar(spark):
+    cases = {f"S{i}": made(20 + i, "spot", 80) for i in range(3)}
+    parsed, snapshots = tables(spark, cases, "spot")
+    both = parsed.unionByName(parsed.withColumn("capture_id", F.lit("y")))
+    flags = spark.createDataFrame([("x", True), ("y", False)], "capture_id string, have_sidecar boolean")
+    book = rebuild(both, snapshots, sidecars=flags).book
+    assert rows_of(book.filter("capture_id = 'x'")) == expected(cases, "spot", True, False, 65_536)
+    assert rows_of(book.filter("capture_id = 'y'")) == expected(cases, "spot", False, False, 65_536)
+
+
+def test_overload_and_observed_counters(spark):
+    from pyspark.sql import Observation
+
+    from ladderbook.operators import audits
+    from ladderbook.sources import captures
+
+    market = spark.range(342).selectExpr("'c' as capture_id", "cast(id % 2 as int) as shard", "'S' || id as symbol", "'trade' as stream_kind")
+    one = audits.shard_load(market.withColumns({"shard_id": F.lit(0), "conn_epoch": F.lit(0)})).collect()
+    two = audits.shard_load(market.withColumns({"shard_id": F.col("shard"), "conn_epoch": F.lit(0)})).collect()
+    assert [r["over"] for r in one] == [True] and [r["over"] for r in two] == [False, False]
+    seen = Observation("seen")
+    audits.observed(market, seen).collect()
+    assert seen.get["msgs_total"] == seen.get["trade"] == 342
+    files = spark.createDataFrame([("a_snapshots",)], "capture_id string")
+    got = captures.sidecars(spark.createDataFrame([("a",), ("b",)], "capture_id string"), files).collect()
+    assert {r["capture_id"]: r["have_sidecar"] for r in got} == {"a": True, "b": False}
