@@ -44,12 +44,11 @@ def budgets(leaves: DataFrame, total: Column, epochs: int) -> DataFrame:
     total: the budget in tokens, an expression over `tokens`, the sum of all leaves.
     """
     leaves = leaves.withColumn("cap", F.col("tokens") * epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.max("lw").alias("weight"), F.max("dw").alias("dw"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.max("dw").alias("weight"))
-    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(total.cast("bigint").alias("budget"), F.lit(0).alias("root"))
-    top = domains.withColumn("root", F.lit(0)).join(F.broadcast(whole), "root")  # one row
-    domains = _parted(top, ["root"], "domain").select("domain", F.col("share").alias("budget"))
-    langs = _parted(langs.drop("dw").join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"), F.max("lw").alias("weight"), F.max("dw").alias("dw"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"), F.max("dw").alias("weight"))
+    top = domains.withColumn("root", F.lit(0)).withColumn("tokens", F.sum("tokens").over(Window.partitionBy("root")))  # one row a domain
+    domains = _parted(top.withColumn("budget", total.cast("bigint")), ["root"], "domain").select("domain", F.col("share").alias("budget"))
+    langs = _parted(langs.drop("dw", "tokens").join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
     parted = _parted(leaves.withColumn("weight", F.col("sw")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source")
     one = F.greatest(F.col("tokens"), F.lit(1))
     return parted.select("domain", "lang", "source", "tokens", F.col("share").alias("budget")).withColumns({"whole": F.expr("budget div greatest(tokens, 1)"), "rest": F.col("budget") % one})
