@@ -132,10 +132,16 @@ def parse(page: str) -> _Tree:
             stack.append(node)
 
 
+def _above(tree: _Tree, k: int):
+    while (k := tree.parent[k]) >= 0:
+        yield k
+
+
 def _holders(tree: _Tree) -> None:
-    """A named part that holds the article element is not cut by its name."""
+    """A named part that holds the article element, or inside it the article's first heading, is not cut by its name."""
     for k in range(len(tree.tag)):
-        if tree.tag[k] in ("article", "main"):
+        inner = tree.tag[k] == "h1" and any(tree.tag[x] == "article" for x in _above(tree, k))
+        if tree.tag[k] in ("article", "main") or inner:
             up = tree.parent[k]
             while up > 0:
                 if tree.tag[up] not in CUT_TAGS:
