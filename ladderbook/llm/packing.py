@@ -3,7 +3,7 @@
 A piece goes where the sum over all gaps of (open sequences with that gap)^2 becomes least: into an
 open sequence, or a new one. That keeps sequences of every gap at hand, so that later pieces fit.
 Pieces come in the order of a hash, the shortest fifth of them last, so that they fill what is left. Only (id, piece, length) travel to the packers; each packs one
-hash group of documents, of which there is one for `GROUP_DOCS` documents, so that what stays open
+hash group of pieces, of which there is one for `GROUP_DOCS` documents, so that what stays open
 at a group's end is a few sequences in tens of thousands.
 """
 
@@ -20,7 +20,8 @@ from .common import raw_bytes, slices, text_array
 from .encoding import encoder
 
 SLICE = 4 << 20  # bytes of text that are encoded at a time
-GROUP_DOCS = 60_000
+GROUP_DOCS = 60_000  # documents, or
+GROUP_BYTES = 1 << 30  # bytes of text, of one packer's group
 SHORT = 0.2  # the share of pieces that are packed last
 _CUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PACKED = pa.schema([*_CUT, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -104,8 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, id_
     Null texts count as empty (one piece of one token). Null and repeated ids are kept as they are.
     Texts are encoded whole. Other columns are not looked at.
     """
-    n = docs.count()
-    groups = max(1, -(-n // GROUP_DOCS))
+    size_of = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    groups = max(1, -(-size_of["n"] // GROUP_DOCS), (size_of["bytes"] or 0) // GROUP_BYTES)
     lean = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pieces = lean.mapInArrow(_cut(tokenizer, size, end_id), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
     dealt = pieces.repartition(groups, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
