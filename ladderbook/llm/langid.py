@@ -221,11 +221,11 @@ def _predict(shared, mark: int, text_col: str | None):
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model | None:
     """A model of the labelled rows (those with a text and a language): of each language about PER_LANGUAGE
-    texts of at most LONGEST characters, whole, chosen by a hash of the key."""
+    texts of at most LONGEST characters, whole, chosen by a hash of key and text; equal rows count once."""
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     texts: dict[str, list[str]] = {}
-    for r in sample(rows, "lang", PER_LANGUAGE, 3).select("lang", "key", "text").collect():
+    for r in sample(rows, "lang", PER_LANGUAGE, 3, ("key", "text")).select("lang", "key", "text").distinct().collect():
         texts.setdefault(r["lang"], []).append((r["key"] is None, r["key"] or 0, r["text"]))
     return train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})
 

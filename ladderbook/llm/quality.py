@@ -186,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     labels: (id, label 0 or 1); rows with a null in either are no labels. None if only one label is there.
     """
-    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
+    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).filter("key is not null and label in (0, 1)").distinct()
     chosen = sample(known, None, ROWS, 8)  # about ROWS small rows whatever the input's size, and so broadcast
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("key"), text.alias("text")).filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), "key").collect()
+    rows = docs.select(F.col(id_col).alias("key"), text.alias("text")).filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text")).collect()  # one text an id, however often it is there
     rows.sort(key=lambda r: (r["key"], r["text"], r["label"]))
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
 

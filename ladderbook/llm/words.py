@@ -62,12 +62,15 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.fromiter(map(len, words), np.int64, len(words))
 
 
-def sample(keyed, count_by: str | None, most: int, salt: int):
-    """About `most` rows (of each value of count_by), chosen by a hash of the column `key` whatever the table's size."""
+def sample(keyed, count_by: str | None, most: int, salt: int, by: tuple[str, ...] = ("key",)):
+    """About `most` rows (of each value of count_by), chosen by a hash of the columns `by` whatever the table's size.
+
+    Rows that are equal in them are chosen together; callers take one of each.
+    """
     from pyspark.sql import functions as F
 
     space = 1 << 30
-    spot = F.pmod(F.xxhash64(F.lit(salt), F.col("key")), F.lit(space))
+    spot = F.pmod(F.xxhash64(F.lit(salt), *by), F.lit(space))
     if count_by is None:
         n = keyed.count()
         return keyed.filter(spot < int(space * min(1.0, most / max(1, n))))
