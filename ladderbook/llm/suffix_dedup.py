@@ -322,14 +322,7 @@ def _repeats(p: dict[str, np.ndarray], body: np.ndarray, length: int) -> list[di
     out = []
     # equal fragments of one key (narrower ones may be) collapse to the earliest
     spans = zip(cut[many > 1].tolist(), (cut + many)[many > 1].tolist())
-    chosen, later, lane_sizes, held = [], [], [], 0
-
-    def flush():
-        nonlocal chosen, lane_sizes, held
-        if chosen:
-            out.append(_sorted_windows(p, body, at, np.concatenate(chosen), np.array(lane_sizes), length))
-        chosen, lane_sizes, held = [], [], 0
-
+    lanes, later = [], []
     for i, j in spans:
         o = order[i:j]
         seen: set[bytes] = set()
@@ -342,12 +335,12 @@ def _repeats(p: dict[str, np.ndarray], body: np.ndarray, length: int) -> list[di
                 seen.add(t)
                 mine.append(q)
         if len(mine) > 1:
-            chosen.append(np.array(mine))
-            lane_sizes.append(len(mine))
-            held += int(size[mine].sum())
-            if held >= LANES:
-                flush()
-    flush()
+            lanes.append(np.array(mine))
+    # lanes of about one length are sorted together: a few long ones would keep all others waiting
+    room = np.array([int(size[m].sum()) for m in lanes], np.int64)
+    lanes = [lanes[k] for k in np.argsort(room, kind="stable").tolist()]
+    for i, j in slices(np.r_[0, np.cumsum(np.sort(room))], LANES):
+        out.append(_sorted_windows(p, body, at, np.concatenate(lanes[i:j]), np.array([len(m) for m in lanes[i:j]]), length))
     if later:
         q = np.array(later)
         out.append(_ranges(*(p[n][q] for n in ("doc", "sum", "group", "start")), p["start"][q] + p["size"][q]))
