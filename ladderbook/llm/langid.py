@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import raw_bytes, slices, text_array
@@ -23,11 +23,12 @@ from .words import Known, codes, cut, sample, sums
 ORDER = 4
 SLICE = 2 << 20  # bytes of text that are scored at a time
 PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound)
-LONGEST = 20_000  # characters of a training text
+CHARACTERS = 12_000_000  # of the training texts of one language together (documented too); one text at least, however long
 SLACK = 1.5  # bits a character above the usual before a text is rejected, beside SIGMAS deviations
 SIGMAS = 8.0
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +40,7 @@ class Model:
     found: list[np.ndarray]  # by order, discounted probability by (n-gram, language)
     contexts: list[np.ndarray]  # by order, sorted hashes of the n-grams' contexts
     rest: list[np.ndarray]  # by order, weight of the lower order by (context, language), 1 if never seen
-    usual: np.ndarray | None = None  # by language, mean cross-entropy
+    usual: np.ndarray | None = None  # by language, mean cross-entropy; infinite where no text could be held back
     spread: np.ndarray | None = None  # by language, deviation of one character
 
 
@@ -105,14 +106,34 @@ def _one(words: list[str], weights: np.ndarray):
 
 
 def train(texts: dict[str, list[str]]) -> Model | None:
-    """A model of the languages' texts; every fifth text only sets what is usual."""
-    languages = sorted(texts)
-    if not languages:
+    """A model of the languages' texts; every fifth text with a letter only sets what is usual.
+
+    Languages of fewer than five such texts learn from all of them, and what is usual is measured on a
+    model without the held-back one; it stays infinite, and nothing is rejected, where there is but one.
+    """
+    if not texts:
         return None
+    texts = {k: [t for t in v if _LETTER.search(t)] for k, v in sorted(texts.items())}
+    rest = {k: [t for i, t in enumerate(v) if i % 5] for k, v in texts.items()}
+    model = _build({k: rest[k] if len(v) >= 5 else v for k, v in texts.items()})
+    apart = _build(rest) if any(1 < len(v) < 5 for v in texts.values()) else model
+    model.usual, model.spread = np.full(len(texts), np.inf), np.ones(len(texts))
+    for k, v in enumerate(texts.values()):
+        if len(v) < 2:
+            continue
+        bits, n, _ = measure(pa.array(v[::5], pa.string()), Known(functools.partial(learn, model if len(v) >= 5 else apart)))
+        own, n = bits[n > 0, k], n[n > 0]
+        if len(own):
+            model.usual[k] = own.sum() / n.sum()
+            model.spread[k] = max(0.5, float(np.sqrt(np.mean((own / n - model.usual[k]) ** 2 * n))))
+    return model
+
+
+def _build(texts: dict[str, list[str]]) -> Model:
+    languages = list(texts)
     parts, signs = [], set()
     for language in languages:
-        some = [t for i, t in enumerate(texts[language]) if i % 5 or len(texts[language]) < 5]
-        words, piece, _ = cut(pa.array(some, pa.string()), True)
+        words, piece, _ = cut(pa.array(texts[language], pa.string()), True)
         letters = _letters(words)
         weight = np.bincount(piece, minlength=len(words))
         merged: dict[str, int] = {}
@@ -130,14 +151,6 @@ def train(texts: dict[str, list[str]]) -> Model | None:
                 table[np.searchsorted(keys, p[n][keys_at]), k] = p[n][value_at]
             keys_out.append(keys)
             values_out.append(table)
-    model.usual, model.spread = np.zeros(len(languages)), np.ones(len(languages))
-    for k, language in enumerate(languages):
-        held = [t for i, t in enumerate(texts[language]) if not i % 5]
-        bits, n, _ = measure(pa.array(held, pa.string()), Known(functools.partial(learn, model)))
-        own, n = bits[n > 0, k], n[n > 0]
-        if len(own):
-            model.usual[k] = own.sum() / n.sum()
-            model.spread[k] = max(0.5, float(np.sqrt(np.mean((own / n - model.usual[k]) ** 2 * n))))
     return model
 
 
@@ -221,11 +234,16 @@ def _predict(shared, mark: int, text_col: str | None):
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model | None:
     """A model of the labelled rows (those with a text and a language): of each language about PER_LANGUAGE
-    texts of at most LONGEST characters, whole, chosen by a hash of key and text; equal rows count once."""
+    texts, whole, chosen by a hash of key and text, and of these in the order of a hash as many as have
+    CHARACTERS together, one at least; equal rows count once."""
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     texts: dict[str, list[str]] = {}
-    for r in sample(rows, "lang", PER_LANGUAGE, 3, ("key", "text")).select("lang", "key", "text").distinct().collect():
+    chosen = sample(rows, "lang", PER_LANGUAGE, 3, ("key", "text")).select("lang", "key", "text").distinct()
+    ordered = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(4), "key", "text"), "key", "text")
+    until = F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumns({"place": F.row_number().over(ordered), "until": until}).filter((F.col("place") == 1) | (F.col("until") <= CHARACTERS))
+    for r in chosen.select("lang", "key", "text").collect():
         texts.setdefault(r["lang"], []).append((r["key"] is None, r["key"] or 0, r["text"]))
     return train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})
 
