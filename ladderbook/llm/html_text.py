@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density.
 
 The page becomes a tree. Parts that are by their tag or name no article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) are cut off. For every other
+footers, sidebars, notices, adverts, forms, scripts, reader comments) are cut off, unless a part that is
+so only by its name, or a form, holds most of the page's text outside links. For every other
 node the characters per tag are computed, adjusted for how much of its text stands in links; the
 densities of a node's children are summed, and the subtree of the largest sum is the article. Its
 threshold is the least density on the path from it to the body: where the sum is largest at the body
@@ -25,6 +26,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CUT_TAGS = frozenset("head title nav header footer aside form script style noscript template iframe object embed svg canvas button select textarea input label dialog menu".split())
 CUT_NAMES = frozenset("ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead comment comments disqus respond cookie cookies notice notices notification consent gdpr newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations widget widgets toolbar login search pager pagination skip alert".split())
+REPLIES = frozenset("comment comments disqus respond".split())  # may be longer than the article
+TOPICS = frozenset("related social notice notices notification alert search share sharing promotion promo banner foot skip login".split())  # words of headings too
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 KEEPS_IN = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
@@ -38,10 +41,10 @@ _BLANK = re.compile(r"\s+")
 
 
 class _Tree:
-    """Nodes in page order: tag, parent, parts (texts and child nodes in turn), cut."""
+    """Nodes in page order: tag, parent, parts (texts and child nodes in turn), cut, and the names that alone cut it."""
 
     def __init__(self):
-        self.tag, self.parent, self.parts, self.cut = ["html"], [-1], [[]], [False]
+        self.tag, self.parent, self.parts, self.cut, self.names = ["html"], [-1], [[]], [False], {}
 
     def add(self, tag: str, parent: int, cut: bool) -> int:
         n = len(self.tag)
@@ -53,22 +56,29 @@ class _Tree:
         return n
 
 
-def _is_cut(tag: str, raw: str) -> bool:
+def _is_cut(tag: str, raw: str) -> tuple[bool, list[str]]:
+    """Whether the element is cut, and the class or id names if only they say so."""
     if tag in CUT_TAGS:
-        return True
+        return True, []
     if not raw or tag in ("html", "body", "article", "main"):
-        return False
+        return False, []
+    names: list[str] = []
     for name, *values in _ATTR.findall(raw):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, []
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            return True, []
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in CUT_NAMES for w in _NAMES.findall(value)):
-            return True
-    return False
+            return True, []
+        if name in ("class", "id"):
+            names += value.split()
+    names = [x for x in names if not CUT_NAMES.isdisjoint(_words(x))]
+    return bool(names), names
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _NAMES.findall(name)]
 
 
 def parse(page: str) -> _Tree:
@@ -119,7 +129,10 @@ def parse(page: str) -> _Tree:
         if tag == "body" and "head" in [tags[k] for k in stack]:
             del stack[1:]
         raw = m[3] if m[2] else m[6]
-        node = tree.add(tag, stack[-1], _is_cut(tag, raw))
+        cut, names = _is_cut(tag, raw)
+        node = tree.add(tag, stack[-1], cut)
+        if names:
+            tree.names[node] = names
         if tag in VOID:
             continue
         if tag in RAW:
@@ -144,9 +157,42 @@ def _holders(tree: _Tree) -> None:
         if tree.tag[k] in ("article", "main") or inner:
             up = tree.parent[k]
             while up > 0:
-                if tree.tag[up] not in CUT_TAGS:
+                if tree.tag[up] not in CUT_TAGS or tree.tag[up] == "form" and not inner:
                     tree.cut[up] = False
                 up = tree.parent[up]
+    _wide(tree)
+
+
+def _wide(tree: _Tree) -> None:
+    """Neither a part cut only by its name nor a form is cut that holds most of the text outside links.
+
+    Inside an article a named paragraph or section also stays if its name has a topic's word beside
+    others (related-work) and most of its text is outside links.
+    """
+    if not tree.names and "form" not in tree.tag:
+        return
+    n = len(tree.tag)
+    free, chars = [0] * n, [0] * n
+    for k in range(n - 1, -1, -1):
+        if tree.cut[k] and k not in tree.names and tree.tag[k] != "form":
+            free[k] = chars[k] = 0
+            continue
+        own = sum(len(part) - len("".join(_BLANK.findall(part))) for part in tree.parts[k] if isinstance(part, str))
+        chars[k] += own
+        free[k] = 0 if tree.tag[k] == "a" else free[k] + own
+        if k:
+            free[tree.parent[k]] += free[k]
+            chars[tree.parent[k]] += chars[k]
+    body = next((k for k in range(n) if tree.tag[k] == "body"), 0)
+    for k in range(1, n):
+        if not tree.cut[k] or k not in tree.names and tree.tag[k] != "form":
+            continue
+        words = [_words(x) for x in tree.names.get(k, [])]
+        if 2 * free[k] > free[body] and not (words and all(REPLIES.issuperset(w) for w in words)):
+            tree.cut[k] = False
+        elif words and tree.tag[k] in ("p", "section") and 2 * free[k] > chars[k] and any(tree.tag[x] in ("article", "main") for x in _above(tree, k)):
+            if all(len(w) > 1 and TOPICS.issuperset(CUT_NAMES.intersection(w)) and not CUT_NAMES.issuperset(w) for w in words):
+                tree.cut[k] = False
 
 
 def _chosen(tree: _Tree) -> tuple[int, set[int]]:
