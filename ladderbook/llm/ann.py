@@ -6,7 +6,8 @@ their codes by tables of its distances to the codebooks, and the best of all lis
 by exact cosine. Equal vectors share one entry, which stands for all of them: it keeps the smallest
 ids, as many as a result can hold. The entries are dealt out by a hash in shards of bounded size, each
 with its own lists; as the best of a query are spread over the shards at random, each shard returns
-its part of them and some deviations more.
+its part of them and some deviations more. Queries are dealt out by a hash too, in blocks of bounded
+size; each shard meets each block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ VISITED = 0.7  # share of the lists that a query visits, 8 at least: vectors wit
 SUBSPACES = 16
 RERANKED = 300  # best of all lists by code that are ranked again exactly
 SHARD = 20_000  # entries of a shard
+BLOCK = 5_000  # queries that meet a shard at a time
 _CODED = pa.schema([("rep", pa.int64()), ("list", pa.int32()), ("code", pa.binary())])
 _FOUND = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("near", pa.float32())])
 
@@ -166,8 +168,11 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     coded = written(entries.mapInArrow(_code(shared), "rep bigint, list int, code binary"), "codes")
     shards = max(1, -(-total // SHARD))
     sharded = coded.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = sharded.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search(shared, shards), "query bigint, rep bigint, near float")
+    blocks = max(1, -(-asking.select("rep").distinct().count() // BLOCK))
+    sharded = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = sharded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(shared, shards), "query bigint, rep bigint, near float")
     best = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     pairs = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= RERANKED).select("query", "rep")
     mine = members.select(F.col("rep").alias("query"), F.col("v").alias("w"))
