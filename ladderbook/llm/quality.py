@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from .common import ragged, raw_bytes, slices, text_array
 from .words import Known, codes, cut, sample, sums
 
 SLICE = 2 << 20  # bytes of text that are scored at a time
-ROWS = 3_000  # labelled texts of the sample (its documented bound)
-LONGEST = 30_000  # characters of a training text
+ROWS = 3_000  # labelled texts of the sample, half of them of each label (its documented bound)
+CHARACTERS = 6_000_000  # of the sampled texts of one label together (documented too); one text at least, however long
 BUCKETS = 1 << 17
 SIZE = 8  # numbers of a vector
 GRAMS = (3, 4)  # characters of an n-gram
@@ -182,17 +182,27 @@ def _score(shared, mark: int, text_col: str | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of about ROWS labelled texts of at most LONGEST characters, whole, chosen by a hash of the id.
+    """A model of about ROWS // 2 texts of each label, whole, chosen by a hash of the id, and of these in the
+    order of a hash as many as have CHARACTERS together, one at least. The bias is set right by the labels' shares.
 
     labels: (id, label 0 or 1); rows with a null in either are no labels. None if only one label is there.
     """
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).filter("key is not null and label in (0, 1)").distinct()
-    chosen = sample(known, None, ROWS, 8)  # about ROWS small rows whatever the input's size, and so broadcast
+    chosen = sample(known, "label", ROWS // 2, 8)  # about ROWS small rows whatever the input's size, and so broadcast
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("key"), text.alias("text")).filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), "key")
-    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text")).collect()  # one text an id, however often it is there
+    rows = docs.select(F.col(id_col).alias("key"), text.alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"))  # one text an id, however often it is there
+    ordered = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(9), "key"), "key")
+    until = F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"place": F.row_number().over(ordered), "until": until}).filter((F.col("place") == 1) | (F.col("until") <= CHARACTERS))
+    rows = rows.select("key", "label", "text").collect()
     rows.sort(key=lambda r: (r["key"], r["text"], r["label"]))
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    drawn = np.array([r["label"] for r in rows], np.int64)
+    model = train([r["text"] for r in rows], drawn)
+    if model is not None:
+        there = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+        model.bias += float(np.log(there[1] / there[0]) - np.log((drawn == 1).sum() / (drawn == 0).sum()))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
