@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}  # by application, where no folder is set
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, where there is
+    one machine only, a folder of our own if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        _OWN[spark.sparkContext.applicationId] = found
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints/{spark.sparkContext.applicationId}"
     return found
 
 
@@ -71,6 +70,19 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc only
+
+
+def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what memory each has needed goes back to the system, as workers live on for other tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (sizes[0] of them), starts[1], ..."""
     total = int(sizes.sum())

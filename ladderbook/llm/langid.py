@@ -17,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, text_array
+from .common import raw_bytes, slices, text_array, trimmed
 from .words import Known, codes, cut, sample, sums
 
 ORDER = 4
-SLICE = 2 << 20  # bytes of text that are scored at a time
+SLICE = 1 << 20  # bytes of text that are scored at a time
 PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound)
 CHARACTERS = 12_000_000  # of the training texts of one language together (documented too); one text at least, however long
 SLACK = 1.5  # bits a character above the usual before a text is rejected, beside SIGMAS deviations
@@ -208,7 +208,7 @@ def _predict(shared, mark: int, text_col: str | None):
             _KNOWN.clear()
             _KNOWN[mark] = Known(functools.partial(learn, model))
         known = _KNOWN[mark]
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
             names, scores, rejected = [], [], []

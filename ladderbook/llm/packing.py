@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, text_array
+from .common import raw_bytes, slices, text_array, trimmed
 from .encoding import encoder
 
-SLICE = 4 << 20  # bytes of text that are encoded at a time
+SLICE = 1 << 20  # bytes of text that are encoded at a time
 GROUP_DOCS = 60_000  # documents, or
 GROUP_BYTES = 1 << 30  # bytes of text, of one packer's group
 SHORT = 0.2  # the share of pieces that are packed last
@@ -59,7 +59,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def _cut(path: str, size: int, end_id: int):
     def run(batches):
         tool = encoder(path)
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = text_array(batch.column("text"))
             docs = batch.column("doc_id").to_pylist()
             _, offsets = raw_bytes(texts)

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, raw_bytes, slices, text_array
+from .common import ragged, raw_bytes, slices, text_array, trimmed
 from .words import Known, codes, cut, sample, sums
 
-SLICE = 2 << 20  # bytes of text that are scored at a time
+SLICE = 1 << 20  # bytes of text that are scored at a time
 ROWS = 3_000  # labelled texts of the sample, half of them of each label (its documented bound)
 CHARACTERS = 6_000_000  # of the sampled texts of one label together (documented too); one text at least, however long
 BUCKETS = 1 << 17
@@ -170,7 +170,7 @@ def _score(shared, mark: int, text_col: str | None):
         if mark not in _KNOWN:
             _KNOWN.clear()
             _KNOWN[mark] = Known(functools.partial(_learn, model))
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
             found = [scores(texts.slice(i, j - i), model, _KNOWN[mark]) for i, j in slices(offsets, SLICE)]

@@ -10,7 +10,7 @@ links it found as trees, not as pairs, and alternating star contractions join th
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, text_array, written
+from .common import raw_bytes, slices, text_array, trimmed, written
 
 SLICE = 1 << 20  # bytes of text whose hashes are counted at a time
+BITS = 1 << 16  # hashes whose bits are unpacked at a time
 RADIUS = 3
 TILE = 256  # fingerprints of a tile inside a task
 HEAP = 4096  # fingerprints of one value and population count that a task takes
@@ -45,31 +46,33 @@ def shingle_hashes(text: bytes, words: int = 3) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist())]
 
 
+def majority(found: list[list[int]]) -> np.ndarray:
+    """The fingerprint of each list of hashes: the bits that over half of them have set, 0 without hashes."""
+    out = np.zeros(len(found), np.uint64)
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    hashes = np.fromiter(chain.from_iterable(found), np.uint64, int(n.sum()))
+    ones = np.zeros((len(some), 64), np.int64)
+    starts = np.r_[0, np.cumsum(n[some])]
+    for a, b in slices(starts, BITS):
+        # a document's bits in parts, and documents together, as long as they are few
+        for i in range(starts[a], starts[b], BITS):
+            bits = np.unpackbits(hashes[i : min(i + BITS, starts[b])].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[a:b] += bits.sum(0, dtype=np.int64) if b == a + 1 else np.add.reduceat(bits, starts[a:b] - starts[a], axis=0, dtype=np.int64)
+    over = (2 * ones > n[some][:, None]).astype(np.uint8)
+    out[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def _prints(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             body, offsets = raw_bytes(text_array(batch.column("text")))
             view = memoryview(body)
-            out = np.zeros(batch.num_rows, np.uint64)
-            for i, j in slices(offsets, SLICE):
-                found, counts = [], []
-                for r in range(i, j):
-                    h = shingle_hashes(bytes(view[offsets[r] : offsets[r + 1]]), words)
-                    counts.append(len(h))
-                    found += h
-                if not found:
-                    continue
-                n = np.array(counts)
-                some = np.flatnonzero(n)
-                hashes = np.array(found, np.uint64)
-                ones = np.empty((len(some), 64), np.int64)
-                starts = np.r_[0, np.cumsum(n[some])]
-                # documents together as long as their hashes' bits stay small
-                for a, b in slices(starts, 1 << 16):
-                    bits = np.unpackbits(hashes[starts[a] : starts[b]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones[a:b] = np.add.reduceat(bits, starts[a:b] - starts[a], axis=0, dtype=np.int64)
-                over = (2 * ones > n[some][:, None]).astype(np.uint8)
-                out[some + i] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            parts = [majority([shingle_hashes(bytes(view[offsets[r] : offsets[r + 1]]), words) for r in range(i, j)]) for i, j in slices(offsets, SLICE)]
+            out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], schema=_PRINT)
 
     return run

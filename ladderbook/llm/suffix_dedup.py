@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ragged, raw_bytes, slices, text_array, total_bytes, unpacked
+from .common import packed, ragged, raw_bytes, slices, text_array, total_bytes, trimmed, unpacked
 from .gsaca import suffix_order
 
 K = 32  # bytes of an anchor
@@ -160,7 +160,7 @@ def _joined(parts: list[dict[str, np.ndarray]], dtypes: dict[str, str]) -> dict[
 
 def _anchors(length: int, k: int, buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, sums = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_sa_id", "_sa_sum"))
             groups = batch.column("_sa_group").to_numpy(zero_copy_only=False)
             order = np.lexsort((sums, ids))

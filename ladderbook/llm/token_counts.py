@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, shared_dir, slices, text_array
+from .common import raw_bytes, shared_dir, slices, text_array, trimmed
 from .encoding import encoder, version
 
-SLICE = 4 << 20  # bytes of text that are encoded at a time
+SLICE = 1 << 20  # bytes of text that are encoded at a time
 SCHEMA = "content binary, tokenizer string, n_tokens bigint"
 _COUNTED = pa.schema([("content", pa.binary()), ("n_tokens", pa.int64())])
 
@@ -18,7 +18,7 @@ _COUNTED = pa.schema([("content", pa.binary()), ("n_tokens", pa.int64())])
 def _encode(path: str):
     def run(batches):
         tool = encoder(path)
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = text_array(batch.column("text"))
             _, offsets = raw_bytes(texts)
             counts = [tool.counts(texts.slice(i, j - i)) for i, j in slices(offsets, SLICE)]

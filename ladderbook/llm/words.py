@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 300_000  # pieces that a worker keeps; it starts anew beyond
+MOST = 200_000  # pieces that a worker keeps; it starts anew beyond
+PART = 16_384  # pieces that are worked out at a time
 
 
 def cut(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -42,10 +43,12 @@ class Known:
         if len(self.number) > MOST:
             self.number, self.rows = {}, None
         number = self.number
-        if missing := [w for w in pieces if w not in number]:
-            new = self.learn(missing)
+        missing = [w for w in pieces if w not in number]
+        for at in range(0, len(missing), PART):
+            part = missing[at : at + PART]
+            new = self.learn(part)
             n = len(number)
-            number.update(zip(missing, range(n, n + len(missing))))
+            number.update(zip(part, range(n, n + len(part))))
             if self.rows is None:
                 self.rows = np.empty((1024, new.shape[1]))
             while n + len(new) > len(self.rows):
