@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.captures import BOOK
+from .numbering import numbered
 
 KEY = ["capture_id", "venue", "symbol"]
 
@@ -57,20 +58,49 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
 
 
-def metrics(parsed: DataFrame, actions: DataFrame, book: DataFrame, checks: DataFrame, bad_snapshots: DataFrame | None = None) -> DataFrame:
-    """Counters by symbol, and over all in the row whose symbol is null."""
+def conn_running(frames: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """frames with number (1, 2, … in each connection) and reconnects (connections of the shard before this one)."""
+    own = ["shard_id", "conn_epoch"]
+    epochs = frames.select(*own).distinct()  # as few as connections
+    before = (F.row_number().over(Window.partitionBy("shard_id").orderBy("conn_epoch")) - 1).cast("bigint")
+    return numbered(frames, ["conn_seq"], chunk, own, "number").join(epochs.withColumn("reconnects", before), own)
+
+
+def summary(market: DataFrame, snapshots: DataFrame, book: DataFrame) -> DataFrame:
+    """Per capture: rows of the three tables, and how many book rows are crossed."""
+    count = lambda df, name: df.groupBy("capture_id").agg(F.count("*").alias(name))
+    found = count(market, "market_rows")
+    for df, name in ((snapshots, "snapshot_rows"), (book, "book_rows"), (crossed(book), "crossed_rows")):
+        found = found.join(count(df, name), "capture_id", "left")
+    return found.fillna(0)
+
+
+def metrics(parsed: DataFrame, actions: DataFrame, book: DataFrame, checks: DataFrame, bad_snapshots: DataFrame | None = None, bad_rows: DataFrame | None = None, by: tuple[str, ...] = ("capture_id", "symbol")) -> DataFrame:
+    """Counters by capture and symbol, by capture where the symbol is null, and over all where both are.
+
+    bad_snapshots: parse_snapshots() rows, the broken of which are parse errors; bad_rows: rows of a
+    capture with too few fields (read_market), which are parse errors but no messages, and whose symbol is null.
+    """
     c = lambda cond: F.count_if(F.expr(cond))
-    rows = parsed.groupBy("symbol").agg(F.count("*").alias("msgs_total"), c("stream_kind = 'depth_diff'").alias("depth_diff"), c("stream_kind = 'depth5'").alias("depth5"), c("stream_kind = 'trade'").alias("trade"), c("not valid").alias("parse_errors"))
-    acts = actions.groupBy("symbol").agg(c("action = 'gap'").alias("gaps"), c("action = 'reset'").alias("reconnects"), c("action = 'seed' and source = 'snapshot'").alias("resyncs"), c("action = 'overflow'").alias("buffer_overflows"))
-    checked = checks.groupBy("symbol").agg(c("book_bid <> depth5_bid").alias("depth5_mismatch"))
-    out = book.groupBy("symbol").agg(F.count("*").alias("ob_rows"))
-    all_of = rows.join(acts, "symbol", "left").join(checked, "symbol", "left").join(out, "symbol", "left")
+    rows = parsed.groupBy(*by).agg(F.count("*").alias("msgs_total"), c("stream_kind = 'depth_diff'").alias("depth_diff"), c("stream_kind = 'depth5'").alias("depth5"), c("stream_kind = 'trade'").alias("trade"), c("not valid").alias("parse_errors"))
+    acts = actions.groupBy(*by).agg(c("action = 'gap'").alias("gaps"), c("action = 'reset'").alias("reconnects"), c("action = 'seed' and source = 'snapshot'").alias("resyncs"), c("action = 'overflow'").alias("buffer_overflows"))
+    checked = checks.groupBy(*by).agg(c("book_bid <> depth5_bid").alias("depth5_mismatch"))
+    out = book.groupBy(*by).agg(F.count("*").alias("ob_rows"))
+    all_of = rows.join(acts, [*by], "left").join(checked, [*by], "left").join(out, [*by], "left")
     if bad_snapshots is not None:
-        wrong = bad_snapshots.filter("not valid").groupBy("symbol").agg(F.count("*").alias("bad"))
-        all_of = all_of.join(wrong, "symbol", "full").withColumn("parse_errors", F.coalesce("parse_errors", F.lit(0)) + F.coalesce("bad", F.lit(0))).drop("bad")
-    all_of = all_of.fillna(0).withColumn("md_rows", F.col("msgs_total"))
-    names = [n for n in all_of.columns if n != "symbol"]
-    return all_of.rollup("symbol").agg(*[F.sum(n).alias(n) for n in names])
+        wrong = bad_snapshots.filter("not valid").groupBy(*by).agg(F.count("*").alias("bad"))
+        all_of = all_of.join(wrong, [*by], "full").withColumn("parse_errors", F.coalesce("parse_errors", F.lit(0)) + F.coalesce("bad", F.lit(0))).drop("bad")
+    all_of = all_of.fillna(0).withColumn("md_rows", F.coalesce("msgs_total", F.lit(0)))
+    names = [n for n in all_of.columns if n not in by]
+    found = all_of.rollup(*by).agg(*[F.sum(n).alias(n) for n in names])
+    if bad_rows is None:
+        return found
+    short = bad_rows.withColumn("symbol", F.lit(None).cast("string")).rollup("capture_id").agg(F.count("*").alias("short")).withColumn("symbol", F.lit(None).cast("string"))
+    if "capture_id" not in by:
+        short = short.filter("capture_id is null").drop("capture_id")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = found.alias("a").join(short.alias("b"), same, "left")
+    return both.select(*[f"a.{c}" for c in by], *[(F.col(f"a.{n}") + F.coalesce("b.short", F.lit(0)) if n == "parse_errors" else F.col(f"a.{n}")).alias(n) for n in names])
 
 
 def observed(market: DataFrame, name: str = "capture") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import captures
 from ..sources.captures import BOOK
 from ..sources.storage import written
 from . import levels
+from .numbering import numbered  # noqa: F401  (a part of this module's interface)
 from .sequencing import actions
 from .session import BUFFER
 
@@ -19,7 +21,12 @@ _ROW = [*KEY, "epoch", "seq"]
 
 
 def parse_market(market: DataFrame, venue: str | None = None) -> DataFrame:
-    """market with message (with_message) and valid; a trade is valid whatever it holds. venue overrides the rows'."""
+    """market with message (with_message) and valid; a trade is valid whatever it holds. venue overrides the rows'.
+
+    Rows that the reader found too short (bad) are left out.
+    """
+    if "bad" in market.columns:
+        market = market.filter("not bad").drop("bad")
     if venue:
         market = market.withColumn("venue", F.lit(venue))
     depth = F.col("stream_kind").isin("depth_diff", "depth5")
@@ -45,8 +52,15 @@ def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     """Books of all (capture, venue, symbol) of parse_market() rows; snapshots: parse_snapshots() rows or None.
 
     Without snapshots, and in captures that `sidecars` (capture_id, have_sidecar) says have none, each
-    depth5 row seeds its book. Trade rows are emitted if asked for.
+    depth5 row seeds its book. Trade rows are emitted if asked for. Snapshots without a venue serve
+    their symbol's books of any venue. Of rows that repeat a book's (conn_epoch, conn_seq) one stays.
     """
+    # written once, as five joins read the messages; a repeated number would multiply rows in them
+    parsed = written(parsed.dropDuplicates([*KEY, "conn_epoch", "conn_seq"]), "parsed")
+    if snapshots is not None:
+        if "venue" not in snapshots.columns:
+            snapshots = snapshots.join(parsed.select(*KEY).distinct(), ["capture_id", "symbol"])
+        snapshots = written(snapshots, "snapshots")
     done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id, sidecars), "actions")
     rows = parsed.withColumnsRenamed({"conn_epoch": "epoch", "conn_seq": "seq"})
     at = [*KEY, "epoch", "seq"]
@@ -75,15 +89,14 @@ def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     return Rebuilt(book, done, checks)
 
 
-def numbered(rows: DataFrame, order: list[str], chunk: int = 100_000) -> DataFrame:
-    """rows with seqNo 1, 2, … in each book by the integer columns `order`, without one task a book.
+def rebuild_files(spark: SparkSession, market: str, snapshots: str | None = None, venue: str | None = None, **options) -> Rebuilt:
+    """Books of the capture files at `market` (X.csv) with the sidecars at `snapshots` (X_snapshots.csv).
 
-    Rows are dealt to ranges of the first column, counted, and numbered inside from where the range starts.
+    Captures without a sidecar of their name are seeded by their depth5 rows; an empty sidecar is one.
+    venue overrides the rows'; options are rebuild()'s.
     """
-    spread = F.floor(F.col(order[0]) / chunk).alias("_range")
-    dealt = rows.select("*", spread)
-    counts = dealt.groupBy(*KEY, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*KEY).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*KEY, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*KEY, "_range").orderBy(*order))
-    return dealt.join(starts, [*KEY, "_range"]).withColumn("seqNo", F.col("_start") + inside).drop("_range", "_start")
+    parsed = parse_market(captures.read_market(spark, market), venue)
+    if snapshots is None:
+        return rebuild(parsed, **options)
+    paired = captures.sidecars(parsed, captures.sidecar_files(spark, snapshots))
+    return rebuild(parsed, parse_snapshots(captures.read_snapshots(spark, snapshots, venue)), sidecars=paired, **options)

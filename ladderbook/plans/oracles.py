@@ -109,6 +109,20 @@ per as (select l.symbol, count(*) as msgs_total, {count("kind = 'depth_diff'")}
 select symbol, {", ".join(f"cast(sum({n}) as bigint) as {n}" for n in "msgs_total depth_diff depth5 trade parse_errors gaps reconnects resyncs buffer_overflows depth5_mismatch ob_rows md_rows".split())} from per group by rollup (symbol)"""
 
 
+def metrics_by_capture() -> str:
+    """metrics() with the one capture of the feed."""
+    names = "msgs_total depth_diff depth5 trade parse_errors gaps reconnects resyncs buffer_overflows depth5_mismatch ob_rows md_rows".split()
+    cols = ", ".join(names)
+    return f"select 'c0' as capture_id, symbol, {cols} from ({metrics()}) union all select null, null, {cols} from ({metrics()}) where symbol is null"
+
+
+def summary() -> str:
+    count = lambda sql: f"(select count(*) from ({sql}))"
+    book_sql = book("spot")
+    one = f"select 'c0' as capture_id, {count(over_feed('select * from feed'))} as market_rows, {count(over_feed('select * from feed where ' + triggers_sql('spot')))} as snapshot_rows"
+    return f"{one}, {count(book_sql)} as book_rows, {count(f'select * from ({book_sql}) where bid0 > 0 and ask0 > 0 and bid0 >= ask0')} as crossed_rows"
+
+
 def continuity(venue: str) -> str:
     gap = "first_id > pm + 1" if venue == "spot" else "pu <> pm"
     return over_feed(f"select symbol, event_id + 1 as seq, case when pm is null then 'first' when final_id <= pm then 'stale' when {gap} then 'gap' else 'next' end as outcome from feed where kind = 'depth_diff'")

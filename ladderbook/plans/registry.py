@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import audits, levels
-from ..operators.rebuild import Rebuilt, numbered, parse_market, parse_snapshots, rebuild
+from ..operators.frames import audit_rows, quarantined
+from ..operators.rebuild import Rebuilt, numbered, parse_market, parse_snapshots, rebuild, rebuild_files
 from ..sources import adapters as A
 from ..sources import captures
 from ..sources.storage import shared_dir, written
@@ -42,10 +43,7 @@ def market_scan(spark, sf_dir):
     """A capture written as CSV and read again."""
     path = _folder(spark, "market")
     captures.write_market(A.market(spark, sf_dir).drop("capture_id"), path)
-    names = [f.strip().split(" ")[0] for f in captures.MARKET.split(",") if not f.strip().startswith("venue")]
-    types = dict(f.strip().split(" ") for f in captures.MARKET.split(","))
-    back = spark.read.options(header=True, quote='"', escape='"').schema(", ".join(f"{n} {types[n]}" for n in names)).csv(path)
-    return back.select("symbol", "stream_kind", "conn_epoch", "conn_seq", "recv_tsec", "recv_tnsec")
+    return captures.read_market(spark, path).filter("not bad").select("symbol", "stream_kind", "conn_epoch", "conn_seq", "recv_tsec", "recv_tnsec")
 
 
 @query(O.over_feed(f"select symbol, first_id - 1 as last_id, 20 as n_bids, (p - 1) * {E6} as best_bid from feed where {A.triggers_sql('spot')}"))
@@ -63,33 +61,13 @@ def symbol_list(spark, sf_dir):
     return captures.symbol_list(lists).select(F.col("pos").cast("int").alias("pos"), "symbol").filter("pos < 6")
 
 
-def audit_rows(frames: DataFrame, policy: str = "recv") -> DataFrame:
-    """Raw frames as market rows; frames that are no envelope go to quarantined()."""
-    stream, data = C.split_envelope(F.col("frame"))
-    rows = C.settled(frames, "parts", F.struct(stream.alias("stream"), data.alias("payload_json"))).select("*", "parts.*").filter("stream is not null")
-    rows = rows.select("*", C.symbol_of(F.col("stream")).alias("symbol"), C.classify_stream(F.col("stream")).alias("stream_kind"))
-    rows = C.with_message(rows, "payload_json", F.col("stream_kind") != "trade")
-    event = F.when(F.col("stream_kind") == "trade", C.trade_event_ms(F.col("payload_json"))).otherwise(F.when(F.col("message.valid"), F.col("message.event_ms")).otherwise(0))
-    sec, nsec = C.time_policy(policy, event, F.col("recv_tsec"), F.col("recv_tnsec"))
-    return rows.select(sec.alias("tsec"), nsec.alias("tnsec"), F.lit("spot").alias("venue"), "stream_kind", "shard_id", "conn_epoch", "conn_seq", "symbol", "payload_json")
-
-
-def quarantined(frames: DataFrame) -> DataFrame:
-    """Frames that are no envelope, and depth messages that are broken, with the reason."""
-    stream, data = C.split_envelope(F.col("frame"))
-    rows = C.settled(frames, "parts", F.struct(stream.alias("stream"), data.alias("data"))).select("*", "parts.*").drop("parts")
-    depth = F.col("stream").isNotNull() & C.classify_stream(F.col("stream")).isin("depth_diff", "depth5")
-    rows = C.with_message(rows, "data", depth)
-    return rows.withColumn("reason", F.when(F.col("stream").isNull(), "envelope").when(~F.col("message.valid"), "payload")).filter("reason is not null").drop("message")
-
-
 _EVENT_MS = "(us // 1000 + 1704067200000)"
 
 
 @query(O.over_feed(f"select case when kind = 'depth5' then tsec else {_EVENT_MS} // 1000 end as tsec, cast(case when kind = 'depth5' then tnsec else {_EVENT_MS} % 1000 * 1000000 end as integer) as tnsec, kind as stream_kind, ep as conn_epoch, event_id + 1 as conn_seq, symbol from feed"))
 def capture_batch(spark, sf_dir):
     """Frames to audit rows under the event-time policy."""
-    return audit_rows(A.frames(spark, sf_dir), "event").select("tsec", "tnsec", "stream_kind", "conn_epoch", "conn_seq", "symbol")
+    return audit_rows(A.frames(spark, sf_dir), "event").select(F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec"), "stream_kind", "conn_epoch", "conn_seq", "symbol")
 
 
 @query(O.over_feed("select symbol, kind as stream_kind, count(*) as n from feed group by all"))
@@ -206,6 +184,15 @@ def with_sidecar(spark, sf_dir, venue: str, **options) -> Rebuilt:
     return rebuild(written(parse_market(A.market(spark, sf_dir, venue)), "parsed"), written(parse_snapshots(A.snapshots(spark, sf_dir, venue)), "snapshots"), **options)
 
 
+@query(O.book("spot"))
+def frames_to_book(spark, sf_dir):
+    """Raw frames to audit files, audit files and a sidecar to books."""
+    top = _folder(spark, "replay")
+    captures.write_market(audit_rows(A.frames(spark, sf_dir)), f"{top}/capture.csv")
+    captures.write_snapshots(A.snapshots(spark, sf_dir), f"{top}/capture_snapshots.csv")
+    return _book(rebuild_files(spark, f"{top}/capture.csv", f"{top}/capture_snapshots.csv"))
+
+
 def _book(found: Rebuilt) -> DataFrame:
     return found.book.drop("capture_id", "venue")
 
@@ -261,6 +248,18 @@ def replay_diff(spark, sf_dir):
     return audits.difference(saved, again).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
 
 
+@query(f"""with book as ({O.book('checkpoint')}) select 'left' as only_in, cast(count(*) as integer) as n from book where "seqNo" % 50 = 0 having count(*) > 0
+  union all select 'right', cast(count(*) as integer) from book where "seqNo" % 50 = 0 or "seqNo" % 70 = 0 having count(*) > 0""")
+def replay_diff_planted(spark, sf_dir):
+    """A saved book of which every 70th row of a symbol is gone, and every 50th has another size, against a second rebuild."""
+    book = checkpoint(spark, sf_dir).book
+    saved = book.filter("seqNo % 70 <> 0 or seqNo % 50 = 0").withColumn("bid_size0", F.when(F.expr("seqNo % 50 = 0"), F.col("bid_size0") + 1).otherwise(F.col("bid_size0")))
+    path = _folder(spark, "book")
+    captures.write_book(saved, path)
+    again = checkpoint(spark, sf_dir, chunk=100).book
+    return audits.difference(spark.read.parquet(path), again).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
+
+
 def _checkpoint_writes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from ..operators.sequencing import actions
 
@@ -324,9 +323,31 @@ def shard_load(spark, sf_dir):
 
 @query(O.metrics())
 def metrics(spark, sf_dir):
+    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    found = rebuild(parsed)
+    return audits.metrics(parsed, found.actions, found.book, found.checks, by=("symbol",))
+
+
+@query(O.metrics_by_capture())
+def metrics_by_capture(spark, sf_dir):
+    """Counters by capture and symbol, by capture and over all."""
     parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
     found = rebuild(parsed)
     return audits.metrics(parsed, found.actions, found.book, found.checks)
 
 
+@query(O.summary())
+def sample_summary(spark, sf_dir):
+    """Rows by table, snapshots and crossed rows of a capture with a sidecar."""
+    market, snapshots = A.market(spark, sf_dir), A.snapshots(spark, sf_dir)
+    return audits.summary(market, snapshots, with_sidecar(spark, sf_dir, "spot").book)
+
+
+@query(O.over_feed("select event_id + 1 as conn_seq, ep as conn_epoch, row_number() over (partition by ep order by event_id) as number, dense_rank() over (order by ep) - 1 as reconnects from feed"))
+def conn_running(spark, sf_dir):
+    """Each frame's number in its connection and how often its shard had reconnected before."""
+    rows = audits.conn_running(A.frames(spark, sf_dir).select("shard_id", "conn_epoch", "conn_seq"))
+    return rows.select("conn_seq", "conn_epoch", "number", "reconnects")
+
+
 FLAGSHIP = rebuild_checkpoint

@@ -10,7 +10,7 @@ SNAPSHOTS = "recv_tsec bigint, recv_tnsec int, symbol string, lastUpdateId bigin
 SIDES = [f"{name}{i}" for name in ("bid", "bid_size", "ask", "ask_size") for i in range(5)]
 BOOK = ["tsec", "tnsec", "seqNo", "id", "type", "side", *SIDES]
 KEY = ["capture_id", "venue", "symbol"]
-_CSV = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "false"}
+_CSV = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "false", "enforceSchema": "true"}
 
 
 def _read(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -19,20 +19,42 @@ def _read(spark: SparkSession, path, schema: str) -> DataFrame:
     text = ", ".join(f"{n} string" for n, _ in fields)
     rows = spark.read.options(**_CSV).schema(f"{text}, _bad string").csv(path)
     clean = [F.coalesce(F.col(n).try_cast(t), F.lit(0).cast(t)).alias(n) if t != "string" else F.col(n) for n, t in fields]
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     short = F.col(fields[-1][0]).isNull()  # longer rows are marked bad too, but their fields are all there
-    return rows.select(*clean, F.regexp_replace(name, r"\.csv$", "").alias("capture_id"), short.alias("bad"))
+    return rows.select(*clean, _capture_of(F.col("_metadata.file_path")).alias("capture_id"), short.alias("bad"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def read_market(spark: SparkSession, path) -> DataFrame:
-    """Captures with capture_id (the file's name) and bad: rows of fewer than nine fields."""
-    return _read(spark, path, MARKET)
+def _capture_of(path: Column) -> Column:
+    """A file's name without .csv; of a folder that Spark has written, the folder's, be it parted by columns or not."""
+    whole = F.regexp_replace(path, r"(/[^/=]+=[^/]*)*/part-[^/]*$", "")
+    return F.regexp_replace(F.element_at(F.split(whole, "/"), -1), r"\.csv$", "")
 
 
-def read_snapshots(spark: SparkSession, path) -> DataFrame:
-    """Sidecar rows of five fields, capture_id being that of the capture they belong to."""
+def read_market(spark: SparkSession, path, capture_id: str | None = None) -> DataFrame:
+    """Captures with capture_id (as given, or by the file's or folder's name) and bad: rows of fewer than nine fields.
+    """
+    rows = _read(spark, path, MARKET).drop("_file", "_block")
+    return rows if capture_id is None else rows.withColumn("capture_id", F.lit(capture_id))
+
+
+def read_snapshots(spark: SparkSession, path, venue: str | None = None) -> DataFrame:
+    """Sidecar rows of five fields with capture_id, that of the capture they belong to, snap_ord, their order in
+    the file among those of the symbol, and venue, if given. Shorter rows are left out; broken_snapshots() has them."""
     rows = _read(spark, path, SNAPSHOTS).filter(~F.col("bad")).drop("bad")
-    return rows.withColumn("capture_id", F.regexp_replace("capture_id", "_snapshots$", ""))
+    rows = rows.withColumns({"capture_id": F.regexp_replace("capture_id", "_snapshots$", ""), "_at": F.monotonically_increasing_id()})
+    order = Window.partitionBy("capture_id", "symbol").orderBy("_file", "_block", "_at")  # a symbol's snapshots are few
+    rows = rows.withColumn("snap_ord", F.row_number().over(order).cast("bigint")).drop("_file", "_block", "_at")
+    return rows if venue is None else rows.withColumn("venue", F.lit(venue))
+
+
+def broken_snapshots(spark: SparkSession, path) -> DataFrame:
+    """Sidecar rows of fewer than five fields, with the reason."""
+    return _read(spark, path, SNAPSHOTS).filter("bad").drop("bad", "_file", "_block").withColumn("reason", F.lit("short row"))
+
+
+def sidecar_files(spark: SparkSession, path) -> DataFrame:
+    """capture_id of each sidecar file, empty ones included."""
+    files = spark.read.format("binaryFile").load(path).select(_capture_of(F.col("path")).alias("capture_id"))
+    return files.distinct()
 
 
 def sidecars(market: DataFrame, sidecar_ids: DataFrame) -> DataFrame:
@@ -42,10 +64,15 @@ def sidecars(market: DataFrame, sidecar_ids: DataFrame) -> DataFrame:
 
 
 def write_market(market: DataFrame, path: str, form: str = "csv") -> None:
-    _write(market.withColumn("date", _date("recv_tsec")), path, form, ["venue", "date"])
+    """The nine columns, by date."""
+    names = [f.strip().split(" ")[0] for f in MARKET.split(",")]
+    _write(market.select(*names, _date("recv_tsec").alias("date")), path, form, ["date"])
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
+    """The five columns, in order of snap_ord if there is one."""
+    if "snap_ord" in snapshots.columns:
+        snapshots = snapshots.orderBy("snap_ord")
     snapshots.select(*[f.strip().split(" ")[0] for f in SNAPSHOTS.split(",")]).write.options(header=True, quote='"', escape='"').csv(path)
 
 
@@ -55,7 +82,9 @@ def write_book(book: DataFrame, path: str, form: str = "parquet") -> None:
     if missing:
         raise ValueError(f"no book table: {sorted(missing)} missing")
     dated = book.select(*BOOK, "venue", "symbol", _date("tsec").alias("date"))
-    _write(dated.repartition("venue", "date", "symbol").sortWithinPartitions("venue", "date", "symbol", "seqNo"), path, form, ["venue", "date", "symbol"])
+    by = ["venue", "date", "symbol"]
+    dealt = dated.repartitionByRange(*by, "seqNo")  # one symbol's rows in several files, each a run of seqNo
+    _write(dealt.sortWithinPartitions(*by, "seqNo"), path, form, by)
 
 
 def _write(df: DataFrame, path: str, form: str, by: list[str]) -> None:

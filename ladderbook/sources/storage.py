@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_OWN: dict[str, str] = {}  # by application, where no folder is set
-
-
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. On a local master, where there is one machine only, a folder of our own if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        _OWN[spark.sparkContext.applicationId] = found
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints/{spark.sparkContext.applicationId}"
     return found
 
 

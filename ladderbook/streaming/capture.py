@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.frames import audit_rows
 from ..sources.storage import shared_dir
 
 FRAMES = "frame string, shard_id int, conn_epoch bigint, conn_seq bigint, recv_tsec bigint, recv_tnsec int"
@@ -13,8 +14,6 @@ FRAMES = "frame string, shard_id int, conn_epoch bigint, conn_seq bigint, recv_t
 
 def start_capture(spark: SparkSession, landed: str, out: str, state: str, policy: str = "recv"):
     """A streaming query from Parquet files of frames under `landed` to audit rows under `out`; takes what is there, then ends."""
-    from ..plans.registry import audit_rows
-
     frames = spark.readStream.schema(FRAMES).parquet(landed)
     return audit_rows(frames, policy).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
 
