@@ -56,7 +56,10 @@ def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     their symbol's books of any venue. Of rows that repeat a book's (conn_epoch, conn_seq) one stays.
     """
     # written once, as five joins read the messages; a repeated number would multiply rows in them
-    parsed = written(parsed.dropDuplicates([*KEY, "conn_epoch", "conn_seq"]), "parsed")
+    parsed = written(parsed, "parsed")
+    place = [*KEY, "conn_epoch", "conn_seq"]
+    if not parsed.groupBy(*place).count().filter("count > 1").isEmpty():
+        parsed = written(parsed.dropDuplicates(place), "parsed")
     if snapshots is not None:
         if "venue" not in snapshots.columns:
             snapshots = snapshots.join(parsed.select(*KEY).distinct(), ["capture_id", "symbol"])

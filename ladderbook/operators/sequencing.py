@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,27 +12,101 @@ from pyspark.sql import types as T
 from .session import BUFFER, Session
 
 _KEY = ["capture_id", "venue", "symbol"]
-_TYPES = [("capture_id", pa.string()), ("venue", pa.string()), ("symbol", pa.string()), ("action", pa.string()), ("epoch", pa.int64()), ("seq", pa.int64()), ("source", pa.string()), ("segment", pa.int64()), ("ordinal", pa.int64()), ("cause_epoch", pa.int64()), ("cause_seq", pa.int64()), ("place", pa.int64()), ("number", pa.int64())]
+_NUMBERS = ["epoch", "seq", "segment", "ordinal", "cause_epoch", "cause_seq", "place", "number"]
+_TEXTS = {
+    "action": ["seed", "apply", "stale", "gap", "buffered", "drop", "reset", "overflow", "check", "partial", "trade", "error"],
+    "source": ["", "snapshot", "depth5", "buffer"],
+}
+_CODES = {name: {text: k for k, text in enumerate(texts)} for name, texts in _TEXTS.items()}
+_TYPES = [*((k, pa.string()) for k in _KEY), ("action", pa.string()), ("epoch", pa.int64()), ("seq", pa.int64()), ("source", pa.string()), *((n, pa.int64()) for n in _NUMBERS[2:])]
 ACTIONS = T.StructType([T.StructField(n, T.StringType() if t == pa.string() else T.LongType()) for n, t in _TYPES])
 _ARROW = pa.schema(_TYPES)
+LEAST = 8  # rows of a stretch that is worth taking at once
+
+
+class _Found:
+    """Actions of one batch: a column of numbers each, texts and keys by code."""
+
+    def __init__(self):
+        self.parts: dict[str, list[np.ndarray]] = {n: [] for n in ("key", "action", "source", *_NUMBERS)}
+
+    def add(self, key: int, found: dict[str, np.ndarray]) -> None:
+        size = len(found["seq"])
+        for name, parts in self.parts.items():
+            value = key if name == "key" else found.get(name, 0)
+            parts.append(value if isinstance(value, np.ndarray) else np.full(size, value, np.int64))
+
+    def one(self, key: int, actions) -> None:
+        rows = [(_CODES["action"][a.action], a.epoch, a.seq, _CODES["source"][a.source], *a[4:]) for a in actions]
+        if rows:
+            cols = np.array(rows, np.int64).T
+            self.add(key, dict(zip(("action", "epoch", "seq", "source", *_NUMBERS[2:]), cols)))
+
+    def batch(self, keys: list[list[str]]) -> pa.RecordBatch | None:
+        if not self.parts["seq"]:
+            return None
+        cols = {n: np.concatenate(x) for n, x in self.parts.items()}
+        text = lambda codes, texts: pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), pa.array(texts, pa.string())).cast(pa.string())
+        out = []
+        for name, kind in _TYPES:
+            if name in _KEY:
+                out.append(text(cols["key"], [k[_KEY.index(name)] for k in keys]))
+            else:
+                out.append(text(cols[name], _TEXTS[name]) if name in _TEXTS else pa.array(cols[name], kind))
+        return pa.RecordBatch.from_arrays(out, schema=_ARROW)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it."""
+    out = np.ones(len(column), bool)
+    differ = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+    out[1:] = pc.fill_null(differ, True).to_numpy(zero_copy_only=False)
+    return out
 
 
 def _run(options: dict):
     def run(batches):
         key, session = None, None
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            out: list[tuple] = []
-            for *k, sidecar, epoch, seq, kind, valid, first_id, final_id, pu, last_id in zip(*cols):
-                if k != key:
-                    key, session = k, Session(k[1] == "usdm", sidecar, **options)
-                if kind == "snapshot":
-                    session.add_snapshot(seq, last_id)
-                    continue
-                for a in session.message(kind, valid, epoch, seq, first_id, final_id, pu, last_id):
-                    out.append((*k, *a))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), _TYPES)], schema=_ARROW)
+            if not batch.num_rows:
+                continue
+            col = {n: batch.column(n) for n in batch.schema.names}
+            fresh = _changes(col["capture_id"]) | _changes(col["venue"]) | _changes(col["symbol"])
+            diff = pc.equal(col["kind"], "depth_diff").to_numpy(zero_copy_only=False)
+            trade = pc.equal(col["kind"], "trade").to_numpy(zero_copy_only=False)
+            valid = col["valid"].to_numpy(zero_copy_only=False).astype(bool)
+            number = {n: col[n].to_numpy() for n in ("epoch", "seq", "first_id", "final_id", "pu", "last_id")}
+            # a stretch: diffs and trades of one book and connection
+            plain = diff & valid | trade
+            stops = np.flatnonzero(np.r_[fresh | _changes(col["epoch"]) | ~plain, True])
+            after = stops[np.searchsorted(stops, np.arange(batch.num_rows), "right")]
+            kinds, sidecar = col["kind"].to_pylist(), col["sidecar"].to_pylist()
+            keys, found, at = [], _Found(), 0
+            while at < batch.num_rows:
+                if fresh[at] or session is None:
+                    own = [col[k][at].as_py() for k in _KEY]
+                    if own != key:
+                        key, session = own, Session(own[1] == "usdm", sidecar[at], **options)
+                    keys.append(own)
+                if not keys:
+                    keys.append(key)
+                end = int(after[at])
+                if plain[at] and end - at >= LEAST and session.epoch == number["epoch"][at]:
+                    rows = slice(at, end)
+                    taken, made = session.stretch(diff[rows], *(number[n][rows] for n in ("epoch", "seq", "first_id", "final_id", "pu")))
+                    if taken:
+                        if len(made["seq"]):
+                            found.add(len(keys) - 1, made | {"action": np.array([_CODES["action"][a] for a in made["action"]], np.int64)[made["which"]]})
+                        at += taken
+                        continue
+                one = {n: int(x[at]) for n, x in number.items()}
+                if kinds[at] == "snapshot":
+                    session.add_snapshot(one["seq"], one["last_id"])
+                else:
+                    found.one(len(keys) - 1, session.message(kinds[at], bool(valid[at]), *one.values()))
+                at += 1
+            if (out := found.batch(keys)) is not None:
+                yield out
 
     return run
 
@@ -41,17 +117,19 @@ def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     parsed: parse_market()'s rows. snapshots: parse_snapshots()'s, or None where no sidecar was kept;
     a book's are used in order of snap_ord. sidecars: (capture_id, have_sidecar) where only some captures
     have one; as default all have, or none. Only ids travel; a book's rows pass through one task in
-    order, batch by batch, which keeps no more of them than the buffer's cap.
+    order, batch by batch, which keeps no more of them than the buffer's cap. Stretches of diffs that
+    apply, are stale or wait are taken at once.
     """
     m = F.col("message")
     if sidecars is None:
         parsed = parsed.withColumn("have_sidecar", F.lit(snapshots is not None))
     else:
         parsed = parsed.join(sidecars.select("capture_id", "have_sidecar"), "capture_id", "left").fillna({"have_sidecar": False})
-    head = parsed.select(*_KEY, F.col("have_sidecar").alias("sidecar"), F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *[F.coalesce(m[c], F.lit(0).cast("bigint")).alias(c) for c in ("first_id", "final_id", "pu", "last_id")])
+    none = F.lit(0).cast("bigint")
+    ids = [F.coalesce(m[c], none).alias(c) for c in ("first_id", "final_id", "pu", "last_id")]
+    head = parsed.select(*_KEY, F.col("have_sidecar").alias("sidecar"), F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *ids)
     if snapshots is not None:
-        none = F.lit(0).cast("bigint")
-        asked = snapshots.filter("valid").select(*_KEY, F.lit(True).alias("sidecar"), F.lit(-1).cast("bigint").alias("epoch"), F.col("snap_ord").alias("seq"), F.lit("snapshot").alias("kind"), F.lit(True).alias("valid"), none.alias("first_id"), none.alias("final_id"), none.alias("pu"), F.col("message.last_id").alias("last_id"))
-        head = head.unionByName(asked)
+        place = {"sidecar": F.lit(True), "epoch": F.lit(-1).cast("bigint"), "seq": F.col("snap_ord").cast("bigint"), "kind": F.lit("snapshot"), "valid": F.lit(True), "first_id": none, "final_id": none, "pu": none, "last_id": m["last_id"]}
+        head = head.unionByName(snapshots.filter("valid").select(*_KEY, *[c.alias(n) for n, c in place.items()]))
     dealt = head.repartition(*_KEY).sortWithinPartitions(*_KEY, "epoch", "seq")
     return dealt.mapInArrow(_run({"trades": trades, "cap": cap, "seed_by_final_id": seed_by_final_id}), ACTIONS)

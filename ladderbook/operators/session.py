@@ -10,6 +10,8 @@ from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+
 #: most diffs that wait for a snapshot
 BUFFER = 65_536
 #: place of a depth5 row behind the diffs that it lets go
@@ -48,8 +50,8 @@ class Action(NamedTuple):
 class Session:
     """State of one book: pending until a snapshot seeds it, buffering diffs while pending."""
 
-    def __init__(self, usdm: bool, have_sidecar: bool, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False, live: bool = False):
-        self.usdm, self.have_sidecar, self.trades, self.cap, self.seed_by_final_id, self.live = usdm, have_sidecar, trades, cap, seed_by_final_id, live
+    def __init__(self, usdm: bool, have_sidecar: bool, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False):
+        self.usdm, self.have_sidecar, self.trades, self.cap, self.seed_by_final_id = usdm, have_sidecar, trades, cap, seed_by_final_id
         self.epoch: int | None = None
         self.pending, self.ready, self.started = True, False, False
         self.last = 0
@@ -109,6 +111,40 @@ class Session:
             self.number += 1
             yield act("trade", number=self.number)
 
+    def stretch(self, diff: np.ndarray, epoch: np.ndarray, seq: np.ndarray, first_id: np.ndarray, final_id: np.ndarray, pu: np.ndarray) -> tuple[int, dict]:
+        """Valid diffs, and trades where diff is false, of the book's connection: how many of the first of them are
+        taken (up to the first that message() has to see), and what happens to them (columns of actions; `action`
+        lists names, `which` says whose each row is)."""
+        if self.pending or not self.ready:
+            if self.snapshots:
+                return 0, {}
+            waiting = np.flatnonzero(diff)
+            room = self.cap - len(self.buffer)
+            taken = len(diff) if len(waiting) <= room else int(waiting[room])
+            rows = waiting[:room]
+            self.buffer.extend(map(Diff, *(x[rows].tolist() for x in (epoch, seq, first_id, final_id, pu))))
+            return taken, self._columns(["buffered"], np.zeros(len(rows), np.int64), epoch[rows], seq[rows], self.ordinal, 0)
+        if self.usdm and not self.started:
+            return 0, {}
+        reached = np.maximum.accumulate(np.r_[self.last, np.where(diff, final_id, self.last)])[:-1]
+        stale = diff & (final_id <= reached)
+        gap = np.flatnonzero(diff & ~stale & (pu != reached if self.usdm else first_id > reached + 1))
+        taken = int(gap[0]) if len(gap) else len(diff)
+        applied = diff[:taken] & ~stale[:taken]
+        emitted = applied | ~diff[:taken] if self.trades else applied
+        ordinal, number = self.ordinal + np.cumsum(applied), self.number + np.cumsum(emitted)
+        rows = np.flatnonzero(diff[:taken] | emitted)
+        which = np.where(~diff[rows], 2, np.where(applied[rows], 0, 1))
+        found = self._columns(["apply", "stale", "trade"], which, epoch[rows], seq[rows], ordinal[rows], np.where(emitted, number, 0)[rows])
+        if applied.any():
+            self.last, self.started = int(final_id[:taken][applied].max()), True
+        if taken:
+            self.ordinal, self.number = int(ordinal[-1]), int(number[-1])
+        return taken, found
+
+    def _columns(self, names: list[str], which: np.ndarray, epoch: np.ndarray, seq: np.ndarray, ordinal, number) -> dict:
+        return {"action": names, "which": which, "epoch": epoch, "seq": seq, "segment": self.segment, "ordinal": ordinal, "cause_epoch": epoch, "cause_seq": seq, "number": number}
+
     def _judge(self, d: Diff) -> str:
         if d.final_id <= self.last:
             return "stale"

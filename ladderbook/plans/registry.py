@@ -177,11 +177,11 @@ def parse_errors(spark, sf_dir):
 
 
 def checkpoint(spark, sf_dir, **options) -> Rebuilt:
-    return rebuild(written(parse_market(A.market(spark, sf_dir)), "parsed"), **options)
+    return rebuild(parse_market(A.market(spark, sf_dir)), **options)
 
 
 def with_sidecar(spark, sf_dir, venue: str, **options) -> Rebuilt:
-    return rebuild(written(parse_market(A.market(spark, sf_dir, venue)), "parsed"), written(parse_snapshots(A.snapshots(spark, sf_dir, venue)), "snapshots"), **options)
+    return rebuild(parse_market(A.market(spark, sf_dir, venue)), parse_snapshots(A.snapshots(spark, sf_dir, venue)), **options)
 
 
 @query(O.book("spot"))

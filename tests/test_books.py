@@ -216,3 +216,28 @@ def test_overload_and_observed_counters(spark):
     files = spark.createDataFrame([("a_snapshots",)], "capture_id string")
     got = captures.sidecars(spark.createDataFrame([("a",), ("b",)], "capture_id string"), files).collect()
     assert {r["capture_id"]: r["have_sidecar"] for r in got} == {"a": True, "b": False}
+
+
+@pytest.mark.parametrize("venue", ["spot", "usdm"])
+@pytest.mark.parametrize("sidecar", [True, False])
+def test_stretches_equal_single_messages(venue, sidecar, monkeypatch):
+    import pyarrow as pa
+
+    from ladderbook.operators import sequencing
+
+    names = ["capture_id", "venue", "symbol", "sidecar", "epoch", "seq", "kind", "valid", "first_id", "final_id", "pu", "last_id"]
+    rows = []
+    for s in range(6):
+        made_rows, snaps = made(40 + s, venue, 300)
+        rng = random.Random(s)
+        if sidecar:
+            rows += [("c", venue, f"S{s}", True, -1, k, "snapshot", True, 0, 0, 0, x["id"]) for k, x in enumerate(snaps)]
+        rows += [("c", venue, f"S{s}", sidecar, m["epoch"], m["seq"], m["kind"], rng.random() > 0.03 or m["kind"] == "trade", m.get("U", 0), m.get("u", 0), m.get("pu", 0), m.get("id", 0)) for m in made_rows]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 70]]) for i in range(0, len(rows), 70)]
+    for trades, cap in ((True, 4), (False, 65_536), (True, 65_536)):
+        results = []
+        for least in (1, 1 << 30):
+            monkeypatch.setattr(sequencing, "LEAST", least)
+            out = sequencing._run({"trades": trades, "cap": cap, "seed_by_final_id": False})(iter(batches))
+            results.append([tuple(r.values()) for b in out for r in b.to_pylist()])
+        assert results[0] == results[1] and len(results[0]) > 500
