@@ -12,7 +12,9 @@ equal places, so all windows of one anchor occurrence travel together as one fra
 3. `_fetch`, by document: cut the texts of those fragments out of the documents. Anchors with very
    many different fragments are cut into narrower ones first, under longer keys.
 4. `_order`, by anchor: a suffix array over the different fragments of each anchor (gsaca). Windows
-   that are equal stand side by side in it; all but the earliest repeat. The bytes are compared.
+   that are equal stand side by side in it; all but the earliest repeat. The bytes are compared. Where
+   one key has very many different fragments (one passage's edge in as many documents), their few
+   windows are sorted by hash instead, so that no lane is long.
 5. `_cut`, by document: unite the repeated windows and remove what they cover.
 
 Documents are shuffled once by a hash of their key and that exchange serves steps 3 and 5.
@@ -38,6 +40,8 @@ BUCKET_BYTES = 12 << 20  # text whose anchors meet in one task
 WIDE = 64  # different fragments of one anchor beyond which they are cut narrower
 STEP = 8  # windows of a narrower fragment
 LANES = 1 << 20  # bytes of fragments that are sorted at a time
+LANE = 256  # different fragments of one lane; where one key has more, their windows are sorted by hash
+HOT = 1 << 16  # different fragments of one anchor beyond which each window has a key of its own
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -225,7 +229,7 @@ def _meet(length: int):
             kinds = np.diff(np.r_[np.flatnonzero(new_anchor[firsts]), len(firsts)])
             kinds = np.repeat(kinds, kinds)
             need = firsts[kinds > 1]
-            rows += _blocks(0, e["group"][need], {n: e[n][need] for n in ("doc", "sum", "start", "lead", "wins", "anchor")} | {"wide": kinds[kinds > 1] > WIDE}, NEED)
+            rows += _blocks(0, e["group"][need], {n: e[n][need] for n in ("doc", "sum", "start", "lead", "wins", "anchor")} | {"wide": (kinds[kinds > 1] > WIDE).astype("u1") + (kinds[kinds > 1] > HOT)}, NEED)
         r = _joined(ranges, RANGE)
         rows += _blocks(1, r["group"], r, RANGE)
         yield _batch(rows)
@@ -234,19 +238,20 @@ def _meet(length: int):
 
 
 def _narrower(need: dict[str, np.ndarray], length: int) -> dict[str, np.ndarray]:
-    """Wide entries cut into runs of STEP windows by their distance from the anchor; `common` is where the bytes start that all windows of a run share."""
+    """Wide entries cut into runs of STEP windows (of one, if they are hot) by their distance from the anchor; `common` is where the bytes start that all windows of a run share."""
     start, lead, wins = need["start"], need["lead"].astype(np.int64), need["wins"].astype(np.int64)
     wide = need["wide"].astype(bool)
+    step = np.where(need["wide"] > 1, 1, STEP)
     least, most = lead - wins + 1, lead  # the anchor's distance from the last and from the first window
-    lo, hi = np.where(wide, least // STEP, 0), np.where(wide, most // STEP, 0)
+    lo, hi = np.where(wide, least // step, 0), np.where(wide, most // step, 0)
     count = hi - lo + 1
     at = np.repeat(np.arange(len(start)), count)
     run = ragged(lo, count)
-    w = wide[at]
-    near = np.where(w, np.maximum(least[at], run * STEP), least[at])
-    far = np.where(w, np.minimum(most[at], run * STEP + STEP - 1), most[at])
+    w, step = wide[at], step[at]
+    near = np.where(w, np.maximum(least[at], run * step), least[at])
+    far = np.where(w, np.minimum(most[at], run * step + step - 1), most[at])
     begin = start[at] + lead[at] - far
-    return {n: need[n][at] for n in ("doc", "sum", "anchor")} | {"start": begin, "wins": far - near + 1, "wide": w, "run": run, "common": start[at] + lead[at] - run * STEP}
+    return {n: need[n][at] for n in ("doc", "sum", "anchor")} | {"start": begin, "wins": far - near + 1, "wide": w, "run": run, "common": start[at] + lead[at] - run * step, "shared": length - step + 1}
 
 
 def _by_document(docs: dict, d: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -273,7 +278,7 @@ def _fetch(length: int, buckets: int):
             key = x["anchor"].copy()
             for i in np.flatnonzero(x["wide"]).tolist():
                 at = int(base[i] + x["common"][i])
-                key[i] ^= np.frombuffer(hashlib.blake2b(body[at : at + length - STEP + 1].tobytes() + bytes([int(x["run"][i])]), digest_size=8).digest(), np.uint64)[0]
+                key[i] ^= np.frombuffer(hashlib.blake2b(body[at : at + int(x["shared"][i])].tobytes() + bytes([int(x["run"][i])]), digest_size=8).digest(), np.uint64)[0]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
@@ -334,7 +339,9 @@ def _repeats(p: dict[str, np.ndarray], body: np.ndarray, length: int) -> list[di
             else:
                 seen.add(t)
                 mine.append(q)
-        if len(mine) > 1:
+        if len(mine) > LANE:
+            out.append(_hashed_windows(p, body, at, np.array(mine), length))
+        elif len(mine) > 1:
             lanes.append(np.array(mine))
     # lanes of about one length are sorted together: a few long ones would keep all others waiting
     room = np.array([int(size[m].sum()) for m in lanes], np.int64)
@@ -347,6 +354,29 @@ def _repeats(p: dict[str, np.ndarray], body: np.ndarray, length: int) -> list[di
     return out
 
 
+def _hashed_windows(p, body, at, chosen, length):
+    """Ranges of the windows of these fragments that also start earlier; equal hashes are followed by a look at the bytes."""
+    wins = p["wins"][chosen].astype(np.int64)
+    owner = np.repeat(np.arange(len(chosen)), wins)
+    inside = ragged(np.zeros(len(chosen), np.int64), wins)
+    spot = at[chosen][owner] + inside
+    windows = np.lib.stride_tricks.sliding_window_view(body, length)
+    power = np.cumprod(np.full(length, _ODD, np.uint64))
+    digest = np.empty(len(spot), np.uint64)
+    for i in range(0, len(spot), 1 << 14):
+        digest[i : i + (1 << 14)] = (_TABLE[windows[spot[i : i + (1 << 14)]]] * power).sum(1, dtype=np.uint64)
+    doc, total, start = p["doc"][chosen][owner], p["sum"][chosen][owner], p["start"][chosen][owner] + inside
+    order = np.lexsort((start, total, doc, digest))
+    same = np.zeros(len(order), bool)
+    for i in range(1, len(order), 1 << 14):
+        j = min(len(order), i + (1 << 14))
+        w = windows[spot[order[i - 1 : j]]]
+        same[i:j] = (w[1:] == w[:-1]).all(1)
+    # equal hashes of different windows are not told apart further than by their neighbours: such a pair needs 2**32 windows
+    later = order[same]
+    return _ranges(doc[later], total[later], p["group"][chosen][owner[later]], start[later], start[later] + length)
+
+
 def _sorted_windows(p, body, at, chosen, lane_sizes, length):
     """One lane for each key: its fragments, a 1 after each, a 0 at the lane's end, bytes raised by 2."""
     size = p["size"][chosen].astype(np.int64)
