@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, text_array, trimmed
-from .words import Known, codes, cut, sample, sums
+from .common import ragged, raw_bytes, slices, text_array, trimmed
+from .words import CELLS, Known, codes, cut, sample, sums
 
 ORDER = 4
 SLICE = 1 << 20  # bytes of text that are scored at a time
-PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound)
-CHARACTERS = 12_000_000  # of the training texts of one language together (documented too); one text at least, however long
+PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound), fewer with many languages:
+TEXTS = 24_000  # of all languages together, ten of each at least
+CHARACTERS = 48_000_000  # of the training texts together, shared out evenly, 12,000,000 a language at most; one text each at least, however long
 SLACK = 1.5  # bits a character above the usual before a text is rejected, beside SIGMAS deviations
 SIGMAS = 8.0
 UNKNOWN = "und"
@@ -32,14 +33,29 @@ _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass
+class Rows:
+    """Numbers of few languages for each of many hashes."""
+
+    start: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in wanted, language, value) of all numbers of the wanted hashes."""
+        size = self.start[wanted + 1] - self.start[wanted]
+        at = ragged(self.start[wanted], size)
+        return np.repeat(np.arange(len(wanted)), size), self.language[at], self.value[at]
+
+
 @dataclass
 class Model:
     languages: list[str]
     floor: float  # probability of any character before anything is known
     grams: list[np.ndarray]  # by order, sorted hashes
-    found: list[np.ndarray]  # by order, discounted probability by (n-gram, language)
+    found: list[Rows]  # by order, discounted probability of an n-gram in the languages that have it
     contexts: list[np.ndarray]  # by order, sorted hashes of the n-grams' contexts
-    rest: list[np.ndarray]  # by order, weight of the lower order by (context, language), 1 if never seen
+    rest: list[Rows]  # by order, weight of the lower order after a context, 1 in languages that have not seen it
     usual: np.ndarray | None = None  # by language, mean cross-entropy; infinite where no text could be held back
     spread: np.ndarray | None = None  # by language, deviation of one character
 
@@ -144,13 +160,13 @@ def _build(texts: dict[str, list[str]]) -> Model:
         parts.append(_one(list(merged) or [""], np.array(list(merged.values()) or [1])))
     model = Model(languages, 1 / (len(signs) + 2), [], [], [], [])
     for n in range(ORDER):
-        for keys_at, value_at, keys_out, values_out, default in ((0, 1, model.grams, model.found, 0.0), (2, 3, model.contexts, model.rest, 1.0)):
-            keys = np.unique(np.concatenate([p[n][keys_at] for p in parts]))
-            table = np.full((len(keys), len(languages)), default)
-            for k, p in enumerate(parts):
-                table[np.searchsorted(keys, p[n][keys_at]), k] = p[n][value_at]
+        for keys_at, value_at, keys_out, values_out in ((0, 1, model.grams, model.found), (2, 3, model.contexts, model.rest)):
+            own = np.concatenate([p[n][keys_at] for p in parts])
+            keys, place = np.unique(own, return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            language = np.repeat(np.arange(len(languages)), [len(p[n][keys_at]) for p in parts])
             keys_out.append(keys)
-            values_out.append(table)
+            values_out.append(Rows(np.searchsorted(place[order], np.arange(len(keys) + 1)), language[order], np.concatenate([p[n][value_at] for p in parts])[order]))
     return model
 
 
@@ -174,9 +190,11 @@ def learn(model: Model, pieces: list[str]) -> np.ndarray:
         context = hashes[n - 2][at[fits] - 1] if n > 1 else np.zeros(len(fits), np.uint64)
         c, seen = _look(model.contexts[n - 1], context)
         fits, c = fits[seen], c[seen]
-        p[fits] *= model.rest[n - 1][c]
+        row, language, value = model.rest[n - 1].of(c)
+        p[fits[row], language] *= value
         g, seen = _look(model.grams[n - 1], hashes[n - 1][at[fits]])
-        p[fits[seen]] += model.found[n - 1][g[seen]]
+        row, language, value = model.found[n - 1].of(g[seen])
+        p[fits[seen][row], language] += value
     bits = -np.log2(p)
     ends = np.cumsum(np.bincount(owner[at], minlength=len(some)))
     out[some, :-2] = sums(bits, np.r_[0, ends])
@@ -192,7 +210,13 @@ def measure(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.n
     if not len(piece):
         rows = np.zeros((len(texts), rows.shape[1]))
         return rows[:, :-2], rows[:, -2], rows[:, -1]
-    counts = sums(rows[piece], offsets)
+    counts = np.zeros((len(texts), rows.shape[1]))
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    step = max(1, CELLS // rows.shape[1])
+    for i in range(0, len(piece), step):
+        own = owner[i : i + step]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        counts[own[first]] += np.add.reduceat(rows[piece[i : i + step]], first, axis=0)
     return counts[:, :-2], np.rint(counts[:, -2]), np.rint(counts[:, -1])
 
 
@@ -212,7 +236,7 @@ def _predict(shared, mark: int, text_col: str | None):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
             names, scores, rejected = [], [], []
-            for i, j in slices(offsets, SLICE):
+            for i, j in slices(offsets, SLICE * 8 // max(8, len(model.languages))):
                 bits, n, letters = measure(texts.slice(i, j - i), known)
                 rate = bits / np.maximum(n, 1)[:, None]
                 best = rate.argmin(1)
@@ -234,15 +258,17 @@ def _predict(shared, mark: int, text_col: str | None):
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model | None:
     """A model of the labelled rows (those with a text and a language): of each language about PER_LANGUAGE
-    texts, whole, chosen by a hash of key and text, and of these in the order of a hash as many as have
-    CHARACTERS together, one at least; equal rows count once."""
+    texts (with more than 40 languages its share of TEXTS), whole, chosen by a hash of key and text, and of these
+    in the order of a hash as many as have its share of CHARACTERS together, one at least; equal rows count once.
+    So what the driver trains on is bounded, but for one text and ten rows a language."""
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     texts: dict[str, list[str]] = {}
-    chosen = sample(rows, "lang", PER_LANGUAGE, 3, ("key", "text")).select("lang", "key", "text").distinct()
+    many = max(1, rows.agg(F.count_distinct("lang").alias("n")).first()["n"])
+    chosen = sample(rows, "lang", max(10, min(PER_LANGUAGE, TEXTS // many)), 3, ("key", "text")).select("lang", "key", "text").distinct()
     ordered = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(4), "key", "text"), "key", "text")
     until = F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = chosen.withColumns({"place": F.row_number().over(ordered), "until": until}).filter((F.col("place") == 1) | (F.col("until") <= CHARACTERS))
+    chosen = chosen.withColumns({"place": F.row_number().over(ordered), "until": until}).filter((F.col("place") == 1) | (F.col("until") <= min(12_000_000, CHARACTERS // many)))
     for r in chosen.select("lang", "key", "text").collect():
         texts.setdefault(r["lang"], []).append((r["key"] is None, r["key"] or 0, r["text"]))
     return train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 200_000  # pieces that a worker keeps; it starts anew beyond
+MOST = 200_000  # pieces that a worker keeps, and
+CELLS = 2_000_000  # numbers of them; it starts anew beyond
 PART = 16_384  # pieces that are worked out at a time
 
 
@@ -40,12 +41,13 @@ class Known:
         self.rows: np.ndarray | None = None
 
     def __call__(self, pieces: list[str]) -> np.ndarray:
-        if len(self.number) > MOST:
+        if len(self.number) > MOST or self.rows is not None and len(self.number) * self.rows.shape[1] > CELLS:
             self.number, self.rows = {}, None
         number = self.number
         missing = [w for w in pieces if w not in number]
-        for at in range(0, len(missing), PART):
-            part = missing[at : at + PART]
+        part_size = PART if self.rows is None or self.rows.shape[1] < 16 else max(256, PART * 16 // self.rows.shape[1])
+        for at in range(0, len(missing), part_size):
+            part = missing[at : at + part_size]
             new = self.learn(part)
             n = len(number)
             number.update(zip(part, range(n, n + len(part))))
@@ -78,7 +80,7 @@ def sample(keyed, count_by: str | None, most: int, salt: int, by: tuple[str, ...
         n = keyed.count()
         return keyed.filter(spot < int(space * min(1.0, most / max(1, n))))
     counts = {r[count_by]: r["count"] for r in keyed.groupBy(count_by).count().collect()}
-    share = F.lit(0)
-    for value, n in sorted(counts.items()):
-        share = F.when(F.col(count_by) == value, int(space * min(1.0, most / n))).otherwise(share)
-    return keyed.filter(spot < share)
+    if not counts:
+        return keyed
+    shares = F.create_map(*[F.lit(x) for value, n in sorted(counts.items()) for x in (value, int(space * min(1.0, most / n)))])
+    return keyed.filter(spot < F.try_element_at(shares, F.col(count_by)))
