@@ -24,7 +24,8 @@ from .words import sample
 
 SAMPLE = 16_384  # vectors that the index is fitted on (the sample's documented bound)
 LISTS = 1024  # most lists
-VISITED = 0.7  # share of the lists that a query visits, 8 at least: vectors without clusters need so many for a recall of 0.9
+RECALL = 0.97  # of the sample's nearest that stand in the lists a query visits; vectors without clusters need most lists for it
+PROBES = 256  # vectors of the sample that this is measured with
 SUBSPACES = 16
 RERANKED = 300  # best of all lists by code that are ranked again exactly
 SHARD = 20_000  # entries of a shard
@@ -38,6 +39,7 @@ class Index:
     centroids: np.ndarray  # lists x dimension, unit vectors
     books: list[np.ndarray]  # by subspace, 256 x its width
     edges: list[int]  # where subspaces start and end
+    visits: int  # lists that a query visits
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
@@ -66,7 +68,23 @@ def fit(x: np.ndarray, total: int) -> Index:
     centroids = _kmeans(x, lists, 10, rng, True)
     rest = x - centroids[(x @ centroids.T).argmax(1)]
     edges = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int).tolist()
-    return Index(centroids, [_kmeans(rest[:, a:b], 256, 8, rng, False) for a, b in zip(edges, edges[1:])], edges)
+    books = [_kmeans(rest[:, a:b], 256, 8, rng, False) for a, b in zip(edges, edges[1:])]
+    return Index(centroids, books, edges, _visits(x, centroids, rng))
+
+
+def _visits(x: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> int:
+    """How many lists a query has to visit for RECALL of its five nearest, as the sample shows it; 8 at least."""
+    asks = rng.choice(len(x), min(PROBES, len(x)), replace=False)
+    near = x[asks] @ x.T
+    near[np.arange(len(asks)), asks] = -np.inf
+    most = min(5, len(x) - 1)
+    if most < 1:
+        return min(8, len(centroids))
+    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    home = (x @ centroids.T).argmax(1)
+    order = np.argsort(np.argsort(-(x[asks] @ centroids.T), axis=1), axis=1)
+    places = np.sort(np.take_along_axis(order, home[best], axis=1).ravel())
+    return int(min(len(centroids), max(8, places[int(np.ceil(RECALL * len(places))) - 1] + 1)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -96,16 +114,16 @@ def _code(shared):
     return run
 
 
-def _search(shared, shards: int):
-    share = RERANKED / shards
-    most = min(RERANKED, int(np.ceil(share + 5 * np.sqrt(share) + 5)))
+def _search(shared, shards: int, reranked: int, visited: float | None):
+    share = reranked / shards
+    most = min(reranked, int(np.ceil(share + 5 * np.sqrt(share) + 5)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         index = shared.value
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], schema=_FOUND)
         lists, width = index.centroids.shape
-        visits = min(lists, max(8, int(np.ceil(VISITED * lists))))
+        visits = index.visits if visited is None else min(lists, max(8, int(np.ceil(visited * lists))))
         reps, home = left.column("rep").to_numpy(), left.column("list").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
         order = np.lexsort((reps, home))
@@ -130,6 +148,27 @@ def _search(shared, shards: int):
     return run
 
 
+def _scanned(k: int):
+    """Every entry against every query of a block, without codes: the k + 1 nearest and all within rounding of them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], schema=_FOUND)
+        matrix = lambda t: _unit(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1))
+        x, q = matrix(left), matrix(right)
+        reps, asks = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+        out = []
+        for i in range(0, len(q), 256):
+            near = q[i : i + 256] @ x.T
+            many = min(k + 1, near.shape[1])
+            bound = np.partition(near, near.shape[1] - many, axis=1)[:, near.shape[1] - many]
+            row, at = np.nonzero(near >= bound[:, None] - 1e-9)
+            out.append(pa.RecordBatch.from_arrays([pa.array(asks[i + row]), pa.array(reps[at]), pa.array(near[row, at].astype(np.float32))], schema=_FOUND))
+        return pa.Table.from_batches(out, schema=_FOUND)
+
+    return run
+
+
 def _top(near: np.ndarray, reps: np.ndarray, most: int) -> np.ndarray:
     """Places of the `most` largest, ties to the smaller id."""
     bound = np.partition(near, len(near) - most)[len(near) - most]
@@ -137,9 +176,13 @@ def _top(near: np.ndarray, reps: np.ndarray, most: int) -> np.ndarray:
     return some[np.lexsort((reps[some], -near[some]))[:most]]
 
 
-def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", reranked: int = RERANKED, visited: float | None = None, exact: bool = False) -> DataFrame:
     """The k nearest others by cosine of every row for which the condition `queries` holds.
 
+    reranked: candidates of a query whose cosines are computed. visited: the share of the lists that a query
+    visits; if none is given, as many as the sample shows to hold RECALL of the nearest. exact: compare
+    every query with every vector instead, block by block, for results without any bound on candidates.
+
     Columns: query_id, rank (from 1), the id, score (the exact cosine, in double precision); ties go to
     the smaller id. Vectors that are null, zero, hold null or non-finite components, or are not as long
     as most, take no part, nor do rows without an id. Rows that repeat an id count once for each
@@ -160,21 +203,24 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     asking = written(sound.filter("asks").select("id", "v").join(members.select("v", "rep"), "v").select("id", "rep"), "queries")
     entries = members.select("rep", F.col("v").cast("array<float>").alias("vector"))
     total = members.count()
-    chosen = sample(members.select(F.col("rep").alias("key"), F.col("v")), None, SAMPLE, 5).select("key", "v").collect()
-    if not chosen:
+    chosen = [] if exact else sample(members.select(F.col("rep").alias("key"), F.col("v")), None, SAMPLE, 5).select("key", "v").collect()
+    if not chosen and not exact:
         chosen = members.select(F.col("rep").alias("key"), "v").orderBy("rep").limit(SAMPLE).collect()
     chosen.sort(key=lambda r: r["key"])
-    shared = spark.sparkContext.broadcast(fit(_unit(np.array([r["v"] for r in chosen], float)).astype(np.float32), total))
-    coded = written(entries.mapInArrow(_code(shared), "rep bigint, list int, code binary"), "codes")
+    if exact:
+        coded = members.select(F.col("rep").alias("rep"), F.col("v").alias("v"))
+    else:
+        shared = spark.sparkContext.broadcast(fit(_unit(np.array([r["v"] for r in chosen], float)).astype(np.float32), total))
+        coded = written(entries.mapInArrow(_code(shared), "rep bigint, list int, code binary"), "codes")
     shards = max(1, -(-total // SHARD))
     sharded = coded.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     blocks = max(1, -(-asking.select("rep").distinct().count() // BLOCK))
     sharded = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(blocks)).cast("int"))
+    asked = (members.select("rep", "v") if exact else entries).join(asking.select("rep").distinct(), "rep", "left_semi").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = sharded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(shared, shards), "query bigint, rep bigint, near float")
+    found = sharded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_scanned(k) if exact else _search(shared, shards, reranked, visited), "query bigint, rep bigint, near float")
     best = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
-    pairs = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= RERANKED).select("query", "rep")
+    pairs = found.select("query", "rep") if exact else found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= reranked).select("query", "rep")
     mine = members.select(F.col("rep").alias("query"), F.col("v").alias("w"))
     exact = pairs.join(members, "rep").join(mine, "query").select("query", "ids", _cosine("v", "w").alias("score"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "member")
