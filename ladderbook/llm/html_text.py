@@ -81,56 +81,75 @@ def _words(name: str) -> list[str]:
     return [w.lower() for w in _NAMES.findall(name)]
 
 
+class _Open:
+    """The open elements, and at which depths those of each tag stand, so that no end tag walks them."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes = tags, [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # depths of block elements
+        self.holders: list[int] = []  # depths of elements beyond which no paragraph is closed
+
+    def push(self, node: int) -> None:
+        tag, depth = self.tags[node], len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
+        if tag in HOLDS_P:
+            self.holders.append(depth)
+
+    def cut(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.at[self.tags[node]].pop()
+        del self.nodes[depth:]
+        for depths in (self.blocks, self.holders):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(page: str) -> _Tree:
-    """The page's tree; unclosed, misplaced and cut-off tags are repaired as browsers mostly do."""
+    """The page's tree; unclosed, misplaced and cut-off tags are repaired as browsers mostly do, in linear time."""
     tree = _Tree()
-    stack, at = [0], 0
-    tags, parts = tree.tag, tree.parts
+    stack, at = _Open(tree.tag), 0
+    parts = tree.parts
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
             if at < len(page):
-                parts[stack[-1]].append(entities.unescape(page[at:]))
+                parts[stack.nodes[-1]].append(entities.unescape(page[at:]))
             return tree
         if m.start() > at:
-            parts[stack[-1]].append(entities.unescape(page[at : m.start()]))
+            parts[stack.nodes[-1]].append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag == tag:
-                    del stack[depth:]
-                    break
-                if tag not in BLOCK and open_tag in BLOCK:
-                    break
+            depth = stack.last((tag,))
+            if depth and (tag in BLOCK or not stack.blocks or stack.blocks[-1] < depth):
+                stack.cut(depth)
             continue
         if tag == "html":
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag == "p":
-                    del stack[depth:]
-                    break
-                if open_tag in HOLDS_P:
-                    break
+            depth = stack.last(("p",))
+            if depth > (stack.holders[-1] if stack.holders else 0):
+                stack.cut(depth)
         if tag in CLOSED_BY:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tags[stack[depth]]
-                if open_tag in CLOSED_BY[tag]:
-                    del stack[depth:]
-                    break
-                if open_tag in KEEPS_IN[tag]:
-                    break
-        if tag == "body" and "head" in [tags[k] for k in stack]:
-            del stack[1:]
+            depth = stack.last(CLOSED_BY[tag])
+            if depth > stack.last(KEEPS_IN[tag]):
+                stack.cut(depth)
+        if tag == "body" and stack.last(("head",)):
+            stack.cut(1)
         raw = m[3] if m[2] else m[6]
         cut, names = _is_cut(tag, raw)
-        node = tree.add(tag, stack[-1], cut)
+        node = tree.add(tag, stack.nodes[-1], cut)
         if names:
             tree.names[node] = names
         if tag in VOID:
@@ -142,21 +161,28 @@ def parse(page: str) -> _Tree:
             at = close + 1 if close >= 0 else len(page)
             continue
         if not raw.endswith("/") or tag in BLOCK:
-            stack.append(node)
+            stack.push(node)
 
 
-def _above(tree: _Tree, k: int):
-    while (k := tree.parent[k]) >= 0:
-        yield k
+def _inside(tree: _Tree, tags: tuple[str, ...]) -> list[bool]:
+    """Whether an element of these tags is above each node."""
+    out = [False] * len(tree.tag)
+    for k in range(1, len(out)):
+        up = tree.parent[k]
+        out[k] = out[up] or tree.tag[up] in tags
+    return out
 
 
 def _holders(tree: _Tree) -> None:
     """A named part that holds the article element, or inside it the article's first heading, is not cut by its name."""
+    within = _inside(tree, ("article",))
+    seen = [0] * len(tree.tag)  # 2: the way up from here is done, 1: for headings only
     for k in range(len(tree.tag)):
-        inner = tree.tag[k] == "h1" and any(tree.tag[x] == "article" for x in _above(tree, k))
+        inner = tree.tag[k] == "h1" and within[k]
         if tree.tag[k] in ("article", "main") or inner:
-            up = tree.parent[k]
-            while up > 0:
+            up, done = tree.parent[k], 1 if inner else 2
+            while up > 0 and seen[up] < done:
+                seen[up] = done
                 if tree.tag[up] not in CUT_TAGS or tree.tag[up] == "form" and not inner:
                     tree.cut[up] = False
                 up = tree.parent[up]
@@ -184,13 +210,14 @@ def _wide(tree: _Tree) -> None:
             free[tree.parent[k]] += free[k]
             chars[tree.parent[k]] += chars[k]
     body = next((k for k in range(n) if tree.tag[k] == "body"), 0)
+    within = _inside(tree, ("article", "main"))
     for k in range(1, n):
         if not tree.cut[k] or k not in tree.names and tree.tag[k] != "form":
             continue
         words = [_words(x) for x in tree.names.get(k, [])]
         if 2 * free[k] > free[body] and not (words and all(REPLIES.issuperset(w) for w in words)):
             tree.cut[k] = False
-        elif words and tree.tag[k] in ("p", "section") and 2 * free[k] > chars[k] and any(tree.tag[x] in ("article", "main") for x in _above(tree, k)):
+        elif words and tree.tag[k] in ("p", "section") and 2 * free[k] > chars[k] and within[k]:
             if all(len(w) > 1 and TOPICS.issuperset(CUT_NAMES.intersection(w)) and not CUT_NAMES.issuperset(w) for w in words):
                 tree.cut[k] = False
 
