@@ -40,7 +40,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
 
     tokenizer: a vocabulary file (.json: tokenizers, .model: sentencepiece) that every executor has.
     cache: a Parquet folder of counts by (content digest, tokenizer digest), read first and appended
-    to; a new one in the shared folder if none is given.
+    to; a new one in the shared folder if none is given. A digest that is stored twice counts once.
 
     Content is normalised only in ways that no tokenizer can see: null counts as empty. Texts are
     taken whole, without added special tokens. Equal texts share one count; a digest that a third of
@@ -60,6 +60,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     misses = keyed.join(chosen, (F.col("content") == F.col("wanted")) & F.col(id_col).eqNullSafe(F.col("least")), "left_semi").select("content", "text")
     counted = misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens bigint").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("content", F.lit(kind).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(SCHEMA).parquet(cache).filter(F.col("tokenizer") == kind).select("content", "n_tokens")
+    counts = spark.read.schema(SCHEMA).parquet(cache).filter(F.col("tokenizer") == kind).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     lean = keyed.select(id_col, F.octet_length("text").cast("bigint").alias("n_bytes"), "content")
     return lean.join(counts, "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
