@@ -25,6 +25,7 @@ SLICE = 1 << 20  # bytes of text that are scored at a time
 PER_LANGUAGE = 600  # training texts of one language (the sample's documented bound), fewer with many languages:
 TEXTS = 24_000  # of all languages together, ten of each at least
 CHARACTERS = 48_000_000  # of the training texts together, shared out evenly, 12,000,000 a language at most; one text each at least, however long
+WHOLE = 1 << 21  # numbers of a table that is kept whole, which is faster; larger ones are kept by language
 SLACK = 1.5  # bits a character above the usual before a text is rejected, beside SIGMAS deviations
 SIGMAS = 8.0
 UNKNOWN = "und"
@@ -47,15 +48,21 @@ class Rows:
         at = ragged(self.start[wanted], size)
         return np.repeat(np.arange(len(wanted)), size), self.language[at], self.value[at]
 
+    def whole(self, languages: int, default: float) -> np.ndarray:
+        """The same as a table of all languages."""
+        table = np.full((len(self.start) - 1, languages), default)
+        table[np.repeat(np.arange(len(table)), np.diff(self.start)), self.language] = self.value
+        return table
+
 
 @dataclass
 class Model:
     languages: list[str]
     floor: float  # probability of any character before anything is known
     grams: list[np.ndarray]  # by order, sorted hashes
-    found: list[Rows]  # by order, discounted probability of an n-gram in the languages that have it
+    found: list[Rows | np.ndarray]  # by order, discounted probability of an n-gram in the languages that have it
     contexts: list[np.ndarray]  # by order, sorted hashes of the n-grams' contexts
-    rest: list[Rows]  # by order, weight of the lower order after a context, 1 in languages that have not seen it
+    rest: list[Rows | np.ndarray]  # by order, weight of the lower order after a context, 1 in languages that have not seen it
     usual: np.ndarray | None = None  # by language, mean cross-entropy; infinite where no text could be held back
     spread: np.ndarray | None = None  # by language, deviation of one character
 
@@ -160,13 +167,14 @@ def _build(texts: dict[str, list[str]]) -> Model:
         parts.append(_one(list(merged) or [""], np.array(list(merged.values()) or [1])))
     model = Model(languages, 1 / (len(signs) + 2), [], [], [], [])
     for n in range(ORDER):
-        for keys_at, value_at, keys_out, values_out in ((0, 1, model.grams, model.found), (2, 3, model.contexts, model.rest)):
+        for keys_at, value_at, keys_out, values_out, default in ((0, 1, model.grams, model.found, 0.0), (2, 3, model.contexts, model.rest, 1.0)):
             own = np.concatenate([p[n][keys_at] for p in parts])
             keys, place = np.unique(own, return_inverse=True)
             order = np.argsort(place, kind="stable")
             language = np.repeat(np.arange(len(languages)), [len(p[n][keys_at]) for p in parts])
             keys_out.append(keys)
-            values_out.append(Rows(np.searchsorted(place[order], np.arange(len(keys) + 1)), language[order], np.concatenate([p[n][value_at] for p in parts])[order]))
+            rows = Rows(np.searchsorted(place[order], np.arange(len(keys) + 1)), language[order], np.concatenate([p[n][value_at] for p in parts])[order])
+            values_out.append(rows if len(keys) * len(languages) > WHOLE else rows.whole(len(languages), default))
     return model
 
 
@@ -190,11 +198,17 @@ def learn(model: Model, pieces: list[str]) -> np.ndarray:
         context = hashes[n - 2][at[fits] - 1] if n > 1 else np.zeros(len(fits), np.uint64)
         c, seen = _look(model.contexts[n - 1], context)
         fits, c = fits[seen], c[seen]
-        row, language, value = model.rest[n - 1].of(c)
-        p[fits[row], language] *= value
+        if isinstance(model.rest[n - 1], Rows):
+            row, language, value = model.rest[n - 1].of(c)
+            p[fits[row], language] *= value
+        else:
+            p[fits] *= model.rest[n - 1][c]
         g, seen = _look(model.grams[n - 1], hashes[n - 1][at[fits]])
-        row, language, value = model.found[n - 1].of(g[seen])
-        p[fits[seen][row], language] += value
+        if isinstance(model.found[n - 1], Rows):
+            row, language, value = model.found[n - 1].of(g[seen])
+            p[fits[seen][row], language] += value
+        else:
+            p[fits[seen]] += model.found[n - 1][g[seen]]
     bits = -np.log2(p)
     ends = np.cumsum(np.bincount(owner[at], minlength=len(some)))
     out[some, :-2] = sums(bits, np.r_[0, ends])

@@ -35,7 +35,9 @@ def test_passages_in_many_documents(spark, monkeypatch):
         assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(frame).collect()} == want
 
 
-def test_three_hundred_languages():
+@pytest.mark.parametrize("whole", [0, 1 << 30])
+def test_three_hundred_languages(whole, monkeypatch):
+    monkeypatch.setattr(langid, "WHOLE", whole)
     rng = np.random.default_rng(5)
     words = {f"l{k:03d}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40)] for k in range(300)}
     texts = {k: [" ".join(rng.choice(w, 30)) for _ in range(10)] for k, w in words.items()}
