@@ -12,8 +12,8 @@ def test_queries_meet_shards_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 200)
     real = ann._search
 
-    def bounded(shared, shards):
-        inner = real(shared, shards)
+    def bounded(shared, shards, *more):
+        inner = real(shared, shards, *more)
 
         def run(left, right):
             assert right.num_rows <= 60 and left.num_rows <= 300
