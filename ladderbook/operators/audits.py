@@ -16,10 +16,22 @@ def in_order(*by: str):
 
 
 def epoch_segments(market: DataFrame) -> DataFrame:
-    """market with changed (another connection than the row before of its symbol) and epoch_seg, how many changes so far."""
-    changed = F.coalesce(F.col("conn_epoch") != F.lag("conn_epoch").over(in_order()), F.lit(False))
-    marked = market.withColumn("changed", changed)
-    return marked.withColumn("epoch_seg", F.sum(F.col("changed").cast("bigint")).over(in_order()))
+    """market with changed (another connection than the row before of its symbol) and epoch_seg, how many changes so far.
+
+    Only the connections of a symbol are put in order, not its rows: a change is the least number of a
+    connection that isn't the first. Rows that repeat that number are all marked; rows without a
+    connection come before all others and are no change.
+    """
+    by = Window.partitionBy(*KEY).orderBy("_epoch")
+    found = market.groupBy(*KEY, F.col("conn_epoch").alias("_epoch")).agg(F.min("conn_seq").alias("_first")).filter("_epoch is not null")
+    found = found.withColumn("epoch_seg", (F.row_number().over(by) - 1).cast("bigint"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_epoch", "_first", "epoch_seg")
+    same = F.col("conn_epoch") == F.col("_epoch")
+    for c in KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = market.join(found, same, "left")
+    changed = F.coalesce((F.col("epoch_seg") > 0) & (F.col("conn_seq") == F.col("_first")), F.lit(False))
+    return joined.select(*market.columns, changed.alias("changed"), F.coalesce("epoch_seg", F.lit(0)).alias("epoch_seg"))
 
 
 def continuity(parsed: DataFrame) -> DataFrame:

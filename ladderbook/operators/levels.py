@@ -124,19 +124,38 @@ def _swept(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
     return pa.Table.from_arrays(cols, schema=_ARROW).combine_chunks().to_batches()[0]
 
 
+def _outlived(levels: DataFrame) -> DataFrame:
+    """levels (…c0, c1) with the chunks between c0 and c1, all through which they live, as far as they can be
+    among a chunk's best.
+
+    Each stretch of chunks is cut into blocks of 1, 2, 4, … chunks, two of a size at most; a block hands
+    only its best levels on to its chunks, so that a chunk gets some per size of block, however deep the book.
+    """
+    size = F.expr("shiftleft(1L, l)")
+    blocks = levels.withColumn("l", F.explode(F.expr("sequence(0, cast(floor(log2(c1 - c0 - 1)) as int) + 1)")))
+    blocks = blocks.withColumns({"lo": F.floor((F.col("c0") + size) / size), "hi": F.floor(F.col("c1") / size)}).filter("lo < hi")
+    blocks = blocks.withColumn("block", F.explode(F.expr("filter(array(if(lo % 2 = 1, lo, null), if(hi % 2 = 1, hi - 1, null)), b -> b is not null)")))
+    order = F.when(F.col("side") == 0, -F.col("price")).otherwise(F.col("price"))
+    best = blocks.withColumn("n", F.row_number().over(Window.partitionBy(*_BOOK, "side", "l", "block").orderBy(order))).filter(F.col("n") <= BEST)
+    chunks = F.sequence(F.col("block") * size, (F.col("block") + 1) * size - 1)
+    return best.select(*_BOOK, "side", "price", "qty", F.explode(chunks).alias("chunk"))
+
+
 def states(writes: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The best levels at every ordinal of marks (…segment, ordinal), 0 being the seed itself.
 
     A segment is cut into chunks of `chunk` ordinals, each swept by itself from the levels that are
-    alive where it starts, so that the one busy book of a capture is spread over many tasks.
+    alive where it starts, so that the one busy book of a capture is spread over many tasks. Of the
+    levels that outlive a chunk only those reach it that can be among its best (_outlived).
     """
     number = lambda c: F.floor(F.greatest(c - 1, F.lit(0)) / chunk).cast("bigint")
     last = marks.groupBy(*_BOOK).agg(F.max("ordinal").alias("top"))
     lived = lifetimes(writes).join(last, _BOOK)
     end = number(F.least(F.coalesce("until", F.col("top")), F.col("top")))
     own = lived.select(*_BOOK, number(F.col("ordinal")).alias("chunk"), "side", "ordinal", "price", "qty")
-    carried = lived.filter("qty <> 0").select(*_BOOK, "side", "ordinal", "price", "qty", number(F.col("ordinal")).alias("c0"), end.alias("c1")).filter("c1 > c0")
-    carried = carried.select(*_BOOK, F.explode(F.expr("sequence(c0 + 1, c1)")).alias("chunk"), "side", F.lit(-1).cast("bigint").alias("ordinal"), "price", "qty")
+    long = lived.filter("qty <> 0").select(*_BOOK, "side", "price", "qty", number(F.col("ordinal")).alias("c0"), end.alias("c1")).filter("c1 > c0")
+    carried = long.withColumn("chunk", F.col("c1")).drop("c0", "c1").unionByName(_outlived(long.filter("c1 > c0 + 1")))
+    carried = carried.select(*_BOOK, "chunk", "side", F.lit(-1).cast("bigint").alias("ordinal"), "price", "qty")
     none = F.lit(0).cast("bigint")
     signs = marks.select(*_BOOK, number(F.col("ordinal")).alias("chunk"), F.lit(-1).alias("side"), "ordinal", none.alias("price"), none.alias("qty"))
     rows = own.unionByName(carried).unionByName(signs)

@@ -7,8 +7,8 @@ stale by its ids. Needs the RocksDB state store.
 
 from __future__ import annotations
 
-import heapq
 import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +47,41 @@ def _levels(text: str) -> tuple[list, list]:
     return tuple([(x["price"], x["qty"]) for x in found[side]] for side in "ba")
 
 
+class Side:
+    """One side of a book in a micro-batch: sizes by price, and the prices in order, the best first."""
+
+    def __init__(self, sign: int):
+        self.sign = sign  # -1 bids, 1 asks
+        self.stored: dict[int, int] = {}  # as the state store has it
+        self.size: dict[int, int] = {}
+        self.keys: list[int] = []
+        self.touched: set[int] = set()
+
+    def load(self) -> None:
+        self.size = dict(self.stored)
+        self.keys = sorted(self.sign * p for p in self.size)
+
+    def clear(self) -> None:
+        self.touched.update(self.size)
+        self.size.clear()
+        self.keys.clear()
+
+    def put(self, price: int, size: int) -> None:
+        """size 0 takes the level away."""
+        key, known = self.sign * price, price in self.size
+        self.touched.add(price)
+        if size:
+            self.size[price] = size
+            if not known:
+                insort(self.keys, key)
+        elif known:
+            del self.size[price]
+            del self.keys[bisect_left(self.keys, key)]
+
+    def best(self) -> list[tuple[int, int]]:
+        return [(self.sign * k, self.size[self.sign * k]) for k in self.keys[:5]]
+
+
 class BookProcessor(StatefulProcessor):
     def __init__(self, have_sidecar: bool, trades: bool = False, cap: int = BUFFER):
         self.options = (have_sidecar, trades, cap)
@@ -73,10 +108,11 @@ class BookProcessor(StatefulProcessor):
         stored = {m[1]: tuple(m) for m in self.snapshots.get()} if self.snapshots.exists() else {}
         for m in stored.values():
             session.add_snapshot(m[1], m[7])
-        book: tuple[dict, dict] = ({}, {})
+        book = (Side(-1), Side(1))
         for k, v in self.levels.iterator() if self.levels.exists() else ():
-            book[k[0]][k[1]] = v[0]
-        before = {(n, p): q for n, side in enumerate(book) for p, q in side.items()}
+            book[k[0]].stored[k[1]] = v[0]
+        for side in book:
+            side.load()
         names = [f.split()[0] for f in _MESSAGE.split(", ")]
         batch = pd.concat(list(rows))[names].sort_values(["epoch", "seq"], kind="stable")
         out: list[tuple] = []
@@ -93,15 +129,14 @@ class BookProcessor(StatefulProcessor):
                     source = stored.pop(a.seq) if a.source == "snapshot" else m
                     for side, levels in zip(book, _levels(source[10])):
                         side.clear()
-                        side.update((p, q) for p, q in levels if q)
+                        for p, q in levels:
+                            if q:
+                                side.put(p, q)
                 elif a.action == "apply":
                     d = kept.pop((a.epoch, a.seq))
                     for side, levels in zip(book, _levels(d[10])):
                         for p, q in levels:
-                            if q:
-                                side[p] = q
-                            else:
-                                side.pop(p, None)
+                            side.put(p, q)
                     out.append((*key, d[8], d[9], a.number, "D", "N", *_best(book)))
                 elif a.action == "trade":
                     out.append((*key, m[8], m[9], a.number, "T", "N", *_best(book)))
@@ -116,12 +151,13 @@ class BookProcessor(StatefulProcessor):
         self.head.update((-1 if session.epoch is None else session.epoch, session.pending, session.ready, session.started, session.last, session.segment, session.ordinal, session.number))
         self.waiting.put([kept[d.epoch, d.seq] for d in session.buffer]) if session.buffer else self.waiting.clear()
         self.snapshots.put([stored[place] for place, _ in session.snapshots]) if session.snapshots else self.snapshots.clear()
-        after = {(n, p): q for n, side in enumerate(book) for p, q in side.items()}
-        for k in before.keys() - after.keys():
-            self.levels.removeKey(k)
-        for k, q in after.items():
-            if before.get(k) != q:
-                self.levels.updateValue(k, (q,))
+        for n, side in enumerate(book):
+            for p in side.touched:
+                q = side.size.get(p)
+                if q is None and p in side.stored:
+                    self.levels.removeKey((n, p))
+                elif q is not None and q != side.stored.get(p):
+                    self.levels.updateValue((n, p), (q,))
         yield pd.DataFrame(out, columns=[f.name for f in ROWS])
 
 
@@ -130,8 +166,8 @@ def _padded(levels: list[tuple[int, int]]) -> list[int]:
     return [p for p, _ in levels] + [q for _, q in levels]
 
 
-def _best(book: tuple[dict, dict]) -> list[int]:
-    return _padded(heapq.nlargest(5, book[0].items())) + _padded(heapq.nsmallest(5, book[1].items()))
+def _best(book: tuple[Side, Side]) -> list[int]:
+    return _padded(book[0].best()) + _padded(book[1].best())
 
 
 def _first(levels: tuple[list, list]) -> list[int]:

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladderbook.functions import columns as C
+from ladderbook.operators.audits import epoch_segments
+from ladderbook.operators.levels import STATE, states
 from ladderbook.operators.rebuild import parse_market, parse_snapshots, rebuild
 from ladderbook.sources.captures import BOOK, MARKET, SNAPSHOTS
 from ladderbook.sources.storage import shared_dir
@@ -241,3 +243,34 @@ def test_stretches_equal_single_messages(venue, sidecar, monkeypatch):
             out = sequencing._run({"trades": trades, "cap": cap, "seed_by_final_id": False})(iter(batches))
             results.append([tuple(r.values()) for b in out for r in b.to_pylist()])
         assert results[0] == results[1] and len(results[0]) > 500
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 8, 100])
+def test_best_of_deep_books_by_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    writes, live, want = [], {}, []
+    for t in range(60):
+        prices = rng.sample(range(60), 50 if t == 0 else rng.randint(1, 3))
+        for p in prices:
+            for side in (0, 1):
+                q = rng.choice([0, 1, 2, 3]) if t else 1 + p
+                if t or q:
+                    writes.append(("c", "v", "s", 0, t, side, 1000 * side + p, q))
+                    live[side, 1000 * side + p] = q
+        row = [t]
+        for side, order in ((0, -1), (1, 1)):
+            best = sorted((order * p, q) for (n, p), q in live.items() if n == side and q)[:5]
+            best += [(0, 0)] * (5 - len(best))
+            row += [order * p for p, _ in best] + [q for _, q in best]
+        want.append(tuple(row))
+    frame = spark.createDataFrame(writes, "capture_id string, venue string, symbol string, segment bigint, ordinal bigint, side int, price bigint, qty bigint")
+    marks = frame.select("capture_id", "venue", "symbol", "segment", "ordinal").distinct()
+    found = states(frame, marks, chunk).select("ordinal", *STATE).orderBy("ordinal").collect()
+    assert [tuple(r) for r in found] == want
+
+
+def test_connections_in_order(spark):
+    rows = [("x", "spot", "A", e, n) for e, n in [(None, 3), (2, 5), (2, 6), (4, 1), (4, 1), (4, 2), (9, 7)]] + [("x", "spot", None, 1, 1), ("x", "spot", None, 3, 2)]
+    frame = spark.createDataFrame(rows, "capture_id string, venue string, symbol string, conn_epoch bigint, conn_seq bigint")
+    found = sorted((str(r.symbol), r.conn_epoch or 0, r.conn_seq, r.changed, r.epoch_seg) for r in epoch_segments(frame).collect())
+    assert found == sorted([("A", 0, 3, False, 0), ("A", 2, 5, False, 0), ("A", 2, 6, False, 0), ("A", 4, 1, True, 1), ("A", 4, 1, True, 1), ("A", 4, 2, False, 1), ("A", 9, 7, True, 2), ("None", 1, 1, False, 0), ("None", 3, 2, True, 1)])
