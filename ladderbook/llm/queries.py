@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, mixing, quality
 from .ann import nearest
 from .common import table
+from .conversations import digests, repair
 from .html_text import extract
 from .media import read_media, store_texts
 from .packing import pack
@@ -145,3 +146,24 @@ def op9_media(spark, sf_dir):
     digests = stored.withColumns({"media_bytes": F.octet_length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
     read = read_media(digests, with_tensor=False)
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def damaged(conversations):
+    """Conversations as op11 damages them, by a checksum of each row's place."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), F.pmod(F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")), F.lit(20)).alias("_code")).filter("_code <> 0")
+    harmed = F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"role": F.when(F.col("_code") == 4, "user").otherwise(F.col("role")), "text": harmed})
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.when(F.col("_code") == 3, 2).otherwise(1)))).drop("col")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("_conv")).distinct()
+    same = lambda c: F.col("_conv").eqNullSafe(F.col(c))
+    hashed = digests(found.messages).select(F.col("conv_id").alias("_hashed"), "sha256")
+    rows = every.join(found.summary, same("conv_id"), "left").join(hashed, same("_hashed"), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
