@@ -45,3 +45,14 @@ def running(rows: DataFrame, key: list[str], at: str, sums: dict[str, str], down
     inside = Window.partitionBy(*key, "_block").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, 0)
     joined = dealt.join(totals, [*key, "_block"])
     return joined.select(*rows.columns, *[(F.col(f"_t_{c}") + F.sum(c).over(inside)).alias(name) for c, name in sums.items()])
+
+
+def looked_up(rows: DataFrame, right: DataFrame, key: list[str], salt: Column) -> DataFrame:
+    """rows with right's other columns by key (null where it has none); right has one row a key, keys are not null.
+
+    The salt parts each key's rows; only the distinct pairs of key and salt meet right, so a key of very many
+    rows is spread without copies of right that nobody needs.
+    """
+    dealt = rows.withColumn("_salt", salt)
+    pairs = dealt.select(*key, "_salt").distinct().join(right, key, "left")
+    return dealt.join(pairs, [*key, "_salt"]).drop("_salt")

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from . import langid, mixing, quality
 from .ann import nearest
-from .common import table
+from .common import table, written
 from .conversations import digests, repair
 from .html_text import extract
 from .media import read_media, store_texts
+from .order import looked_up
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .trie import trie, turns_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -167,3 +169,52 @@ def op11_conversation_repair(spark, sf_dir):
     rows = every.join(found.summary, same("conv_id"), "left").join(hashed, same("_hashed"), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def grafted(turns, ids):
+    """op13's conversations: the first h turns of conversation c - c % 5 before c's own turns after its first h; h is a checksum of c."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(9))
+    every = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("_base"), h.alias("_h"))
+    first = turns.filter("place <= 8").select(F.col("conv_id").alias("_base"), "place", "digest", "bytes")
+    taken = every.join(first, "_base").filter("place <= _h").select("conv_id", "place", "digest", "bytes")
+    size = first.groupBy("_base").agg(F.count("*").alias("_size"))  # of the first eight
+    start = every.join(size, "_base", "left").select("conv_id", "_h", F.least("_h", F.coalesce("_size", F.lit(0))).alias("_given"))
+    own = looked_up(turns, start, ["conv_id"], F.floor(F.col("place") / 4096)).filter("place > _h")
+    return taken.unionByName(own.select("conv_id", (F.col("place") - F.col("_h") + F.col("_given")).alias("place"), "digest", "bytes"))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = written(turns_of(conversations), "turns")
+    ids = turns.select("conv_id").distinct()
+    return trie(grafted(turns, ids), ids)
+
+
+def _checksum_sql(text: str) -> str:
+    """DuckDB: CRC-32 of an ASCII text; fixed values: the polynomial and the mask."""
+    one = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, case when d & 1 = 1 then 3988292384 else 0 end))"
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(({text})[i]) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {letters}), lambda c, b: {one}), 4294967295)"
+
+
+ORACLES["op13_prefix_trie"] = f"""
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+every as (select conv_id, conv_id - conv_id % 5 as base, {_checksum_sql("cast(conv_id as varchar)")} % 9 as h from (select distinct conv_id from own)),
+rows as (
+  select e.conv_id, 0 as part, o.place, o.role, o.text from every e join own o on o.conv_id = e.base and o.place <= e.h
+  union all select e.conv_id, 1, o.place, o.role, o.text from every e join own o on o.conv_id = e.conv_id and o.place > e.h),
+numbered as (select *, row_number() over (partition by conv_id order by part, place) as d from rows),
+whole as (select e.conv_id, coalesce(list({{'r': role, 't': text}} order by d) filter (where d is not null), []) as seq from every e left join numbered n using (conv_id) group by e.conv_id),
+members as (select conv_id, len(seq) as n, d, seq[1:d] as prefix, case when d > 0 then strlen(seq[d].t) else 0 end as bytes from (select conv_id, seq, unnest(range(len(seq) + 1)) as d from whole)),
+nodes as (select prefix, d, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+  sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = d), '')) as ends_sha256 from members group by prefix, d),
+kids as (select prefix[1:d - 1] as prefix, d - 1 as d, count(*) as n_children from nodes where d > 0 group by all),
+full_nodes as (select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join kids k on k.prefix = n.prefix and k.d = n.d),
+below as (select n.prefix, n.d, sum((m.n_convs - 1) * m.bytes) as saved, count(*) filter (where m.n_children = 0) as n_leaves
+  from full_nodes n join full_nodes m on m.d >= n.d and m.prefix[1:n.d] = n.prefix group by n.prefix, n.d)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+from full_nodes n join below b on b.prefix = n.prefix and b.d = n.d left join full_nodes p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]
+"""

@@ -138,3 +138,80 @@ def test_damage_repeats_and_drops(spark):
             if n:
                 want += [(c, t, "user" if n == 4 else "assistant", "" if n == 1 else "a b" if n == 2 else "a! b.")] * (2 if n == 3 else 1)
     assert got == sorted(want)
+
+
+def plain_trie(seqs):
+    """Nodes of whole sequences by id: every prefix as a key."""
+    nodes = {}
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            nodes.setdefault(tuple(s[:d]), []).append(c)
+    kids = {p: [q for q in nodes if len(q) == len(p) + 1 and q[: len(p)] == p] for p in nodes}
+
+    def leaves(p):
+        return sum(map(leaves, kids[p])) if kids[p] else 1
+
+    def saved(p):
+        own = (len(nodes[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        return own + sum(map(saved, kids[p]))
+
+    ends = {p: ",".join(str(c) for c in sorted(nodes[p]) if len(seqs[c]) == len(p)) for p in nodes}
+    return sorted((min(m), len(p), min(nodes[p[:-1]]) if p else -1, len(m), len(kids[p]), leaves(p), saved(p), hashlib.sha256(ends[p].encode()).hexdigest()) for p, m in nodes.items())
+
+
+def grafted_plainly(rows):
+    own = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t, role or "", text or ""))
+    own = {c: [r[1:] for r in in_order(x)] for c, x in own.items()}
+    out = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + x[h:]
+    return out
+
+
+NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def nodes_of(frame):
+    return sorted(tuple(-1 if n == "parent_conv_id" and r[n] is None else r[n] for n in NODE) for r in frame.collect())
+
+
+def test_trie_query(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    assert nodes_of(QUERIES["op13_prefix_trie"](spark, sf)) == plain_trie(grafted_plainly(map(tuple, rows)))
+
+
+def test_trie_query_equals_sql(spark, sf):
+    from ladderbook.llm.queries import ORACLES
+
+    from ..test_queries import compare
+
+    compare(spark, sf, QUERIES["op13_prefix_trie"], ORACLES["op13_prefix_trie"])
+
+
+def test_trie_hard_conversations(spark, monkeypatch):
+    from ladderbook.llm import trie as T
+    from ladderbook.llm.queries import grafted
+
+    monkeypatch.setattr(T, "ENDS", 7)  # lists of ends in several ranges
+    rng = random.Random(5)
+    rows = [(c, rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None, ""]), rng.choice(["a", "b", "", None, "é", "user"])) for c in range(60) for _ in range(rng.randrange(0, 6))]
+    rows += [(c, t, "user", "same") for c in range(100, 160) for t in range(3)] + [(None, 0, "user", "x")]
+    rows += [(200, t, "user", "one long") for t in range(300)] + [(201, 0, "user", "one long"), (203, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns = T.turns_of(frame)
+    ids = turns.select("conv_id").distinct()
+    import sys
+
+    sys.setrecursionlimit(5000)
+    assert nodes_of(T.trie(grafted(turns, ids), ids)) == plain_trie(grafted_plainly(rows))
+
+
+def test_trie_of_nothing(spark):
+    from ladderbook.llm import trie as T
+
+    turns = T.turns_of(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, place int"))
+    assert T.trie(turns, turns.select("conv_id").distinct()).count() == 0
