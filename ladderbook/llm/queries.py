@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import langid, mixing, quality
 from .ann import nearest
-from .common import table, written
+from .common import shared_dir, table, written
 from .conversations import digests, repair
 from .html_text import extract
 from .media import read_media, store_texts
@@ -17,6 +19,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .trie import trie, turns_of
+from .warc import captures, page_of, read_archives, resolved, write_archives
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -218,3 +221,22 @@ below as (select n.prefix, n.d, sum((m.n_convs - 1) * m.bytes) as saved, count(*
 select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
 from full_nodes n join below b on b.prefix = n.prefix and b.d = n.d left join full_nodes p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]
 """
+
+
+@query
+def op12_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(captures(pages), path)
+    read = written(resolved(read_archives(spark, path)), "records")
+    kind = pages.schema["page_id"].dataType
+    id_of = lambda c: page_of(F.col(c)).cast(kind)
+    return read.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"), "digest_ok")
+
+
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+  1 + ((cast('0x' || substr(sha1(coalesce(html, '')), 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31)]), '')"""
+ORACLES["op12_warc"] = f"""
+select page_id, strlen(coalesce(html, '')) as payload_bytes, {_BASE32} as payload_digest, case when n = 1 then 'response' else 'revisit' end as record_type, case when n > 1 then top end as refers_to, true as digest_ok
+from (select *, row_number() over (partition by coalesce(html, '') order by page_id desc nulls last, url desc nulls last) as n, max(page_id) over (partition by coalesce(html, '')) as top from pages)
+"""
