@@ -17,7 +17,6 @@ from .sequencing import actions
 from .session import BUFFER
 
 KEY = ["capture_id", "venue", "symbol"]
-_ROW = [*KEY, "epoch", "seq"]
 
 
 def parse_market(market: DataFrame, venue: str | None = None) -> DataFrame:
@@ -39,56 +38,67 @@ def parse_snapshots(snapshots: DataFrame) -> DataFrame:
     return C.with_message(snapshots, "payload_json").withColumn("valid", F.col("message.valid"))
 
 
+def identified(parsed: DataFrame) -> DataFrame:
+    """parse_market() rows, written once, with rid, a number of their own, and place, null where the reader gave none.
+
+    A null capture, venue or symbol becomes the empty one; a null connection or number 0. Rows that have a rid stay as they are.
+    """
+    if "rid" in parsed.columns:
+        return parsed
+    clean = {**{c: F.coalesce(c, F.lit("")) for c in KEY}, **{c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("conn_epoch", "conn_seq")}}
+    if "place" not in parsed.columns:
+        clean["place"] = F.lit(None).cast("struct<block:bigint,at:bigint>")
+    return written(parsed.withColumns({**clean, "rid": F.monotonically_increasing_id()}), "parsed")
+
+
 @dataclass
 class Rebuilt:
-    """book: the 26 columns with capture_id, venue, symbol; actions; checks: depth5 rows beside the book's best bid."""
+    """book: the 26 columns with capture_id, venue, symbol; actions, by rid of the row; checks: depth5 rows beside the book's best bid."""
 
     book: DataFrame
     actions: DataFrame
     checks: DataFrame
 
 
-def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, chunk: int = levels.CHUNK, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None) -> Rebuilt:
+def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, chunk: int = levels.CHUNK, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None, **sequencing) -> Rebuilt:
     """Books of all (capture, venue, symbol) of parse_market() rows; snapshots: parse_snapshots() rows or None.
 
     Without snapshots, and in captures that `sidecars` (capture_id, have_sidecar) says have none, each
     depth5 row seeds its book. Trade rows are emitted if asked for. Snapshots without a venue serve
-    their symbol's books of any venue. Of rows that repeat a book's (conn_epoch, conn_seq) one stays.
+    their symbol's books of any venue. A book's rows are handled in order of their place in the file, where
+    the reader gave one; else of connection and number, and those that repeat a number in order of receive
+    time, kind and content. All rows are handled, equal ones too.
     """
-    # written once, as five joins read the messages; a repeated number would multiply rows in them
-    parsed = written(parsed, "parsed")
-    place = [*KEY, "conn_epoch", "conn_seq"]
-    if not parsed.groupBy(*place).count().filter("count > 1").isEmpty():
-        parsed = written(parsed.dropDuplicates(place), "parsed")
+    parsed = identified(parsed)  # written, as five joins read the messages
     if snapshots is not None:
         if "venue" not in snapshots.columns:
             snapshots = snapshots.join(parsed.select(*KEY).distinct(), ["capture_id", "symbol"])
-        snapshots = written(snapshots, "snapshots")
-    done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id, sidecars), "actions")
-    rows = parsed.withColumnsRenamed({"conn_epoch": "epoch", "conn_seq": "seq"})
-    at = [*KEY, "epoch", "seq"]
+        snapshots = written(snapshots.withColumns({c: F.coalesce(c, F.lit("")) for c in KEY}), "snapshots")
+    done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id, sidecars, **sequencing).withColumnsRenamed({"seq": "rid", "cause_seq": "cause_rid"}), "actions")
+    at = ["rid"]  # a row's number joins it with what has happened to it
+    rows = parsed.select(*at, "recv_tsec", "recv_tnsec", "message", F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"))
     applied = done.filter("action = 'apply'")
     seeds = done.filter("action = 'seed'")
-    diffs = applied.select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at)
+    diffs = applied.select(*KEY, *at, "segment", "ordinal").join(rows.select(*at, "message"), at)
     cols = [*KEY, "segment", "ordinal", "message"]
-    seeding = seeds.filter("source = 'depth5'").select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at).select(*cols)
+    seeding = seeds.filter("source = 'depth5'").select(*KEY, *at, "segment", "ordinal").join(rows.select(*at, "message"), at).select(*cols)
     if snapshots is not None:
         kept = snapshots.select(*KEY, F.col("snap_ord").alias("seq"), "message")
-        seeding = seeding.unionByName(seeds.filter("source = 'snapshot'").select(*KEY, "seq", "segment", "ordinal").join(kept, [*KEY, "seq"]).select(*cols))
+        seeding = seeding.unionByName(seeds.filter("source = 'snapshot'").select(*KEY, F.col("rid").alias("seq"), "segment", "ordinal").join(kept, [*KEY, "seq"]).select(*cols))
     writes = written(levels.last_writes(levels.exploded(diffs.select(*cols).unionByName(seeding))), "writes")
     marks = applied.unionByName(seeds).select(*KEY, "segment", "ordinal")
     state = levels.states(writes, marks, chunk)
     state = written(state, "states")
     spot = [*KEY, "segment", "ordinal"]
-    stamped = done.filter("action in ('apply', 'trade')").select(*at, "segment", "ordinal", "number", F.when(F.col("action") == "apply", "D").otherwise("T").alias("type"))
+    stamped = done.filter("action in ('apply', 'trade')").select(*KEY, *at, "segment", "ordinal", "number", F.when(F.col("action") == "apply", "D").otherwise("T").alias("type"))
     stamped = stamped.join(rows.select(*at, F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec")), at).join(state, spot)
-    partial = done.filter("action = 'partial'").select(*at, "number").join(rows.select(*at, "recv_tsec", "recv_tnsec", "message"), at)
+    partial = done.filter("action = 'partial'").select(*KEY, *at, "number").join(rows.select(*at, "recv_tsec", "recv_tnsec", "message"), at)
     partial = partial.select(*KEY, F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec"), "number", F.lit("S").alias("type"), *C.first_levels(F.col("message.bids"), ("bid", "bid_size")), *C.first_levels(F.col("message.asks"), ("ask", "ask_size")))
     same = [*KEY, "tsec", "tnsec", "number", "type", *levels.STATE]
     book = stamped.select(*same).unionByName(partial.select(*same)).withColumnRenamed("number", "seqNo")
     book = book.withColumns({"side": F.lit("N"), "id": C.instrument_id(F.col("symbol"))}).select(*KEY, *BOOK)
-    checks = done.filter("action = 'check'").select(*at, "segment", "ordinal").join(rows.select(*at, "message"), at).join(state, spot)
-    checks = checks.filter(F.size("message.bids") > 0).select(*at, F.col("bid0").alias("book_bid"), F.col("message.bids")[0]["price"].alias("depth5_bid"))
+    checks = done.filter("action = 'check'").select(*KEY, *at, "segment", "ordinal").join(rows.select(*at, "epoch", "seq", "message"), at).join(state, spot)
+    checks = checks.filter(F.size("message.bids") > 0).select(*KEY, "epoch", "seq", F.col("bid0").alias("book_bid"), F.col("message.bids")[0]["price"].alias("depth5_bid"))
     return Rebuilt(book, done, checks)
 
 
@@ -98,7 +108,7 @@ def rebuild_files(spark: SparkSession, market: str, snapshots: str | None = None
     Captures without a sidecar of their name are seeded by their depth5 rows; an empty sidecar is one.
     venue overrides the rows'; options are rebuild()'s.
     """
-    parsed = parse_market(captures.read_market(spark, market), venue)
+    parsed = parse_market(captures.read_market(spark, market, place=True), venue)
     if snapshots is None:
         return rebuild(parsed, **options)
     paired = captures.sidecars(parsed, captures.sidecar_files(spark, snapshots))

@@ -47,6 +47,23 @@ class Action(NamedTuple):
     number: int
 
 
+class Snapshots(deque):
+    """Snapshots that wait, the first of which is the book's `at`-th. With `more`, others follow that aren't here;
+    `missed` tells that one of those was asked for."""
+
+    def __init__(self, waiting=(), at: int = 0, more: bool = False):
+        super().__init__(waiting)
+        self.at, self.more, self.missed = at, more, False
+
+    def __bool__(self) -> bool:
+        self.missed = self.missed or self.more and not len(self)
+        return len(self) > 0
+
+    def popleft(self):
+        self.at += 1
+        return super().popleft()
+
+
 class Session:
     """State of one book: pending until a snapshot seeds it, buffering diffs while pending."""
 
@@ -56,9 +73,19 @@ class Session:
         self.pending, self.ready, self.started = True, False, False
         self.last = 0
         self.buffer: deque[Diff] = deque()
-        self.snapshots: deque[tuple[int, int]] = deque()
+        self.snapshots: Snapshots = Snapshots()
         self.segment = self.ordinal = self.number = 0
 
+    def state(self) -> list:
+        """What the messages to come depend on, without counters: [epoch, pending, ready, started, last, snapshots used, waiting diffs]."""
+        return [self.epoch, self.pending, self.ready, self.started, self.last, self.snapshots.at, [list(d) for d in self.buffer]]
+
+    def enter(self, state: list, snapshots: list[tuple[int, int]], more: bool) -> None:
+        """Go on from a state(); snapshots: the next ones, more: whether others follow these."""
+        self.epoch, self.pending, self.ready, self.started, self.last, at, waiting = state
+        self.buffer = deque(Diff(*d) for d in waiting)
+        self.snapshots = Snapshots(snapshots, at, more)
+
     def add_snapshot(self, place: int, last_id: int) -> None:
         self.snapshots.append((place, last_id))
 

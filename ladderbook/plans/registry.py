@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import audits, levels
 from ..operators.frames import audit_rows, quarantined
-from ..operators.rebuild import Rebuilt, numbered, parse_market, parse_snapshots, rebuild, rebuild_files
+from ..operators.rebuild import Rebuilt, identified, numbered, parse_market, parse_snapshots, rebuild, rebuild_files
 from ..sources import adapters as A
 from ..sources import captures
 from ..sources.storage import shared_dir, written
@@ -263,11 +263,11 @@ def replay_diff_planted(spark, sf_dir):
 def _checkpoint_writes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from ..operators.sequencing import actions
 
-    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    parsed = identified(parse_market(A.market(spark, sf_dir)))
     done = written(actions(parsed).filter("action in ('apply', 'seed')"), "actions")
     key = ["capture_id", "venue", "symbol"]
-    rows = parsed.withColumnsRenamed({"conn_epoch": "epoch", "conn_seq": "seq"}).select(*key, "epoch", "seq", "message")
-    return levels.last_writes(levels.exploded(done.join(rows, [*key, "epoch", "seq"]))), done.select(*key, "segment", "ordinal")
+    rows = parsed.select(F.col("rid").alias("seq"), "message")
+    return levels.last_writes(levels.exploded(done.join(rows, "seq"))), done.select(*key, "segment", "ordinal")
 
 
 @query(O.writes())
@@ -323,7 +323,7 @@ def shard_load(spark, sf_dir):
 
 @query(O.metrics())
 def metrics(spark, sf_dir):
-    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    parsed = identified(parse_market(A.market(spark, sf_dir)))
     found = rebuild(parsed)
     return audits.metrics(parsed, found.actions, found.book, found.checks, by=("symbol",))
 
@@ -331,7 +331,7 @@ def metrics(spark, sf_dir):
 @query(O.metrics_by_capture())
 def metrics_by_capture(spark, sf_dir):
     """Counters by capture and symbol, by capture and over all."""
-    parsed = written(parse_market(A.market(spark, sf_dir)), "parsed")
+    parsed = identified(parse_market(A.market(spark, sf_dir)))
     found = rebuild(parsed)
     return audits.metrics(parsed, found.actions, found.book, found.checks)
 

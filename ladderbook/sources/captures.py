@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 MARKET = "recv_tsec bigint, recv_tnsec int, venue string, stream_kind string, shard_id int, conn_epoch bigint, conn_seq bigint, symbol string, payload_json string"
 SNAPSHOTS = "recv_tsec bigint, recv_tnsec int, symbol string, lastUpdateId bigint, payload_json string"
 SIDES = [f"{name}{i}" for name in ("bid", "bid_size", "ask", "ask_size") for i in range(5)]
@@ -29,13 +31,36 @@ def _capture_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(whole, "/"), -1), r"\.csv$", "")
 
 
-def read_market(spark: SparkSession, path, capture_id: str | None = None) -> DataFrame:
+def read_market(spark: SparkSession, path, capture_id: str | None = None, place: bool = False) -> DataFrame:
     """Captures with capture_id (as given, or by the file's or folder's name) and bad: rows of fewer than nine fields.
+
+    With place, each row of a capture that is one file tells where it stands in it: (block, at), the first byte
+    of the split that it was read in and a number that grows inside that. Places of a file compare like lines,
+    however it was split; numbered_places() makes line numbers of them. In a folder of part files, which were
+    written by many tasks, rows have no place.
     """
-    rows = _read(spark, path, MARKET).drop("_file", "_block")
+    rows = _read(spark, path, MARKET)
+    if place:
+        at = F.struct(F.col("_block").alias("block"), F.monotonically_increasing_id().alias("at"))
+        rows = rows.withColumn("place", F.when(~F.element_at(F.split("_file", "/"), -1).startswith("part-"), at))
+    rows = rows.drop("_file", "_block")
     return rows if capture_id is None else rows.withColumn("capture_id", F.lit(capture_id))
 
 
+def numbered_places(market: DataFrame) -> DataFrame:
+    """read_market(place=True) rows, written, with rn: 1, 2, … over the rows of each capture file; null without a place.
+
+    Each split counts its rows; only the counts, one a split, are added up in order.
+    """
+    market = written(market, "market")
+    counts = market.filter("place is not null").groupBy("capture_id", F.col("place.block").alias("_block")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("capture_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("capture_id").alias("_capture"), "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("capture_id", "place.block").orderBy("place.at"))
+    joined = market.join(starts, (F.col("place.block") == F.col("_block")) & F.col("capture_id").eqNullSafe(F.col("_capture")), "left")
+    return joined.select(*market.columns, F.when(F.col("place").isNotNull(), F.col("_start") + inside).alias("rn"))
+
+
 def read_snapshots(spark: SparkSession, path, venue: str | None = None) -> DataFrame:
     """Sidecar rows of five fields with capture_id, that of the capture they belong to, snap_ord, their order in
     the file among those of the symbol, and venue, if given. Shorter rows are left out; broken_snapshots() has them."""
