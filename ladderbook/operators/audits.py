@@ -64,12 +64,45 @@ def conn_numbering(frames: DataFrame) -> DataFrame:
     return by.withColumn("holes", F.col("last_seq") - F.col("first_seq") + 1 - F.col("frames"))
 
 
-def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of either book table that the other has not, as often as they are too many."""
-    a, b = left.select(*BOOK), right.select(*BOOK)
+def difference(left: DataFrame, right: DataFrame, span: int = 100_000) -> DataFrame:
+    """Rows of either book table that the other has not, as often as they are too many, with only_in.
+
+    Compared are the 26 columns and those of capture, venue and symbol that both have. First only sums of row
+    hashes meet, one for each book and `span` numbers; rows move where these differ, so equal books move digests.
+    """
+    key = [c for c in KEY if c in left.columns and c in right.columns]
+    a, b = (df.select(*[F.col(c).cast("string").alias(c) for c in key], *BOOK) for df in (left, right))
+    unlike = _unlike(a, b, key, span)
+    a, b = _among(a, unlike, key, span), _among(b, unlike, key, span)
     return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
 
 
+def _spans(book: DataFrame, span: int) -> DataFrame:
+    return book.withColumn("_span", F.floor(F.col("seqNo") / span))
+
+
+def _unlike(a: DataFrame, b: DataFrame, key: list[str], span: int) -> DataFrame:
+    """Places (key, _span) whose rows differ by count or by sums of two hashes, each in halves that sum up without overflow."""
+    halves = [h for seed in (1, 2) for h in (f"shiftright(_h{seed}, 32)", f"_h{seed} & 4294967295")]
+
+    def sums(df: DataFrame) -> DataFrame:
+        hashed = _spans(df, span).withColumns({f"_h{seed}": F.xxhash64(F.lit(seed), *df.columns) for seed in (1, 2)})
+        return hashed.groupBy(*key, "_span").agg(F.count("*").alias("_n"), *[F.sum(F.expr(h)).alias(f"_s{k}") for k, h in enumerate(halves)])
+
+    # equal digests of a place are put together; what stands alone after that is unlike
+    digest = ["_n", *[f"_s{k}" for k in range(4)]]
+    both = sums(a).withColumn("_side", F.lit(1)).unionByName(sums(b).withColumn("_side", F.lit(2)))
+    return both.groupBy(*key, "_span", *digest).agg(F.count("*").alias("_sides")).filter("_sides = 1").select(*key, "_span").distinct()
+
+
+def _among(book: DataFrame, places: DataFrame, key: list[str], span: int) -> DataFrame:
+    names = [*key, "_span"]
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    return _spans(book, span).join(places.select(*[F.col(c).alias(f"_of{c}") for c in names]), same, "left_semi").drop("_span")
+
+
 def conn_running(frames: DataFrame, chunk: int = 100_000) -> DataFrame:
     """frames with number (1, 2, … in each connection) and reconnects (connections of the shard before this one)."""
     own = ["shard_id", "conn_epoch"]

@@ -10,6 +10,7 @@ from ..functions import columns as C
 
 def _split(frames: DataFrame, symbols: DataFrame | None) -> DataFrame:
     """frames with stream, payload_json, symbol, stream_kind and listed (whether the symbol is in symbols; all are without a list)."""
+    frames = frames.select("frame", "shard_id", "conn_epoch", "conn_seq", "recv_tsec", "recv_tnsec")  # others might have the names below
     stream, data = C.split_envelope(F.col("frame"))
     rows = C.settled(frames, "parts", F.struct(stream.alias("stream"), data.alias("payload_json"))).select("*", "parts.*").drop("parts")
     rows = rows.withColumns({"symbol": C.symbol_of(F.col("stream")), "stream_kind": C.classify_stream(F.col("stream"))})

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 _BOOK = ["capture_id", "venue", "symbol", "segment"]
 CHUNK = 1024  # updates of a segment that one task sweeps
+CELLS = 2_000_000  # updates times prices that are looked at together
 BEST = 5
 STATE = [f"{n}{i}" for n in ("bid", "bid_size", "ask", "ask_size") for i in range(BEST)]
 
@@ -59,6 +60,8 @@ def _sweep_side(ords: np.ndarray, at: np.ndarray, price: np.ndarray, qty: np.nda
         keep = key <= still[BEST - 1]
         at, price, qty, key, before = at[keep], price[keep], qty[keep], key[keep], before[keep]
     cols, col = np.unique(key, return_inverse=True)
+    if len(ords) * len(cols) > CELLS and len(ords) > 1:
+        return _in_halves(ords, at, price, qty, sign)
     grid = np.zeros((len(ords) + 1, len(cols)), np.int64)
     wrote = np.zeros(grid.shape, np.int32)
     row = np.where(before, 0, np.searchsorted(ords, at) + 1)
@@ -76,6 +79,20 @@ def _sweep_side(ords: np.ndarray, at: np.ndarray, price: np.ndarray, qty: np.nda
     return best, size
 
 
+def _in_halves(ords: np.ndarray, at: np.ndarray, price: np.ndarray, qty: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """_sweep_side() of either half of ords; the second starts from the last write of each price in the first."""
+    half = len(ords) // 2
+    first = at < ords[half]
+    one = _sweep_side(ords[:half], at[first], price[first], qty[first], sign)
+    order = np.lexsort((at[first], price[first]))
+    p, q = price[first][order], qty[first][order]
+    last = np.r_[p[1:] != p[:-1], True] if len(p) else np.zeros(0, bool)
+    held = np.full(int(last.sum()), ords[half] - 1, at.dtype)
+    rest = [np.concatenate([x, y[~first]]) for x, y in ((held, at), (p[last], price), (q[last], qty))]
+    two = _sweep_side(ords[half:], *rest, sign)
+    return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+
+
 _FIELDS = [T.StructField(c, T.StringType()) for c in _BOOK[:3]] + [T.StructField(c, T.LongType()) for c in ("segment", "ordinal", *STATE)]
 STATES = T.StructType(_FIELDS)
 _ARROW = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in _FIELDS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -58,7 +58,29 @@ def snapshot_scan(spark, sf_dir):
 @query(O.over_feed("select distinct symbol, cast(substr(symbol, 4, 1) as integer) as pos from feed where sx < 6"))
 def symbol_list(spark, sf_dir):
     lists = A.feed(spark, sf_dir).selectExpr("'sym0usdt,,SYM1USDT,sym1usdt,sym2usdt,SYM3USDT,sym4usdt,' || lower(symbol) || ',sym5usdt' as text").distinct()
-    return captures.symbol_list(lists).select(F.col("pos").cast("int").alias("pos"), "symbol").filter("pos < 6")
+    return captures.symbol_list(lists).select(F.col("pos").cast("int").alias("pos"), "symbol")
+
+
+def _capture_files(spark, sf_dir) -> str:
+    """The messages of each symbol as a capture file, in order of events; every two rows of it share a connection number."""
+    path = _folder(spark, "captures")
+    number = F.floor(F.row_number().over(Window.partitionBy("symbol", "conn_epoch").orderBy("conn_seq")) / 2)
+    rows = A.market(spark, sf_dir).withColumns({"capture_id": F.concat(F.lit("run_"), "symbol"), "_event": F.col("conn_seq"), "conn_seq": number})
+    captures.write_captures(rows, path, ["_event"])
+    return path
+
+
+@query(O.over_feed('select symbol, tsec as recv_tsec, kind as stream_kind, row_number() over (partition by symbol order by event_id) as rn from feed'))
+def line_numbers(spark, sf_dir):
+    """Rows of capture files with their numbers in the file."""
+    rows = captures.numbered_places(captures.read_market(spark, f"{_capture_files(spark, sf_dir)}/*.csv", place=True))
+    return rows.select("symbol", "recv_tsec", "stream_kind", F.col("rn").cast("bigint").alias("rn"))
+
+
+@query(O.book("checkpoint"))
+def repeated_numbers(spark, sf_dir):
+    """Books of capture files in which every two rows of a connection have one number: the files' order decides."""
+    return _book(rebuild_files(spark, f"{_capture_files(spark, sf_dir)}/*.csv"))
 
 
 _EVENT_MS = "(us // 1000 + 1704067200000)"
@@ -243,7 +265,7 @@ def replay_diff(spark, sf_dir):
     """A book written and read again against a second rebuild in other chunks: no difference."""
     path = _folder(spark, "book")
     captures.write_book(checkpoint(spark, sf_dir).book, path)
-    saved = spark.read.parquet(path).withColumn("symbol", F.col("symbol").cast("string"))
+    saved = captures.read_book(spark, path)
     again = checkpoint(spark, sf_dir, chunk=7).book
     return audits.difference(saved, again).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
 
@@ -257,7 +279,16 @@ def replay_diff_planted(spark, sf_dir):
     path = _folder(spark, "book")
     captures.write_book(saved, path)
     again = checkpoint(spark, sf_dir, chunk=100).book
-    return audits.difference(spark.read.parquet(path), again).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
+    return audits.difference(captures.read_book(spark, path), again, 1000).groupBy("only_in").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""with book as ({O.book('checkpoint')}) select symbol, "seqNo", 'left' as only_in from book where "seqNo" % 90 = 0 union all select symbol, "seqNo", 'right' from book where "seqNo" % 90 = 0""")
+def replay_diff_csv(spark, sf_dir):
+    """A book saved as CSV of which every 90th row has another ask, against a second rebuild: the rows, by symbol and number."""
+    saved = checkpoint(spark, sf_dir).book.withColumn("ask0", F.when(F.expr("seqNo % 90 = 0"), F.col("ask0") + 1).otherwise(F.col("ask0")))
+    path = _folder(spark, "book")
+    captures.write_book(saved, path, "csv")
+    return audits.difference(captures.read_book(spark, path, "csv"), checkpoint(spark, sf_dir, chunk=64).book, 500).select("symbol", "seqNo", "only_in")
 
 
 def _checkpoint_writes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -88,10 +88,27 @@ def sidecars(market: DataFrame, sidecar_ids: DataFrame) -> DataFrame:
     return market.select("capture_id").distinct().join(there, "capture_id", "left").fillna({"have_sidecar": False})
 
 
-def write_market(market: DataFrame, path: str, form: str = "csv") -> None:
-    """The nine columns, by date."""
+def write_market(market: DataFrame, path: str, form: str = "csv", replace: bool = False) -> None:
+    """The nine columns by UTC date; with replace, the dates that market has take the place of what stood there for them."""
     names = [f.strip().split(" ")[0] for f in MARKET.split(",")]
-    _write(market.select(*names, _date("recv_tsec").alias("date")), path, form, ["date"])
+    _write(market.select(*names, utc_date("recv_tsec").alias("date")), path, form, ["date"], replace)
+
+
+def write_captures(market: DataFrame, path: str, order: list[str]) -> None:
+    """One file path/X.csv for each capture_id X, its rows in order of `order`: what collectors leave and replays read.
+
+    A capture is written by one task, as it is one file; captures are written at once.
+    """
+    names = [f.strip().split(" ")[0] for f in MARKET.split(",")]
+    dealt = market.select("capture_id", *names, *[F.col(c).alias(f"_{k}") for k, c in enumerate(order)]).repartition("capture_id")
+    dealt = dealt.sortWithinPartitions("capture_id", *[f"_{k}" for k in range(len(order))]).select("capture_id", *names)
+    dealt.write.partitionBy("capture_id").options(header=True, quote='"', escape='"').csv(f"{path}/_parts")
+    jvm, conf = market.sparkSession._jvm, market.sparkSession._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(conf)
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_parts/capture_id=*/part-*")):  # names only, one a capture
+        capture = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(found.getPath().getParent().getName()[len("capture_id=") :])
+        files.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(top, f"{capture}.csv"))
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -101,24 +118,42 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     snapshots.select(*[f.strip().split(" ")[0] for f in SNAPSHOTS.split(",")]).write.options(header=True, quote='"', escape='"').csv(path)
 
 
-def write_book(book: DataFrame, path: str, form: str = "parquet") -> None:
-    """The 26 columns by venue, date and symbol, each in order of seqNo."""
+def write_book(book: DataFrame, path: str, form: str = "parquet", replace: bool = False) -> None:
+    """The 26 columns by capture (if there is one), venue, UTC date and symbol, each in order of seqNo. With replace, what
+    stood there for the same of these goes; all else stays."""
     missing = set(BOOK) - set(book.columns)
     if missing:
         raise ValueError(f"no book table: {sorted(missing)} missing")
-    dated = book.select(*BOOK, "venue", "symbol", _date("tsec").alias("date"))
-    by = ["venue", "date", "symbol"]
+    by = [*(c for c in ("capture_id",) if c in book.columns), "venue", "date", "symbol"]
+    dated = book.withColumn("date", utc_date("tsec")).select(*BOOK, *by)
     dealt = dated.repartitionByRange(*by, "seqNo")  # one symbol's rows in several files, each a run of seqNo
-    _write(dealt.sortWithinPartitions(*by, "seqNo"), path, form, by)
+    _write(dealt.sortWithinPartitions(*by, "seqNo"), path, form, by, replace)
+
+
+def read_book(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """A saved book: the 26 columns, and those by which it was parted, as texts. Raises ValueError where a file has other columns."""
+    reader = spark.read.option("recursiveFileLookup", "false")
+    if form == "csv":
+        there = reader.options(header=True, quote='"', escape='"', inferSchema=False).csv(path)
+    else:
+        there = reader.parquet(path)
+    parted = [c for c in there.columns if c not in BOOK]
+    if [c for c in there.columns if c in BOOK] != BOOK or set(parted) - {"capture_id", "venue", "date", "symbol"}:
+        raise ValueError(f"no book of {len(BOOK)} columns: {there.columns}")
+    kinds = {"tnsec": "int", "id": "int", "type": "string", "side": "string"}
+    return there.select(*[F.col(c).cast("string").alias(c) for c in parted], *[F.col(c).cast(kinds.get(c, "bigint")).alias(c) for c in BOOK])
 
 
-def _write(df: DataFrame, path: str, form: str, by: list[str]) -> None:
+def _write(df: DataFrame, path: str, form: str, by: list[str], replace: bool) -> None:
     out = df.write.partitionBy(*by).option("maxRecordsPerFile", 5_000_000)
+    if replace:
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (out.options(header=True, quote='"', escape='"').csv(path) if form == "csv" else out.parquet(path))
 
 
-def _date(sec: str) -> Column:
-    return F.date_format(F.timestamp_seconds(F.col(sec)), "yyyyMMdd")
+def utc_date(sec: str) -> Column:
+    """The UTC day of a second, as yyyyMMdd, in whatever time zone the session is."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(sec) / 86400).cast("int")), "yyyyMMdd")
 
 
 def symbol_list(texts: DataFrame, column: str = "text", sep: str = ",") -> DataFrame:
