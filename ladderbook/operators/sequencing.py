@@ -204,7 +204,7 @@ def _walk(rounds: int, last: bool):
                 at = want[5]
                 ahead = lasts[at:] if rounds else lasts[at : max(at, bisect_right(ids, r["most"])) + AHEAD]
                 row = dict(zip(_KEY, own)) | {"major": r["major"], "slot": r["slot"], "sidecar": r["sidecar"], "wrong": wrong or first_wrong is not None, "entry": json.dumps(want), "ahead": [x for s in ahead for x in s], "more": at + len(ahead) < len(lasts)}
-                row |= {"into_major": (first_wrong or (r["major"], r["slot"]))[0], "into_slot": (first_wrong or (r["major"], r["slot"]))[1], "segments": segment, "ordinals": ordinal, "numbers": number}
+                row |= {"into_major": (first_wrong or (r["major"], r["slot"]))[0], "into_slot": (first_wrong or (r["major"], r["slot"]))[1], "segments": segment, "ordinals": ordinal, "numbers": number, "peaks": r["peaks"], "most": r["most"], "first_epoch": r["first_epoch"]}
                 for n, x in row.items():
                     out[n].append(x)
                 if not row["wrong"]:
@@ -222,8 +222,9 @@ def _walk(rounds: int, last: bool):
     return plan
 
 
-_PLAN_ARROW = pa.schema([*((k, pa.string()) for k in _KEY), ("major", pa.int64()), ("slot", pa.int64()), ("sidecar", pa.bool_()), ("wrong", pa.bool_()), ("entry", pa.string()), ("ahead", pa.list_(pa.int64())), ("more", pa.bool_()), ("into_major", pa.int64()), ("into_slot", pa.int64()), ("segments", pa.int64()), ("ordinals", pa.int64()), ("numbers", pa.int64())])
-_SPARK_TYPES = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.list_(pa.int64()): T.ArrayType(T.LongType())}
+_PEAKS = pa.list_(pa.struct([("at", pa.int64()), ("epoch", pa.int64()), ("top", pa.int64())]))
+_PLAN_ARROW = pa.schema([*((k, pa.string()) for k in _KEY), ("major", pa.int64()), ("slot", pa.int64()), ("sidecar", pa.bool_()), ("wrong", pa.bool_()), ("entry", pa.string()), ("ahead", pa.list_(pa.int64())), ("more", pa.bool_()), ("into_major", pa.int64()), ("into_slot", pa.int64()), ("segments", pa.int64()), ("ordinals", pa.int64()), ("numbers", pa.int64()), ("peaks", _PEAKS), ("most", pa.int64()), ("first_epoch", pa.int64())])
+_SPARK_TYPES = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.list_(pa.int64()): T.ArrayType(T.LongType()), _PEAKS: T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("at", "epoch", "top")]))}
 PLAN = T.StructType([T.StructField(f.name, _SPARK_TYPES[f.type]) for f in _PLAN_ARROW])
 #: order of a book's rows: by place in the file where that is known, else by connection and number; rows that repeat
 #: a number by receive time and content
@@ -277,23 +278,20 @@ def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     place = F.struct("minor", "tsec", "tnsec", "kind", "content", "seq")
     peaks = head.groupBy(*_PLACE, "epoch").agg(F.max("minor").alias("at"), F.coalesce(F.max(reached), F.lit(0)).alias("top"), F.min(place).alias("first"), F.max("sidecar").alias("sidecar"))
     ranges = peaks.groupBy(*_PLACE).agg(F.max("sidecar").alias("sidecar"), F.collect_list(F.struct("at", "epoch", "top")).alias("peaks"), F.max("top").alias("most"), F.min_by("epoch", "first").alias("first_epoch"))
-    ranges = written(ranges, "ranges")
     waiting = None
     if snapshots is not None:
         waiting = snapshots.filter("valid").select(*_KEY, F.col("snap_ord").cast("bigint").alias("seq"), F.col("message.last_id").alias("last_id"))
-    done, k = None, 0
+    done, ends, k = None, None, 0
     while True:
-        last = k == rounds + 1
-        ends = None if done is None else done.filter("action = 'end'")
-        plan = written(_planned(ranges, waiting, ends, k, last), "plan")
+        # a plan hands the ranges on to the next one
+        plan = written(_planned(ranges, waiting, ends, k, last=k == rounds + 1), "plan")
+        ranges = plan.select(*ranges.columns)
         wrong = plan.filter("wrong")
         if k and wrong.isEmpty():
             return _counted(done, plan)
         again = written(_ranges_run(head, wrong, options), "actions")
-        if done is None:
-            done = again
-        else:
-            done = written(done.join(_aside(wrong), _same_place(), "left_anti").unionByName(again), "actions")
+        done = again if done is None else done.join(_aside(wrong), _same_place(), "left_anti").unionByName(again)
+        ends = done.filter("action = 'end'")
         k += 1
 
 
