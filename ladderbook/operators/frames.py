@@ -45,3 +45,14 @@ def quarantined(frames: DataFrame, symbols: DataFrame | None = None) -> DataFram
     rows = C.with_message(_split(frames, symbols), "payload_json", depth)
     reason = F.when(F.col("stream").isNull(), "envelope").when(~F.col("message.valid"), "payload")
     return rows.withColumn("reason", reason).filter("reason is not null").drop("message", "listed")
+
+
+def judged(frames: DataFrame, policy: str = "recv", venue: str = "spot", capture_id: str | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Every frame once: what audit_rows() gives of it (null where it is no envelope), the frame, listed, and reason (what quarantined() says, or null)."""
+    rows = C.with_message(_split(frames, symbols), "payload_json", F.col("stream").isNotNull() & _parsed())
+    event = F.when(_parsed(), F.when(F.col("message.valid"), F.col("message.event_ms")).otherwise(0)).otherwise(C.trade_event_ms(F.col("payload_json")))
+    sec, nsec = C.time_policy(policy, event, F.col("recv_tsec"), F.col("recv_tnsec"))
+    reason = F.when(F.col("stream").isNull(), "envelope").when(~F.col("message.valid"), "payload")
+    names = ["stream_kind", "shard_id", "conn_epoch", "conn_seq", "symbol", "payload_json", "frame", "listed"]
+    found = rows.select(sec.alias("recv_tsec"), nsec.alias("recv_tnsec"), F.lit(venue).alias("venue"), *names, reason.alias("reason"))
+    return found if capture_id is None else found.withColumn("capture_id", F.lit(capture_id))

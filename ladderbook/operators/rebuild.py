@@ -13,7 +13,7 @@ from ..sources.captures import BOOK
 from ..sources.storage import written
 from . import levels
 from .numbering import numbered  # noqa: F401  (a part of this module's interface)
-from .sequencing import actions
+from .sequencing import sequenced
 from .session import BUFFER
 
 KEY = ["capture_id", "venue", "symbol"]
@@ -58,6 +58,11 @@ class Rebuilt:
     book: DataFrame
     actions: DataFrame
     checks: DataFrame
+    #: what goes on needs: rows (identified()), snapshots or None, level writes, and the books' states at their ends
+    rows: DataFrame
+    snapshots: DataFrame | None
+    writes: DataFrame
+    ends: DataFrame
 
 
 def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, chunk: int = levels.CHUNK, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None, **sequencing) -> Rebuilt:
@@ -74,7 +79,8 @@ def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
         if "venue" not in snapshots.columns:
             snapshots = snapshots.join(parsed.select(*KEY).distinct(), ["capture_id", "symbol"])
         snapshots = written(snapshots.withColumns({c: F.coalesce(c, F.lit("")) for c in KEY}), "snapshots")
-    done = written(actions(parsed, snapshots, trades, cap, seed_by_final_id, sidecars, **sequencing).withColumnsRenamed({"seq": "rid", "cause_seq": "cause_rid"}), "actions")
+    done, ends = sequenced(parsed, snapshots, trades, cap, seed_by_final_id, sidecars, **sequencing)
+    done = written(done.withColumnsRenamed({"seq": "rid", "cause_seq": "cause_rid"}), "actions")
     at = ["rid"]  # a row's number joins it with what has happened to it
     rows = parsed.select(*at, "recv_tsec", "recv_tnsec", "message", F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"))
     applied = done.filter("action = 'apply'")
@@ -99,7 +105,7 @@ def rebuild(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
     book = book.withColumns({"side": F.lit("N"), "id": C.instrument_id(F.col("symbol"))}).select(*KEY, *BOOK)
     checks = done.filter("action = 'check'").select(*KEY, *at, "segment", "ordinal").join(rows.select(*at, "epoch", "seq", "message"), at).join(state, spot)
     checks = checks.filter(F.size("message.bids") > 0).select(*KEY, "epoch", "seq", F.col("bid0").alias("book_bid"), F.col("message.bids")[0]["price"].alias("depth5_bid"))
-    return Rebuilt(book, done, checks)
+    return Rebuilt(book, done, checks, parsed, snapshots, writes, ends)
 
 
 def rebuild_files(spark: SparkSession, market: str, snapshots: str | None = None, venue: str | None = None, **options) -> Rebuilt:

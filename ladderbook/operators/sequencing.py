@@ -258,8 +258,13 @@ def _same_place() -> Column:
     return found
 
 
-def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None, span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
-    """The actions of every book.
+def actions(parsed: DataFrame, snapshots: DataFrame | None = None, **options) -> DataFrame:
+    """sequenced() without the books' states."""
+    return sequenced(parsed, snapshots, **options)[0]
+
+
+def sequenced(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool = False, cap: int = BUFFER, seed_by_final_id: bool = False, sidecars: DataFrame | None = None, span: int = SPAN, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The actions of every book, and the state that each book is in at its end (_last_states()).
 
     parsed: parse_market()'s rows; a row is named by its rid (identified() in rebuild.py), or by conn_seq where
     that repeats in no book, and this is what `seq` and `cause_seq` hold. snapshots: parse_snapshots()'s, or
@@ -288,7 +293,7 @@ def actions(parsed: DataFrame, snapshots: DataFrame | None = None, trades: bool
         ranges = plan.select(*ranges.columns)
         wrong = plan.filter("wrong")
         if k and wrong.isEmpty():
-            return _counted(done, plan)
+            return _counted(done, plan), _last_states(done, plan)
         again = written(_ranges_run(head, wrong, options), "actions")
         done = again if done is None else done.join(_aside(wrong), _same_place(), "left_anti").unionByName(again)
         ends = done.filter("action = 'end'")
@@ -328,3 +333,11 @@ def _counted(done: DataFrame, plan: DataFrame) -> DataFrame:
     ordinal = F.when(F.col("segment") == 0, F.col("ordinal") + F.col("ordinals")).otherwise(F.col("ordinal"))
     number = F.when(F.col("number") > 0, F.col("number") + F.col("numbers")).otherwise(0)
     return rows.select(*_KEY, "action", "epoch", "seq", "source", (F.col("segment") + F.col("segments")).alias("segment"), ordinal.alias("ordinal"), "cause_epoch", "cause_seq", "place", number.cast("bigint").alias("number"))
+
+
+def _last_states(done: DataFrame, plan: DataFrame) -> DataFrame:
+    """(capture_id, venue, symbol, state, segment, ordinal, number) behind each book's last row; state is Session.state() as JSON."""
+    ends = done.filter("action = 'end'").join(_aside(plan, "segments", "ordinals", "numbers"), _same_place())
+    ordinal = F.when(F.col("segment") == 0, F.col("ordinal") + F.col("ordinals")).otherwise(F.col("ordinal"))
+    end = F.struct("state", (F.col("segment") + F.col("segments")).alias("segment"), ordinal.alias("ordinal"), (F.col("number") + F.col("numbers")).alias("number"))
+    return ends.groupBy(*_KEY).agg(F.max_by(end, F.struct("major", "slot")).alias("_end")).select(*_KEY, "_end.*")

@@ -381,4 +381,51 @@ def conn_running(spark, sf_dir):
     return rows.select("conn_seq", "conn_epoch", "number", "reconnects")
 
 
+# ------------------------------------------------------------------ streams
+
+
+@query(O.book("spot"))
+def stream_book(spark, sf_dir):
+    """Books of the first half of the messages by a batch job, handed over to a stream that gets the other half."""
+    from ..streaming.books import hand_over, messages, run_books
+
+    parsed = identified(parse_market(A.market(spark, sf_dir)))
+    half = parsed.count() // 2
+    found = rebuild(parsed.filter(F.col("conn_seq") <= half), parse_snapshots(A.snapshots(spark, sf_dir)))
+    later, _ = run_books(spark, messages(parsed.filter(F.col("conn_seq") > half)), True, hand_over(found))
+    return found.book.unionByName(later).drop("capture_id", "venue")
+
+
+_HEALTH = ", ".join("msgs_total depth_diff depth5 trade parse_errors gaps reconnects resyncs buffer_overflows depth5_mismatch ob_rows".split())
+
+
+@query(f"select symbol, {_HEALTH} from ({O.metrics()}) where symbol is not null")
+def stream_health(spark, sf_dir):
+    """The counters of live books, out of the state store."""
+    from ..streaming.books import messages, run_books
+
+    _, health = run_books(spark, messages(parse_market(A.market(spark, sf_dir))), False)
+    return health.drop("capture_id", "venue")
+
+
+@query(ORACLES["parse_errors"])
+def stream_quarantine(spark, sf_dir):
+    """What a capture stream puts aside."""
+    from ..streaming.capture import outputs_stream
+
+    out = outputs_stream(spark, A.frames(spark, sf_dir, "malformed"))
+    return spark.read.parquet(f"{out}/quarantine").select("conn_seq", "reason")
+
+
+@query(O.over_feed("select symbol, kind as stream_kind, count(*) as md_rows, count(*) filter (where event_id % 103 = 0 and kind <> 'trade' and symbol in ('SYM1USDT', 'SYM3USDT')) as parse_errors from feed where event_id % 101 <> 0 group by all"))
+def stream_counters(spark, sf_dir):
+    """Counters of a capture stream that parses two symbols."""
+    from ..streaming.capture import outputs_stream
+
+    listed = captures.symbol_list(spark.createDataFrame([("sym1usdt,SYM3USDT",)], "text string"))
+    out = outputs_stream(spark, A.frames(spark, sf_dir, "malformed"), venue="spot", capture_id="live", symbols=listed)
+    counted = spark.read.parquet(f"{out}/counters").filter("symbol is not null")
+    return counted.groupBy("symbol", "stream_kind").agg(F.sum("md_rows").alias("md_rows"), F.sum("parse_errors").alias("parse_errors"))
+
+
 FLAGSHIP = rebuild_checkpoint

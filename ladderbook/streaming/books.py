@@ -8,32 +8,38 @@ stale by its ids. Needs the RocksDB state store.
 from __future__ import annotations
 
 import json
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import columns as C
+from ..operators import levels
 from ..operators.levels import STATE
+from ..operators.rebuild import Rebuilt
 from ..operators.session import BUFFER, Diff, Session
 from ..sources.captures import BOOK
+from ..sources.storage import shared_dir, written
 
 KEY = ["capture_id", "venue", "symbol"]
 _MESSAGE = "epoch bigint, seq bigint, kind string, valid boolean, first_id bigint, final_id bigint, pu bigint, last_id bigint, tsec bigint, tnsec int, levels string"
+#: counters of a book, as Session's actions and the messages tell them
+COUNTS = ["msgs_total", "depth_diff", "depth5", "trade", "parse_errors", "gaps", "reconnects", "resyncs", "buffer_overflows", "depth5_mismatch", "ob_rows"]
 _HEAD = "epoch bigint, pending boolean, ready boolean, started boolean, last bigint, segment bigint, ordinal bigint, number bigint"
 ROWS = T.StructType([T.StructField(k, T.StringType()) for k in KEY] + [T.StructField(c, T.StringType() if c in ("type", "side") else T.IntegerType() if c == "tnsec" else T.LongType()) for c in BOOK if c != "id"])
 
 
-def messages(parsed: DataFrame) -> DataFrame:
-    """parse_market() rows as the stream's messages."""
+def messages(parsed: DataFrame, *others: str) -> DataFrame:
+    """parse_market() rows as the stream's messages, with others of their columns."""
     m = F.col("message")
     ids = [F.coalesce(m[c], F.lit(0).cast("bigint")).alias(c) for c in ("first_id", "final_id", "pu", "last_id")]
-    levels = F.to_json(F.struct(F.coalesce(m["bids"], F.array()).alias("b"), F.coalesce(m["asks"], F.array()).alias("a")))
-    return parsed.select(*KEY, F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), "valid", *ids, F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec"), levels.alias("levels"))
+    both = F.to_json(F.struct(F.coalesce(m["bids"], F.array()).alias("b"), F.coalesce(m["asks"], F.array()).alias("a")))
+    return parsed.select(*KEY, F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), "valid", *ids, F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec"), both.alias("levels"), *others)
 
 
 def snapshot_messages(parsed: DataFrame) -> DataFrame:
@@ -47,6 +53,14 @@ def _levels(text: str) -> tuple[list, list]:
     return tuple([(x["price"], x["qty"]) for x in found[side]] for side in "ba")
 
 
+_NAMES = [f.split()[0] for f in _MESSAGE.split(", ")]
+_COUNTED = {("gap", ""): "gaps", ("reset", ""): "reconnects", ("seed", "snapshot"): "resyncs", ("overflow", ""): "buffer_overflows"}
+
+
+def _message(row: tuple) -> tuple:
+    return (int(row[0]), int(row[1]), row[2], bool(row[3]), *(int(x) for x in row[4:10]), row[10])
+
+
 class Side:
     """One side of a book in a micro-batch: sizes by price, and the prices in order, the best first."""
 
@@ -91,10 +105,24 @@ class BookProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _MESSAGE)
         self.snapshots = handle.getListState("snapshots", _MESSAGE)
         self.levels = handle.getMapState("levels", "side int, price bigint", "qty bigint")
+        self.counts = handle.getValueState("counts", ", ".join(f"{n} bigint" for n in COUNTS))
 
     def close(self) -> None:
         pass
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """A book as hand_over() gives it."""
+        rows = initialState
+        state = json.loads(rows[rows["part"] == "head"]["head"].iloc[0])
+        self.head.update((-1 if state[0] is None else int(state[0]), *(bool(x) for x in state[1:4]), *(int(x) for x in state[4:])))
+        for part, put in (("waiting", self.waiting), ("snapshot", self.snapshots)):
+            own = rows[rows["part"] == part].sort_values("at")
+            if len(own):
+                put.put([_message(r) for r in own[_NAMES].itertuples(index=False, name=None)])
+        own = rows[rows["part"] == "level"]
+        for side, price, qty in zip(own["side"], own["price"], own["qty"]):
+            self.levels.updateValue((int(side), int(price)), (int(qty),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         sidecar, trades, cap = self.options
         session = Session(key[1] == "usdm", sidecar, trades, cap)
@@ -103,8 +131,11 @@ class BookProcessor(StatefulProcessor):
             session.epoch = None if h[0] is None or h[0] < 0 else h[0]
             session.pending, session.ready, session.started = bool(h[1]), bool(h[2]), bool(h[3])
             session.last, session.segment, session.ordinal, session.number = h[4], h[5], h[6], h[7]
-        kept = {(m[0], m[1]): tuple(m) for m in self.waiting.get()} if self.waiting.exists() else {}
-        session.buffer.extend(Diff(m[0], m[1], m[4], m[5], m[6]) for m in kept.values())
+        # a message is named by its place among those that wait and those of this batch
+        kept = dict(enumerate(tuple(m) for m in self.waiting.get())) if self.waiting.exists() else {}
+        session.buffer.extend(Diff(m[0], n, m[4], m[5], m[6]) for n, m in kept.items())
+        fresh = len(kept)
+        count = dict(zip(COUNTS, self.counts.get())) if self.counts.exists() else dict.fromkeys(COUNTS, 0)
         stored = {m[1]: tuple(m) for m in self.snapshots.get()} if self.snapshots.exists() else {}
         for m in stored.values():
             session.add_snapshot(m[1], m[7])
@@ -113,18 +144,23 @@ class BookProcessor(StatefulProcessor):
             book[k[0]].stored[k[1]] = v[0]
         for side in book:
             side.load()
-        names = [f.split()[0] for f in _MESSAGE.split(", ")]
-        batch = pd.concat(list(rows))[names].sort_values(["epoch", "seq"], kind="stable")
+        batch = pd.concat(list(rows))[_NAMES].sort_values(["epoch", "seq"], kind="stable")
         out: list[tuple] = []
         for row in batch.itertuples(index=False, name=None):
-            m = (int(row[0]), int(row[1]), row[2], bool(row[3]), *(int(x) for x in row[4:10]), row[10])
+            m = _message(row)
             if m[2] == "snapshot":
                 stored[m[1]] = m
                 session.add_snapshot(m[1], m[7])
                 continue
+            n, fresh = fresh, fresh + 1
             if m[2] == "depth_diff":
-                kept[m[0], m[1]] = m
-            for a in session.message(m[2], m[3], m[0], m[1], *m[4:8]):
+                kept[n] = m
+            count["msgs_total"] += 1
+            count[m[2]] += 1
+            count["parse_errors"] += not m[3]
+            for a in session.message(m[2], m[3], m[0], n, *m[4:8]):
+                if (counter := _COUNTED.get((a.action, a.source))) is not None:
+                    count[counter] += 1
                 if a.action == "seed":
                     source = stored.pop(a.seq) if a.source == "snapshot" else m
                     for side, levels in zip(book, _levels(source[10])):
@@ -133,23 +169,26 @@ class BookProcessor(StatefulProcessor):
                             if q:
                                 side.put(p, q)
                 elif a.action == "apply":
-                    d = kept.pop((a.epoch, a.seq))
+                    d = kept.pop(a.seq)
                     for side, levels in zip(book, _levels(d[10])):
                         for p, q in levels:
                             side.put(p, q)
                     out.append((*key, d[8], d[9], a.number, "D", "N", *_best(book)))
                 elif a.action == "trade":
                     out.append((*key, m[8], m[9], a.number, "T", "N", *_best(book)))
+                elif a.action == "check":
+                    bids, best = _levels(m[10])[0], book[0].best()
+                    count["depth5_mismatch"] += bool(bids) and bids[0][0] != (best[0][0] if best else 0)
                 elif a.action == "partial":
                     out.append((*key, m[8], m[9], a.number, "S", "N", *_first(_levels(m[10]))))
                 elif a.action in ("reset", "overflow"):
-                    kept = {k: v for k, v in kept.items() if k == (m[0], m[1])}
+                    kept = {k: v for k, v in kept.items() if k == n}
                     for side in book:
                         side.clear()
             if len(kept) > 2 * len(session.buffer) + 1024:
-                kept = {(d.epoch, d.seq): kept[d.epoch, d.seq] for d in session.buffer}
+                kept = {d.seq: kept[d.seq] for d in session.buffer}
         self.head.update((-1 if session.epoch is None else session.epoch, session.pending, session.ready, session.started, session.last, session.segment, session.ordinal, session.number))
-        self.waiting.put([kept[d.epoch, d.seq] for d in session.buffer]) if session.buffer else self.waiting.clear()
+        self.waiting.put([kept[d.seq] for d in session.buffer]) if session.buffer else self.waiting.clear()
         self.snapshots.put([stored[place] for place, _ in session.snapshots]) if session.snapshots else self.snapshots.clear()
         for n, side in enumerate(book):
             for p in side.touched:
@@ -158,6 +197,8 @@ class BookProcessor(StatefulProcessor):
                     self.levels.removeKey((n, p))
                 elif q is not None and q != side.stored.get(p):
                     self.levels.updateValue((n, p), (q,))
+        count["ob_rows"] += len(out)
+        self.counts.update(tuple(int(count[c]) for c in COUNTS))
         yield pd.DataFrame(out, columns=[f.name for f in ROWS])
 
 
@@ -174,10 +215,60 @@ def _first(levels: tuple[list, list]) -> list[int]:
     return _padded(levels[0][:5]) + _padded(levels[1][:5])
 
 
-def book_stream(stream: DataFrame, have_sidecar: bool, trades: bool = False, cap: int = BUFFER) -> DataFrame:
-    """A stream of messages() and snapshot_messages() as book rows."""
-    rows = stream.groupBy(*KEY).transformWithStateInPandas(BookProcessor(have_sidecar, trades, cap), ROWS, "append", "None")
+def book_stream(stream: DataFrame, have_sidecar: bool, trades: bool = False, cap: int = BUFFER, start: DataFrame | None = None) -> DataFrame:
+    """A stream of messages() and snapshot_messages() as book rows; start: books that hand_over() gives, from which it goes on."""
+    initial = None if start is None else start.groupBy(*KEY)
+    rows = stream.groupBy(*KEY).transformWithStateInPandas(BookProcessor(have_sidecar, trades, cap), ROWS, "append", "None", initialState=initial)
     return rows.withColumn("id", C.instrument_id(F.col("symbol"))).select(*KEY, *BOOK)
 
 
+def hand_over(found: Rebuilt) -> DataFrame:
+    """The books of a rebuild as a stream takes them up: a row `head` each, live levels, diffs that wait and snapshots that
+    aren't used yet. Rebuilt and stream have to have the same options."""
+    state = F.from_json("state", "array<string>")
+    heads = found.ends.select(*KEY, "state", "segment", "ordinal", "number").withColumn("_s", state)
+    lean = F.array(*[F.col("_s")[k] for k in range(5)], *[F.col(c).cast("string") for c in ("segment", "ordinal", "number")])
+    text = F.concat(F.lit("["), F.array_join(lean, ",", "null"), F.lit("]"))
+    none = {"head": "string", "side": "int", "price": "bigint", "qty": "bigint", "at": "bigint"} | dict(f.split() for f in _MESSAGE.split(", "))
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        have = set(rows.columns)
+        return rows.select(*KEY, F.lit(name).alias("part"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+
+    ready = heads.filter(F.col("_s")[2] == "true").select(*KEY, "segment")
+    live = levels.state_at_end(found.writes.join(ready, [*KEY, "segment"], "left_semi"))
+    waiting = heads.select(F.posexplode(F.from_json(F.col("_s")[6], "array<array<bigint>>")).alias("at", "_d")).select("at", F.col("_d")[1].alias("rid"))
+    waiting = messages(found.rows.join(waiting, "rid"), "at")
+    parts = part("head", heads.withColumn("head", text)).unionByName(part("level", live)).unionByName(part("waiting", waiting))
+    if found.snapshots is None:
+        return parts
+    used = heads.select(*KEY, F.col("_s")[5].cast("bigint").alias("_used"))
+    order = F.row_number().over(Window.partitionBy(*KEY).orderBy("snap_ord"))  # a book's snapshots, ids only
+    places = found.snapshots.filter("valid").select(*KEY, "snap_ord").withColumn("_n", order).join(used, KEY).filter("_n > _used").select(*KEY, "snap_ord")
+    left = snapshot_messages(found.snapshots.join(places, [*KEY, "snap_ord"], "left_semi"))
+    return parts.unionByName(part("snapshot", left.withColumn("at", F.col("seq"))))
+
+
+def health(spark: SparkSession, state: str) -> DataFrame:
+    """The counters of the live books whose stream has its checkpoint at `state`, read from the state store."""
+    counts = spark.read.format("statestore").option("path", state).option("stateVarName", "counts").load()
+    return counts.select(*[F.col("key")[k].alias(k) for k in KEY], *[F.col("value")[c].alias(c) for c in COUNTS])
+
+
+def run_books(spark: SparkSession, rows: DataFrame, have_sidecar: bool, start: DataFrame | None = None, trades: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Messages landed as files and kept as live books until all are taken: (book rows, health())."""
+    top = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
+    store, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, rocks)
+    try:
+        query = book_stream(stream, have_sidecar, trades, start=start).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"{top}/out"), written(health(spark, f"{top}/state"), "health")
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+
+
 assert [c for c in BOOK if c not in ("tsec", "tnsec", "seqNo", "id", "type", "side")] == STATE
