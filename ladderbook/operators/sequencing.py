@@ -240,7 +240,7 @@ def _heads(parsed: DataFrame) -> DataFrame:
     place = F.col("place") if has("place") else F.lit(None).cast("struct<block:bigint,at:bigint>")
     major, minor = F.when(place.isNotNull(), place["block"]).otherwise(epoch), F.when(place.isNotNull(), place["at"]).otherwise(number)
     clock = [(F.col(c) if has(c) else none).cast("bigint").alias(n) for c, n in (("recv_tsec", "tsec"), ("recv_tnsec", "tnsec"))]
-    return parsed.select(*_KEY, F.col("have_sidecar").alias("sidecar"), epoch.alias("epoch"), (F.col("rid") if has("rid") else number).alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *ids, major.alias("major"), minor.alias("minor"), *clock, F.xxhash64("payload_json").alias("content"))
+    return parsed.select(*_KEY, F.col("have_sidecar").alias("sidecar"), epoch.alias("epoch"), (F.col("rid") if has("rid") else number).alias("seq"), F.col("stream_kind").alias("kind"), F.col("valid"), *ids, major.alias("major"), minor.alias("minor"), *clock, (F.col("content") if has("content") else F.xxhash64("payload_json")).alias("content"))
 
 
 _PLACE = [*_KEY, *_RANGE]

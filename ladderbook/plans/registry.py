@@ -225,6 +225,14 @@ def rebuild_checkpoint(spark, sf_dir):
     return _book(checkpoint(spark, sf_dir))
 
 
+@query(O.book("checkpoint"))
+def rebuild_typed(spark, sf_dir):
+    """Books of a capture that was stored with its messages as typed columns."""
+    path = _folder(spark, "typed")
+    captures.write_parsed(parse_market(A.market(spark, sf_dir)), path)
+    return _book(rebuild(captures.read_parsed(spark, path)))
+
+
 @query(O.book("spot"))
 def rebuild_sidecar(spark, sf_dir):
     return _book(with_sidecar(spark, sf_dir, "spot"))

@@ -94,6 +94,22 @@ def write_market(market: DataFrame, path: str, form: str = "csv", replace: bool
     _write(market.select(*names, utc_date("recv_tsec").alias("date")), path, form, ["date"], replace)
 
 
+def write_parsed(parsed: DataFrame, path: str, replace: bool = False) -> None:
+    """parse_market() rows as a typed table by UTC date: ids and levels as columns, so that who reads it parses no JSON.
+
+    The payload isn't kept; its hash is, by which rows that repeat a number are told apart.
+    """
+    names = [*KEY, *(f.strip().split(" ")[0] for f in MARKET.split(",") if f.split()[0] not in (*KEY, "payload_json"))]
+    place = F.col("place") if "place" in parsed.columns else F.lit(None).cast("struct<block:bigint,at:bigint>")
+    rows = parsed.select(*names, F.xxhash64("payload_json").alias("content"), "message", "valid", place.alias("place"), utc_date("recv_tsec").alias("date"))
+    _write(rows, path, "parquet", ["date"], replace)
+
+
+def read_parsed(spark: SparkSession, path: str) -> DataFrame:
+    """What write_parsed() has written, for rebuild()."""
+    return spark.read.parquet(path).drop("date")
+
+
 def write_captures(market: DataFrame, path: str, order: list[str]) -> None:
     """One file path/X.csv for each capture_id X, its rows in order of `order`: what collectors leave and replays read.
 

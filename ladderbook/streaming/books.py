@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +27,7 @@ from ..sources.captures import BOOK
 from ..sources.storage import shared_dir, written
 
 KEY = ["capture_id", "venue", "symbol"]
+BAND = 128  # levels of a band of prices
 _MESSAGE = "epoch bigint, seq bigint, kind string, valid boolean, first_id bigint, final_id bigint, pu bigint, last_id bigint, tsec bigint, tnsec int, levels string"
 #: counters of a book, as Session's actions and the messages tell them
 COUNTS = ["msgs_total", "depth_diff", "depth5", "trade", "parse_errors", "gaps", "reconnects", "resyncs", "buffer_overflows", "depth5_mismatch", "ob_rows"]
@@ -62,38 +63,90 @@ def _message(row: tuple) -> tuple:
 
 
 class Side:
-    """One side of a book in a micro-batch: sizes by price, and the prices in order, the best first."""
-
-    def __init__(self, sign: int):
-        self.sign = sign  # -1 bids, 1 asks
-        self.stored: dict[int, int] = {}  # as the state store has it
-        self.size: dict[int, int] = {}
-        self.keys: list[int] = []
+    """One side of a book in a micro-batch: bands of neighbouring prices, each read from the state when it is needed.
+
+    lows: the least key of each stored band, a key being a price whose order has the best first. A band has at
+    most BAND levels and is cut in two where it would have more, so a micro-batch reads the bands that its
+    messages touch and the best ones, however deep the book is.
+    """
+
+    def __init__(self, sign: int, lows: list[int] = (), read: Callable[[int], tuple[list[int], list[int]]] | None = None):
+        self.sign, self.read = sign, read  # sign: -1 bids, 1 asks
+        self.lows = list(lows)
+        self.stored = set(self.lows)
+        self.bands: dict[int, tuple[list[int], dict[int, int]]] = {}  # by low: keys in order, and sizes
         self.touched: set[int] = set()
 
-    def load(self) -> None:
-        self.size = dict(self.stored)
-        self.keys = sorted(self.sign * p for p in self.size)
+    def band(self, low: int) -> tuple[list[int], dict[int, int]]:
+        if low not in self.bands:
+            keys, sizes = self.read(low)
+            self.bands[low] = (keys, dict(zip(keys, sizes)))
+        return self.bands[low]
 
     def clear(self) -> None:
-        self.touched.update(self.size)
-        self.size.clear()
-        self.keys.clear()
+        self.lows.clear()
+        self.bands.clear()
+        self.touched.clear()
 
     def put(self, price: int, size: int) -> None:
         """size 0 takes the level away."""
-        key, known = self.sign * price, price in self.size
-        self.touched.add(price)
+        key = self.sign * price
+        at = bisect_right(self.lows, key) - 1
+        if at < 0:  # before all bands: the first one begins here from now on
+            if not size:
+                return
+            if self.lows:
+                self.bands[key] = self.band(self.lows[0])
+                del self.bands[self.lows[0]]
+                self.touched.discard(self.lows[0])
+                self.lows[0] = key
+            else:
+                self.lows.append(key)
+                self.bands[key] = ([], {})
+            at = 0
+        low = self.lows[at]
+        keys, sizes = self.band(low)
+        known = key in sizes
         if size:
-            self.size[price] = size
             if not known:
-                insort(self.keys, key)
+                insort(keys, key)
+            elif sizes[key] == size:
+                return
+            sizes[key] = size
         elif known:
-            del self.size[price]
-            del self.keys[bisect_left(self.keys, key)]
+            del sizes[key]
+            del keys[bisect_left(keys, key)]
+        else:
+            return
+        self.touched.add(low)
+        if not keys:
+            del self.lows[at], self.bands[low]
+            self.touched.discard(low)
+        elif len(keys) > BAND:
+            half = len(keys) // 2
+            upper = keys[half:]
+            del keys[half:]
+            self.bands[upper[0]] = (upper, {k: sizes.pop(k) for k in upper})
+            self.lows.insert(at + 1, upper[0])
+            self.touched.add(upper[0])
 
     def best(self) -> list[tuple[int, int]]:
-        return [(self.sign * k, self.size[self.sign * k]) for k in self.keys[:5]]
+        found: list[tuple[int, int]] = []
+        for low in self.lows:
+            keys, sizes = self.band(low)
+            found += [(self.sign * k, sizes[k]) for k in keys[: 5 - len(found)]]
+            if len(found) == 5:
+                break
+        return found
+
+    def changes(self) -> tuple[list[int], dict[int, tuple[list[int], list[int]]]]:
+        """(lows of stored bands that are gone, new contents by low); stored bands are as said from then on."""
+        gone = [low for low in self.stored if low not in set(self.lows)]
+        kept = {low: (self.bands[low][0], [self.bands[low][1][k] for k in self.bands[low][0]]) for low in self.touched}
+        kept |= {low: (self.bands[low][0], [self.bands[low][1][k] for k in self.bands[low][0]]) for low in self.lows if low not in self.stored}
+        self.stored = set(self.lows)
+        self.touched.clear()
+        return gone, kept
 
 
 class BookProcessor(StatefulProcessor):
@@ -104,7 +157,8 @@ class BookProcessor(StatefulProcessor):
         self.head = handle.getValueState("head", _HEAD)
         self.waiting = handle.getListState("waiting", _MESSAGE)
         self.snapshots = handle.getListState("snapshots", _MESSAGE)
-        self.levels = handle.getMapState("levels", "side int, price bigint", "qty bigint")
+        self.bands = handle.getMapState("bands", "side int, low bigint", "levels string")
+        self.lows = handle.getValueState("lows", "bids string, asks string")
         self.counts = handle.getValueState("counts", ", ".join(f"{n} bigint" for n in COUNTS))
 
     def close(self) -> None:
@@ -120,8 +174,19 @@ class BookProcessor(StatefulProcessor):
             if len(own):
                 put.put([_message(r) for r in own[_NAMES].itertuples(index=False, name=None)])
         own = rows[rows["part"] == "level"]
+        book = (Side(-1), Side(1))
         for side, price, qty in zip(own["side"], own["price"], own["qty"]):
-            self.levels.updateValue((int(side), int(price)), (int(qty),))
+            book[int(side)].put(int(price), int(qty))
+        self._keep(book)
+
+    def _keep(self, book: tuple[Side, Side]) -> None:
+        for n, side in enumerate(book):
+            gone, kept = side.changes()
+            for low in gone:
+                self.bands.removeKey((n, low))
+            for low, levels in kept.items():
+                self.bands.updateValue((n, low), (json.dumps(levels),))
+        self.lows.update(tuple(json.dumps(side.lows) for side in book))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         sidecar, trades, cap = self.options
@@ -139,11 +204,8 @@ class BookProcessor(StatefulProcessor):
         stored = {m[1]: tuple(m) for m in self.snapshots.get()} if self.snapshots.exists() else {}
         for m in stored.values():
             session.add_snapshot(m[1], m[7])
-        book = (Side(-1), Side(1))
-        for k, v in self.levels.iterator() if self.levels.exists() else ():
-            book[k[0]].stored[k[1]] = v[0]
-        for side in book:
-            side.load()
+        lows = [json.loads(x) for x in self.lows.get()] if self.lows.exists() else ([], [])
+        book = tuple(Side(sign, lows[n], lambda low, n=n: json.loads(self.bands.getValue((n, low))[0])) for n, sign in enumerate((-1, 1)))
         batch = pd.concat(list(rows))[_NAMES].sort_values(["epoch", "seq"], kind="stable")
         out: list[tuple] = []
         for row in batch.itertuples(index=False, name=None):
@@ -190,13 +252,7 @@ class BookProcessor(StatefulProcessor):
         self.head.update((-1 if session.epoch is None else session.epoch, session.pending, session.ready, session.started, session.last, session.segment, session.ordinal, session.number))
         self.waiting.put([kept[d.seq] for d in session.buffer]) if session.buffer else self.waiting.clear()
         self.snapshots.put([stored[place] for place, _ in session.snapshots]) if session.snapshots else self.snapshots.clear()
-        for n, side in enumerate(book):
-            for p in side.touched:
-                q = side.size.get(p)
-                if q is None and p in side.stored:
-                    self.levels.removeKey((n, p))
-                elif q is not None and q != side.stored.get(p):
-                    self.levels.updateValue((n, p), (q,))
+        self._keep(book)
         count["ob_rows"] += len(out)
         self.counts.update(tuple(int(count[c]) for c in COUNTS))
         yield pd.DataFrame(out, columns=[f.name for f in ROWS])

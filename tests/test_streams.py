@@ -43,3 +43,86 @@ def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
     assert sorted((r["symbol"], r["venue"], r["capture_id"], r["batch"]) for r in read("market").collect()) == [(s, "usdm", "cap", b) for s in "AB" for b in (0, 1)]
     assert sorted((r["conn_seq"], r["reason"], r["batch"]) for r in read("quarantine").collect()) == [(2, "payload", 0), (2, "payload", 1), (3, "envelope", 0), (3, "envelope", 1)]
     assert sorted((str(r["symbol"]), r["frames"], r["md_rows"], r["taken"], r["parse_errors"]) for r in read("counters").filter("batch = 1").collect()) == [("A", 1, 1, 0, 0), ("B", 1, 1, 0, 1), ("None", 1, 0, 0, 1)]
+
+
+def test_deep_books_are_read_in_bands():
+    """100 messages on 10,000 levels a side read under a twentieth of them, and tell what a plain book tells."""
+    import random
+
+    from ladderbook.streaming.books import Side
+
+    rng = random.Random(1)
+    for sign in (-1, 1):
+        plain, store = {}, {}
+        side = Side(sign)
+        for p in rng.sample(range(1, 100_000), 10_000):
+            plain[p] = rng.randint(1, 9)
+            side.put(p, plain[p])
+        gone, kept = side.changes()
+        store.update(kept)
+        read, lows = 0, list(side.lows)
+
+        def fetch(low):
+            nonlocal read
+            read += len(store[low][0])
+            return [list(x) for x in store[low]]
+
+        side = Side(sign, lows, fetch)
+        near = sorted(plain, key=lambda p: sign * p)[:200]
+        for _ in range(100):
+            p, q = rng.choice(near) + rng.randint(-3, 3), rng.randint(0, 3)
+            plain.pop(p, None)
+            if q:
+                plain[p] = q
+            side.put(p, q)
+            assert side.best() == [(k, plain[k]) for k in sorted(plain, key=lambda p: sign * p)[:5]]
+        assert read < 500
+        gone, kept = side.changes()
+        for low in gone:
+            del store[low]
+        store.update(kept)
+        found = {sign * k: q for keys, sizes in store.values() for k, q in zip(keys, sizes)}
+        assert found == plain and sorted(store) == side.lows
+
+
+@pytest.mark.parametrize("band", [1, 2, 5])
+def test_bands_under_random_updates(monkeypatch, band):
+    import random
+
+    from ladderbook.streaming import books
+
+    monkeypatch.setattr(books, "BAND", band)
+    rng = random.Random(band)
+    for sign in (-1, 1):
+        plain, store, lows = {}, {}, []
+        for _ in range(60):
+            side = books.Side(sign, lows, lambda low: [list(x) for x in store[low]])
+            for _ in range(rng.randint(0, 12)):
+                if rng.random() < 0.03:
+                    plain.clear()
+                    side.clear()
+                p, q = rng.randint(1, 25), rng.choice([0, 0, 1, 2])
+                plain.pop(p, None)
+                if q:
+                    plain[p] = q
+                side.put(p, q)
+                assert side.best() == [(k, plain[k]) for k in sorted(plain, key=lambda p: sign * p)[:5]]
+            gone, kept = side.changes()
+            for low in gone:
+                del store[low]
+            store.update({low: [list(x) for x in levels] for low, levels in kept.items()})
+            lows = list(side.lows)
+            assert {sign * k: q for keys, sizes in store.values() for k, q in zip(keys, sizes)} == plain and sorted(store) == lows
+
+
+def test_typed_captures_need_no_json(spark, tmp_path):
+    from ladderbook.sources import captures
+
+    cases = {f"S{i}": made(95 + i, "spot", 80) for i in range(3)}
+    parsed, _ = tables(spark, cases, "spot")
+    path = f"file://{tmp_path}/typed"
+    captures.write_parsed(parsed, path)
+    captures.write_parsed(parsed, path, replace=True)
+    typed = captures.read_parsed(spark, path)
+    assert "json" not in typed._jdf.queryExecution().toString().lower() and "variant" not in typed._jdf.queryExecution().toString().lower()
+    assert rows_of(rebuild(typed).book) == expected(cases, "spot", False, False, 65_536)
