@@ -31,6 +31,8 @@ TOPICS = frozenset("related social notice notices notification alert search shar
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 KEEPS_IN = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
+PROSE = frozenset("blockquote p pre section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = frozenset("center details div dl fieldset ol section table ul".split())
 HOLDS_P = frozenset("article aside body button caption div html li main section table td th".split())
 
@@ -217,7 +219,7 @@ def _wide(tree: _Tree) -> None:
         words = [_words(x) for x in tree.names.get(k, [])]
         if 2 * free[k] > free[body] and not (words and all(REPLIES.issuperset(w) for w in words)):
             tree.cut[k] = False
-        elif words and tree.tag[k] in ("p", "section") and 2 * free[k] > chars[k] and within[k]:
+        elif words and tree.tag[k] in ("p", "section", "div") and 2 * free[k] > chars[k] and within[k]:
             if all(len(w) > 1 and TOPICS.issuperset(CUT_NAMES.intersection(w)) and not CUT_NAMES.issuperset(w) for w in words):
                 tree.cut[k] = False
 
@@ -267,11 +269,37 @@ def _chosen(tree: _Tree) -> tuple[int, set[int]]:
         return (articles or framed)[-1], set()
     if sums[best] == 0:
         return body, set()
-    if best not in (0, body):
-        return best, set()
-    inside = path[: path.index(body) + 1] if body in path else path
-    threshold = min(density[k] for k in inside)
-    return best, {k for k in range(n) if tree.parent[k] == best and tree.tag[k] in HOLDERS and density[k] < threshold}
+    return _grown(tree, best, path[: path.index(body) + 1] if body in path else path, out, chars, linked, density)
+
+
+def _grown(tree: _Tree, best: int, path: list[int], out: list[bool], chars: list[int], linked: list[int], density: list[float]) -> tuple[int, set[int]]:
+    """The subtree of the largest density sum, grown up the path to the body, and the parts in it to leave out.
+
+    The least density on the path is the threshold. A parent takes the node's place while another part of
+    it that is dense enough and has more text outside links than in them stands beside the node: a
+    section, a lead paragraph, a headline. Parts below the threshold that hold others are left out.
+    """
+    threshold = min(density[k] for k in path)
+    kids: dict[int, list[int]] = {}
+    on_path = set(path)
+    for k in range(1, len(tree.tag)):
+        if tree.parent[k] in on_path and not out[k] and chars[k]:
+            kids.setdefault(tree.parent[k], []).append(k)
+
+    def plain(k: int) -> bool:
+        return 2 * linked[k] < chars[k]
+
+    def more(k: int) -> bool:
+        """Whether a part beside the node is of the article too."""
+        return plain(k) and (tree.tag[k] in HEADINGS or density[k] >= threshold and (tree.tag[k] in PROSE or density[k] >= density[best] / 2))
+
+    top = 0
+    for i in range(1, len(path)):
+        if any(k not in on_path and more(k) for k in kids.get(path[i], [])):
+            top = i
+    root = path[top]
+    leave = {k for up in path[: top + 1] for k in kids.get(up, []) if k not in on_path and tree.tag[k] in HOLDERS and (density[k] < threshold or not plain(k))}
+    return root, leave
 
 
 def main_text(page: str) -> str:
