@@ -35,15 +35,14 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     made = 0
     for i, n in enumerate(lengths.tolist()):
         old, new = count[n:], count[: size - n + 1]
-        change = new - old  # half of the sum's change, but for a gap that it leaves itself at 0
+        change = 2 * (new - old) + 2  # of the sum, for each gap that is left
+        change[0] = 1 - 2 * old[0]  # an exact fit leaves none that counts
         change[old == 0] = np.iinfo(np.int64).max
-        change[0] -= 1 if old[0] else 0  # an exact fit opens no gap
-        change[-1] = new[-1]  # the gap of a whole sequence: a new one
-        best = int(change.argmin())
-        # half-changes as counted: +1 for an open sequence's old and new gap, +1/2 for a new sequence
+        change[-1] = 2 * new[-1] + 1 if n < size else 0  # a new sequence
+        best = int(change.argmin())  # the least gap of several as good
         gap = n + best
-        if best == size - n or change[best] + 1 > change[-1] + 0.5:
-            gap, best = size, size - n
+        if best == size - n:
+            gap = size
             place = made
             made += 1
         else:
