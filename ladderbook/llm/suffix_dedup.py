@@ -9,12 +9,15 @@ equal places, so all windows of one anchor occurrence travel together as one fra
    the earliest goes on, so a passage that a third of all documents hold sends one entry a batch.
 2. `_meet`, by anchor: of equal fragments all but the earliest repeat. Anchors with several
    different fragments need their texts.
-3. `_fetch`, by document: cut the texts of those fragments out of the documents. Anchors with very
-   many different fragments are cut into narrower ones first, under longer keys.
+3. `_fetch`, by document: cut the texts of those fragments out of the documents. Fragments of anchors with
+   very many different ones (a line that stands between ever different others) are cut into narrower
+   ones, which go on as keys first: hashes of the bytes that all their windows share.
 4. `_order`, by anchor: a suffix array over the different fragments of each anchor (gsaca). Windows
    that are equal stand side by side in it; all but the earliest repeat. The bytes are compared. Where
    one key has very many different fragments (one passage's edge in as many documents), their few
-   windows are sorted by hash instead, so that no lane is long.
+   windows are sorted by hash instead, so that no lane is long. Of narrower fragments only those whose keys
+   meet go through both steps once more, now with their texts; where a key has met more than HOT times,
+   windows go as digests of 128 bits, dealt out by digest.
 5. `_cut`, by document: unite the repeated windows and remove what they cover.
 
 Documents are shuffled once by a hash of their key and that exchange serves steps 3 and 5.
@@ -41,7 +44,7 @@ WIDE = 64  # different fragments of one anchor beyond which they are cut narrowe
 STEP = 8  # windows of a narrower fragment
 LANES = 1 << 20  # bytes of fragments that are sorted at a time
 LANE = 256  # different fragments of one lane; where one key has more, their windows are sorted by hash
-HOT = 1 << 16  # different fragments of one anchor beyond which each window has a key of its own
+HOT = 1 << 16  # fragments of one key beyond which each window has a key of its own
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -50,6 +53,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 ENTRY = {"anchor": "u8", "frag": "u8", "doc": "i8", "sum": "i8", "start": "i8", "lead": "u1", "wins": "u1", "group": "i4"}
 RANGE = {"doc": "i8", "sum": "i8", "group": "i4", "start": "i8", "end": "i8"}
+WINDOW = {"key": "u8", "check": "u8", "doc": "i8", "sum": "i8", "start": "i8", "group": "i4"}
 NEED = {"doc": "i8", "sum": "i8", "start": "i8", "lead": "u1", "wins": "u1", "wide": "u1", "anchor": "u8"}
 PIECE = {"key": "u8", "doc": "i8", "sum": "i8", "start": "i8", "group": "i4", "wins": "u1", "size": "i4"}
 
@@ -229,7 +233,7 @@ def _meet(length: int):
             kinds = np.diff(np.r_[np.flatnonzero(new_anchor[firsts]), len(firsts)])
             kinds = np.repeat(kinds, kinds)
             need = firsts[kinds > 1]
-            rows += _blocks(0, e["group"][need], {n: e[n][need] for n in ("doc", "sum", "start", "lead", "wins", "anchor")} | {"wide": (kinds[kinds > 1] > WIDE).astype("u1") + (kinds[kinds > 1] > HOT)}, NEED)
+            rows += _blocks(0, e["group"][need], {n: e[n][need] for n in ("doc", "sum", "start", "lead", "wins", "anchor")} | {"wide": (kinds[kinds > 1] > WIDE).astype("u1")}, NEED)
         r = _joined(ranges, RANGE)
         rows += _blocks(1, r["group"], r, RANGE)
         yield _batch(rows)
@@ -238,20 +242,34 @@ def _meet(length: int):
 
 
 def _narrower(need: dict[str, np.ndarray], length: int) -> dict[str, np.ndarray]:
-    """Wide entries cut into runs of STEP windows (of one, if they are hot) by their distance from the anchor; `common` is where the bytes start that all windows of a run share."""
+    """Wide entries cut into runs of STEP windows by their distance from the anchor; `common` is where the bytes start that all windows of a run share."""
     start, lead, wins = need["start"], need["lead"].astype(np.int64), need["wins"].astype(np.int64)
-    wide = need["wide"].astype(bool)
-    step = np.where(need["wide"] > 1, 1, STEP)
+    wide = need["wide"] == 1
     least, most = lead - wins + 1, lead  # the anchor's distance from the last and from the first window
-    lo, hi = np.where(wide, least // step, 0), np.where(wide, most // step, 0)
+    lo, hi = np.where(wide, least // STEP, 0), np.where(wide, most // STEP, 0)
     count = hi - lo + 1
     at = np.repeat(np.arange(len(start)), count)
     run = ragged(lo, count)
-    w, step = wide[at], step[at]
-    near = np.where(w, np.maximum(least[at], run * step), least[at])
-    far = np.where(w, np.minimum(most[at], run * step + step - 1), most[at])
+    w = wide[at]
+    near = np.where(w, np.maximum(least[at], run * STEP), least[at])
+    far = np.where(w, np.minimum(most[at], run * STEP + STEP - 1), most[at])
     begin = start[at] + lead[at] - far
-    return {n: need[n][at] for n in ("doc", "sum", "anchor")} | {"start": begin, "wins": far - near + 1, "wide": w, "run": run, "common": start[at] + lead[at] - run * step, "shared": length - step + 1}
+    return {n: need[n][at] for n in ("doc", "sum", "anchor")} | {"start": begin, "wins": far - near + 1, "wide": need["wide"][at], "run": run, "common": start[at] + lead[at] - run * STEP}
+
+
+def _digests(body: np.ndarray, at: list[int], size: int, more: list[bytes]) -> np.ndarray:
+    """Two numbers a place: the digest of `size` bytes there and of more."""
+    view = memoryview(np.ascontiguousarray(body))
+    made = b"".join(hashlib.blake2b(view[i : i + size], digest_size=16, salt=x).digest() for i, x in zip(at, more))
+    return np.frombuffer(made, np.uint64).reshape(-1, 2)
+
+
+def _windows(x: dict[str, np.ndarray], base: np.ndarray, body: np.ndarray, length: int, group: int) -> dict[str, np.ndarray]:
+    """WINDOW entries of fragments."""
+    owner = np.repeat(np.arange(len(base)), x["wins"])
+    start = x["start"][owner] + ragged(np.zeros(len(base), np.int64), x["wins"])
+    both = _digests(body, (base[owner] + start).tolist(), length, [b""] * len(owner))
+    return {"key": both[:, 0], "check": both[:, 1], "doc": x["doc"][owner], "sum": x["sum"][owner], "start": start, "group": np.full(len(owner), group, np.int32)}
 
 
 def _by_document(docs: dict, d: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -276,14 +294,19 @@ def _fetch(length: int, buckets: int):
             base = _by_document(place, x["doc"], x["sum"])
             size = x["wins"] - 1 + length
             key = x["anchor"].copy()
-            for i in np.flatnonzero(x["wide"]).tolist():
-                at = int(base[i] + x["common"][i])
-                key[i] ^= np.frombuffer(hashlib.blake2b(body[at : at + int(x["shared"][i])].tobytes() + bytes([int(x["run"][i])]), digest_size=8).digest(), np.uint64)[0]
+            wide = np.flatnonzero(x["wide"] == 1)
+            if len(wide):
+                key[wide] ^= _digests(body, (base + x["common"])[wide].tolist(), length - STEP + 1, [bytes([r]) for r in x["run"][wide].tolist()])[:, 0]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
             cols = {"key": key, "doc": x["doc"], "sum": x["sum"], "start": x["start"], "group": np.full(len(key), group, np.int32), "wins": x["wins"], "size": size}
-            for i, j in zip(cut.tolist(), np.r_[cut[1:], len(order)].tolist()):
+            rows += _blocks(3, bucket[wide].astype(np.int32), {n: c[wide] for n, c in cols.items()}, PIECE)
+            if len(hot := np.flatnonzero(x["wide"] == 2)):
+                found = _windows({n: c[hot] for n, c in x.items()}, base[hot], body, length, group)
+                rows += _blocks(4, (found["key"] % np.uint64(buckets)).astype(np.int32), found, WINDOW)
+            plain = np.flatnonzero(x["wide"] == 0)
+            order = plain[np.argsort(bucket[plain], kind="stable")]
+            cut = np.flatnonzero(np.r_[len(order) > 0, np.diff(bucket[order]) != 0])
+            for i, j in zip(cut.tolist(), np.r_[cut[1:], len(order)].tolist()) if len(order) else ():
                 o = order[i:j]
                 head = packed(**{n: cols[n][o].astype(t) for n, t in PIECE.items()})
                 texts = body[ragged((base + x["start"])[o], size[o])].tobytes()
@@ -295,11 +318,15 @@ def _fetch(length: int, buckets: int):
 
 def _order(length: int):
     def run(batches):
-        pieces, texts, ranges = [], [], []
+        pieces, texts, ranges, keyed, windows = [], [], [], [], []
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
                 if kind == 1:
                     ranges.append(unpacked(payload, RANGE))
+                elif kind == 3:
+                    keyed.append(unpacked(payload, PIECE))
+                elif kind == 4:
+                    windows.append(unpacked(payload, WINDOW))
                 else:
                     n = int.from_bytes(payload[:8], "little")
                     pieces.append(unpacked(payload[8 : 8 + n], PIECE))
@@ -309,13 +336,33 @@ def _order(length: int):
             body = np.concatenate(texts)
             del texts, pieces
             ranges += _repeats(p, body, length)
+        if windows:
+            ranges.append(_equal(_joined(windows, WINDOW), length))
         r = _joined(ranges, RANGE)
         r = _ranges(*(r[n] for n in ("doc", "sum", "group", "start", "end")))
-        yield _batch([*_blocks(1, r["group"], r, RANGE)])
+        yield _batch([*_blocks(1, r["group"], r, RANGE), *_again(_joined(keyed, PIECE))])
 
     return run
 
 
+def _again(k: dict[str, np.ndarray]) -> list:
+    """NEED blocks of the narrower fragments whose key others have too."""
+    if not len(k["key"]):
+        return []
+    _, inverse, count = np.unique(k["key"], return_inverse=True, return_counts=True)
+    met = np.flatnonzero(count[inverse] > 1)
+    need = {n: k[n][met] for n in ("doc", "sum", "start", "wins")} | {"lead": k["wins"][met] - 1, "wide": np.where(count[inverse[met]] > HOT, 2, 0), "anchor": k["key"][met]}
+    return [*_blocks(0, k["group"][met], need, NEED)]
+
+
+def _equal(w: dict[str, np.ndarray], length: int) -> dict[str, np.ndarray]:
+    """Ranges of the windows that have the digest of an earlier one."""
+    order = np.lexsort((w["start"], w["sum"], w["doc"], w["check"], w["key"]))
+    same = (np.diff(w["key"][order]) == 0) & (np.diff(w["check"][order]) == 0)
+    later = order[1:][same]
+    return _ranges(*(w[n][later] for n in ("doc", "sum", "group", "start")), w["start"][later] + length)
+
+
 def _repeats(p: dict[str, np.ndarray], body: np.ndarray, length: int) -> list[dict[str, np.ndarray]]:
     """Ranges of the windows that also start earlier, among the fragments of each key."""
     size = p["size"].astype(np.int64)
@@ -483,6 +530,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = small.mapInArrow(_anchors(length, k, buckets), BLOCK).repartition(buckets, "bucket").mapInArrow(_meet(length), BLOCK)
     blocks = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
     blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
+    # narrower fragments that have met
+    blocks = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
+    blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
     out = T.StructType([ready.schema["_sa_text" if c == text_col else c] if c != text_col else T.StructField(text_col, T.StringType()) for c in carried] + [T.StructField(n, t) for n, t in added])
     keep = ["_sa_text" if c == text_col else c for c in carried]
     return by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_cut(keep, to_arrow_schema(out), kept_as), out)
