@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == kind)
-    # the row of least id stands for its content: texts are moved once, and copies not at all
+    # the row of least id stands for its content: only its text is encoded, though all texts are moved to find it
     chosen = keyed.groupBy("content").agg(F.min(id_col).alias("least")).join(stored.select("content"), "content", "left_anti").withColumnRenamed("content", "wanted")
     misses = keyed.join(chosen, (F.col("content") == F.col("wanted")) & F.col(id_col).eqNullSafe(F.col("least")), "left_semi").select("content", "text")
     counted = misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens bigint").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
