@@ -73,14 +73,31 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc only
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, as Python workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what memory each has needed goes back to the system, as workers live on for other tasks."""
+    """The batches; what earlier tasks and each batch have needed is given back."""
+    give_back()
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if _TRIM:
-            _TRIM(0)
+        give_back()
+
+
+def released(run):
+    """run, for mapInArrow, giving back what earlier tasks and this one have needed."""
+
+    def task(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ragged, raw_bytes, slices, text_array, total_bytes, trimmed, unpacked
+from .common import packed, ragged, raw_bytes, released, slices, text_array, total_bytes, trimmed, unpacked
 from .gsaca import suffix_order
 
 K = 32  # bytes of an anchor
 SLICE = 1 << 20  # bytes that are hashed at a time
+TOGETHER = 8 << 20  # bytes of which equal fragments become one entry
 GROUP_BYTES = 4 << 20  # text of a group of documents
 BUCKET_BYTES = 12 << 20  # text whose anchors meet in one task
 WIDE = 64  # different fragments of one anchor beyond which they are cut narrower
@@ -60,7 +61,7 @@ PIECE = {"key": "u8", "doc": "i8", "sum": "i8", "start": "i8", "group": "i4", "w
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, for n positions at least."""
-    size = 1 << max(20, n.bit_length())
+    size = 1 << max(20, (n - 1).bit_length())
     if size not in _POWERS:
         out = []
         for base in (_ODD, pow(_ODD, -1, 1 << 64)):
@@ -88,7 +89,7 @@ def _fragments(body: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tu
     ok = np.diff(offsets) >= length
     if not ok.any():
         return none
-    up, down = _powers(n + 1)
+    up, down = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[body] * up[:n], out=total[1:])
     gram = _mixed((total[k:] - total[: n - k + 1]) * down[: n - k + 1])
@@ -120,7 +121,7 @@ def _long_fragments(body: np.ndarray, length: int, k: int):
     A fragment that a slice's edge cuts in two is only split: both parts still meet their equals,
     since narrower fragments of one anchor are compared window by window in step 4.
     """
-    step = 8 * SLICE
+    step = SLICE - length + 1
     for at in range(0, max(1, len(body) - length + 1), step):
         part = body[at : at + step + length - 1]
         yield at, _fragments(part, np.array([0, len(part)], np.int64), length, k)
@@ -166,6 +167,20 @@ def _joined(parts: list[dict[str, np.ndarray]], dtypes: dict[str, str]) -> dict[
     return {n: np.concatenate([p[n] for p in parts]) if parts else np.empty(0, t) for n, t in dtypes.items()}
 
 
+def _of_documents(body: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """_fragments() of any number of documents, a slice at a time."""
+    parts = []
+    for i, j in slices(offsets, SLICE):
+        part = body[offsets[i] : offsets[j]]
+        if len(part) > SLICE:
+            for at, (anchor, frag, doc, start, lead, wins) in _long_fragments(part, length, k):
+                parts.append((anchor, frag, doc + i, start + at, lead, wins))
+        else:
+            anchor, frag, doc, start, lead, wins = _fragments(part, offsets[i : j + 1] - offsets[i], length, k)
+            parts.append((anchor, frag, doc + i, start, lead, wins))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _anchors(length: int, k: int, buckets: int):
     def run(batches):
         for batch in trimmed(batches):
@@ -177,34 +192,28 @@ def _anchors(length: int, k: int, buckets: int):
                 order = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]  # repeated rows count once
             ids, sums, groups = ids[order], sums[order], groups[order]
             body, offsets = raw_bytes(text_array(batch.column("_sa_text")).take(pa.array(order)))
-            parts = []
-            for i, j in slices(offsets, SLICE):
-                part = body[offsets[i] : offsets[j]]
-                if len(part) > 8 * SLICE:
-                    for at, (anchor, frag, doc, start, lead, wins) in _long_fragments(part, length, k):
-                        parts.append((anchor, frag, doc + i, start + at, lead, wins))
-                else:
-                    anchor, frag, doc, start, lead, wins = _fragments(part, offsets[i : j + 1] - offsets[i], length, k)
-                    parts.append((anchor, frag, doc + i, start, lead, wins))
-            if not parts:
-                continue
-            anchor, frag, doc, start, lead, wins = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            order = np.argsort(frag, kind="stable")
-            f = frag[order]
-            first = np.ones(len(f), bool)
-            first[1:] = f[1:] != f[:-1]
-            rest, order = np.sort(order[~first]), np.sort(order[first])
-            again = _ranges(ids[doc[rest]], sums[doc[rest]], groups[doc[rest]], start[rest], start[rest] + wins[rest].astype(np.int64) - 1 + length)
-            d = doc[order]
-            entries = {"anchor": anchor[order], "frag": frag[order], "doc": ids[d], "sum": sums[d], "start": start[order], "lead": lead[order], "wins": wins[order], "group": groups[d]}
-            rows = [*_blocks(0, (entries["anchor"] % np.uint64(buckets)).astype(np.int32), entries, ENTRY)]
-            rows += _blocks(1, (again["group"] % buckets).astype(np.int32), again, RANGE)
-            yield _batch(rows)
+            del batch
+            for i, j in slices(offsets, TOGETHER):
+                found = _of_documents(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, k)
+                yield _batch(_entries(*found, ids[i:j], sums[i:j], groups[i:j], length, buckets))
 
     return run
 
 
+def _entries(anchor, frag, doc, start, lead, wins, ids, sums, groups, length: int, buckets: int) -> list:
+    """ENTRY blocks of the earliest of equal fragments, RANGE blocks of the others."""
+    order = np.argsort(frag, kind="stable")
+    f = frag[order]
+    first = np.ones(len(f), bool)
+    first[1:] = f[1:] != f[:-1]
+    rest, order = np.sort(order[~first]), np.sort(order[first])
+    again = _ranges(ids[doc[rest]], sums[doc[rest]], groups[doc[rest]], start[rest], start[rest] + wins[rest].astype(np.int64) - 1 + length)
+    d = doc[order]
+    entries = {"anchor": anchor[order], "frag": frag[order], "doc": ids[d], "sum": sums[d], "start": start[order], "lead": lead[order], "wins": wins[order], "group": groups[d]}
+    rows = [*_blocks(0, (entries["anchor"] % np.uint64(buckets)).astype(np.int32), entries, ENTRY)]
+    return rows + [*_blocks(1, (again["group"] % buckets).astype(np.int32), again, RANGE)]
+
+
 def _meet(length: int):
     def run(batches):
         found, ranges = [], []
@@ -527,12 +536,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ready = ready.drop(text_col)
     small = ready.select("_sa_id", "_sa_sum", "_sa_group", "_sa_text")
     by_doc = ready.groupBy("_sa_group")
-    blocks = small.mapInArrow(_anchors(length, k, buckets), BLOCK).repartition(buckets, "bucket").mapInArrow(_meet(length), BLOCK)
+    blocks = small.mapInArrow(_anchors(length, k, buckets), BLOCK).repartition(buckets, "bucket").mapInArrow(released(_meet(length)), BLOCK)
     blocks = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
-    blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
+    blocks = blocks.repartition(buckets, "bucket").mapInArrow(released(_order(length)), BLOCK)
     # narrower fragments that have met
     blocks = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_fetch(length, buckets), BLOCK)
-    blocks = blocks.repartition(buckets, "bucket").mapInArrow(_order(length), BLOCK)
+    blocks = blocks.repartition(buckets, "bucket").mapInArrow(released(_order(length)), BLOCK)
     out = T.StructType([ready.schema["_sa_text" if c == text_col else c] if c != text_col else T.StructField(text_col, T.StringType()) for c in carried] + [T.StructField(n, t) for n, t in added])
     keep = ["_sa_text" if c == text_col else c for c in carried]
     return by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_cut(keep, to_arrow_schema(out), kept_as), out)
