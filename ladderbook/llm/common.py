@@ -80,9 +80,27 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what earlier tasks and each batch have needed is given back."""
+_KEPT: dict = {}
+
+
+def remembered(key, make):
+    """make(), which this worker keeps for its next tasks that ask for it: one thing at a time, until a task of another kind begins."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def fresh(key=None) -> None:
+    """A task begins that asks for remembered(key), or for nothing: what others have kept and needed is given back."""
+    if key not in _KEPT:
+        _KEPT.clear()
     give_back()
+
+
+def trimmed(batches: Iterable[pa.RecordBatch], key=None) -> Iterator[pa.RecordBatch]:
+    """The batches; what earlier tasks (but for remembered(key)) and each batch have needed is given back."""
+    fresh(key)
     for batch in batches:
         yield batch
         del batch
@@ -93,7 +111,7 @@ def released(run):
     """run, for mapInArrow, giving back what earlier tasks and this one have needed."""
 
     def task(batches):
-        give_back()
+        fresh()
         yield from run(batches)
         give_back()
 

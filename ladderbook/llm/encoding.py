@@ -17,19 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import ragged, remembered
 
 MOST_PIECES = 600_000  # of one worker's memory of pieces; it starts anew beyond
 JOINED = 64  # words that one call encodes
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This process's encoder for a vocabulary file, kept as long as tasks with remembered(path) follow."""
+    return remembered(path, lambda: Encoder(path))
 
 
 def version(path: str) -> str:

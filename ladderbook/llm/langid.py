@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, raw_bytes, slices, text_array, trimmed
+from .common import ragged, raw_bytes, remembered, slices, text_array, trimmed
 from .words import CELLS, Known, codes, cut, sample, sums
 
 ORDER = 4
@@ -234,19 +234,13 @@ def measure(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.n
     return counts[:, :-2], np.rint(counts[:, -2]), np.rint(counts[:, -1])
 
 
-_KNOWN: dict[int, Known] = {}
-
-
 def _predict(shared, mark: int, text_col: str | None):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
         model = shared.value
-        if mark not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[mark] = Known(functools.partial(learn, model))
-        known = _KNOWN[mark]
-        for batch in trimmed(batches):
+        known = remembered(mark, lambda: Known(functools.partial(learn, model)))
+        for batch in trimmed(batches, mark):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
             names, scores, rejected = [], [], []

@@ -58,7 +58,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def _cut(path: str, size: int, end_id: int):
     def run(batches):
         tool = encoder(path)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, path):
             texts = text_array(batch.column("text"))
             docs = batch.column("doc_id").to_pylist()
             _, offsets = raw_bytes(texts)

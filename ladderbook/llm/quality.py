@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, raw_bytes, slices, text_array, trimmed
+from .common import ragged, raw_bytes, remembered, slices, text_array, trimmed
 from .words import Known, codes, cut, sample, sums
 
 SLICE = 1 << 20  # bytes of text that are scored at a time
@@ -161,19 +161,14 @@ def scores(texts: pa.Array, model: Model, known: Known) -> np.ndarray:
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + model.bias)))
 
 
-_KNOWN: dict[int, Known] = {}
-
-
 def _score(shared, mark: int, text_col: str | None):
     def run(batches):
         model = shared.value
-        if mark not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[mark] = Known(functools.partial(_learn, model))
-        for batch in trimmed(batches):
+        known = remembered(mark, lambda: Known(functools.partial(_learn, model)))
+        for batch in trimmed(batches, mark):
             texts = text_array(batch.column("_text"))
             _, offsets = raw_bytes(texts)
-            found = [scores(texts.slice(i, j - i), model, _KNOWN[mark]) for i, j in slices(offsets, SLICE)]
+            found = [scores(texts.slice(i, j - i), model, known) for i, j in slices(offsets, SLICE)]
             names = {c: text_col if c == "_text" else c for c in batch.schema.names if c != "_text" or text_col}
             schema = pa.schema([*(batch.schema.field(c).with_name(n) for c, n in names.items()), ("score", pa.float64())])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(found) if found else [], pa.float64())], schema=schema)

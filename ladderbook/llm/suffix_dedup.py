@@ -29,15 +29,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ragged, raw_bytes, released, slices, text_array, total_bytes, trimmed, unpacked
+from .common import packed, ragged, raw_bytes, released, remembered, slices, text_array, total_bytes, trimmed, unpacked
 from .gsaca import suffix_order
 
 K = 32  # bytes of an anchor
-SLICE = 1 << 20  # bytes that are hashed at a time
+SLICE = 1 << 19  # bytes that are hashed at a time
 TOGETHER = 8 << 20  # bytes of which equal fragments become one entry
 GROUP_BYTES = 4 << 20  # text of a group of documents
 BUCKET_BYTES = 12 << 20  # text whose anchors meet in one task
@@ -50,7 +51,6 @@ HOT = 1 << 16  # fragments of one key beyond which each window has a key of its
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 ENTRY = {"anchor": "u8", "frag": "u8", "doc": "i8", "sum": "i8", "start": "i8", "lead": "u1", "wins": "u1", "group": "i4"}
 RANGE = {"doc": "i8", "sum": "i8", "group": "i4", "start": "i8", "end": "i8"}
@@ -62,16 +62,17 @@ PIECE = {"key": "u8", "doc": "i8", "sum": "i8", "start": "i8", "group": "i4", "w
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, for n positions at least."""
     size = 1 << max(20, (n - 1).bit_length())
-    if size not in _POWERS:
+    powers = remembered("powers", dict)
+    if size not in powers:
         out = []
         for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             a = np.ones(1, np.uint64)
             while len(a) < size:
                 a = np.concatenate([a, a * np.uint64(pow(base, len(a), 1 << 64))])
             out.append(a)
-        _POWERS.clear()
-        _POWERS[size] = out[0], out[1]
-    return _POWERS[size]
+        powers.clear()
+        powers[size] = out[0], out[1]
+    return powers[size]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -183,7 +184,7 @@ def _of_documents(body: np.ndarray, offsets: np.ndarray, length: int, k: int) ->
 
 def _anchors(length: int, k: int, buckets: int):
     def run(batches):
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, "powers"):
             ids, sums = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_sa_id", "_sa_sum"))
             groups = batch.column("_sa_group").to_numpy(zero_copy_only=False)
             order = np.lexsort((sums, ids))
@@ -191,10 +192,10 @@ def _anchors(length: int, k: int, buckets: int):
                 a, b = ids[order], sums[order]
                 order = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]  # repeated rows count once
             ids, sums, groups = ids[order], sums[order], groups[order]
-            body, offsets = raw_bytes(text_array(batch.column("_sa_text")).take(pa.array(order)))
-            del batch
-            for i, j in slices(offsets, TOGETHER):
-                found = _of_documents(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, k)
+            texts = text_array(batch.column("_sa_text"))
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)[order]
+            for i, j in slices(np.r_[0, np.cumsum(sizes)], TOGETHER):
+                found = _of_documents(*raw_bytes(texts.take(pa.array(order[i:j]))), length, k)
                 yield _batch(_entries(*found, ids[i:j], sums[i:j], groups[i:j], length, buckets))
 
     return run

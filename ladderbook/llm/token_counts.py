@@ -18,7 +18,7 @@ _COUNTED = pa.schema([("content", pa.binary()), ("n_tokens", pa.int64())])
 def _encode(path: str):
     def run(batches):
         tool = encoder(path)
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, path):
             texts = text_array(batch.column("text"))
             _, offsets = raw_bytes(texts)
             counts = [tool.counts(texts.slice(i, j - i)) for i, j in slices(offsets, SLICE)]
