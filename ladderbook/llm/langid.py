@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, raw_bytes, remembered, slices, text_array, trimmed
+from .common import give_back, ragged, raw_bytes, remembered, slices, text_array, trimmed
 from .words import CELLS, Known, codes, cut, sample, sums
 
 ORDER = 4
@@ -279,7 +279,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     chosen = chosen.withColumns({"place": F.row_number().over(ordered), "until": until}).filter((F.col("place") == 1) | (F.col("until") <= min(12_000_000, CHARACTERS // many)))
     for r in chosen.select("lang", "key", "text").collect():
         texts.setdefault(r["lang"], []).append((r["key"] is None, r["key"] or 0, r["text"]))
-    return train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})
+    model = train({k: [t for *_, t in sorted(v)] for k, v in texts.items()})
+    del texts
+    give_back()  # the driver goes on for long
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
