@@ -12,7 +12,9 @@ import uuid
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +45,10 @@ def messages(parsed: DataFrame, *others: str) -> DataFrame:
     return parsed.select(*KEY, F.col("conn_epoch").alias("epoch"), F.col("conn_seq").alias("seq"), F.col("stream_kind").alias("kind"), "valid", *ids, F.col("recv_tsec").alias("tsec"), F.col("recv_tnsec").alias("tnsec"), both.alias("levels"), *others)
 
 
-def snapshot_messages(parsed: DataFrame) -> DataFrame:
-    """parse_snapshots() rows as messages; they wait in order of snap_ord."""
+def snapshot_messages(parsed: DataFrame, *others: str) -> DataFrame:
+    """parse_snapshots() rows as messages, with others of their columns; they wait in order of snap_ord."""
     as_market = parsed.filter("valid").withColumns({"conn_epoch": F.lit(-1).cast("bigint"), "conn_seq": F.col("snap_ord").cast("bigint"), "stream_kind": F.lit("snapshot")})
-    return messages(as_market)
+    return messages(as_market, *others)
 
 
 def _levels(text: str) -> tuple[list, list]:
@@ -55,6 +57,8 @@ def _levels(text: str) -> tuple[list, list]:
 
 
 _NAMES = [f.split()[0] for f in _MESSAGE.split(", ")]
+_ARROW = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.large_string()}[t]) for n, t in (f.split() for f in _MESSAGE.split(", "))])
+SLICE = 4096  # messages that are taken apart, and book rows that are given out, at once
 _COUNTED = {("gap", ""): "gaps", ("reset", ""): "reconnects", ("seed", "snapshot"): "resyncs", ("overflow", ""): "buffer_overflows"}
 
 
@@ -62,6 +66,79 @@ def _message(row: tuple) -> tuple:
     return (int(row[0]), int(row[1]), row[2], bool(row[3]), *(int(x) for x in row[4:10]), row[10])
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """A book's messages of a micro-batch in order of connection and number; they are kept packed until it is their turn."""
+    table = pa.concat_tables([pa.Table.from_pandas(f[_NAMES], _ARROW, preserve_index=False) for f in frames])
+    order = np.lexsort((table["seq"].to_numpy(), table["epoch"].to_numpy()))
+    for at in range(0, len(order), SLICE):
+        rows = table.take(pa.array(order[at : at + SLICE]))
+        yield from map(_message, zip(*(rows[n].to_pylist() for n in _NAMES)))
+
+
+class Queue:
+    """Messages of a book that wait, oldest first, each under a number of its own in the state, which is read when it is its turn.
+
+    first, end: the numbers of the oldest one and of the next to come. So a micro-batch reads and writes what comes
+    and goes in it, however many wait. latest: the message that was taken last.
+    """
+
+    def __init__(self, first: int = 0, end: int = 0, read: Callable[[int], tuple] | None = None):
+        self.first, self.end, self.read = first, end, read
+        self.stored = (first, end)
+        self.here: dict[int, tuple] = {}
+        self.latest: tuple = ()
+
+    def __len__(self) -> int:
+        return self.end - self.first
+
+    def put(self, message: tuple) -> None:
+        self.here[self.end] = message
+        self.end += 1
+
+    def oldest(self) -> tuple:
+        if self.first not in self.here:
+            self.here[self.first] = _message(self.read(self.first))
+        return self.here[self.first]
+
+    def popleft(self) -> None:
+        self.latest = self.oldest()
+        del self.here[self.first]
+        self.first += 1
+
+    def clear(self) -> None:
+        self.here.clear()
+        self.first = self.end
+
+    def changes(self) -> tuple[range, dict[int, tuple]]:
+        """(numbers of stored messages that are gone, new ones by number); stored messages are as said from then on."""
+        first, end = self.stored
+        gone, new = range(first, min(self.first, end)), {n: m for n, m in self.here.items() if n >= end}
+        self.stored = (self.first, self.end)
+        return gone, new
+
+
+class Waiting(Queue):
+    """Diffs that wait, as a Session's buffer. coming: the message that is handled."""
+
+    coming: tuple = ()
+
+    def __getitem__(self, at: int) -> Diff:
+        """The first of them; others aren't asked for."""
+        m = self.oldest()
+        return Diff(m[0], self.first, m[4], m[5], m[6])
+
+    def append(self, diff: Diff) -> None:
+        self.put(self.coming)
+
+
+class Sidecar(Queue):
+    """Snapshots that wait, as a Session's."""
+
+    def popleft(self) -> tuple[int, int]:
+        super().popleft()
+        return self.latest[1], self.latest[7]
+
+
 class Side:
     """One side of a book in a micro-batch: bands of neighbouring prices, each read from the state when it is needed.
 
@@ -155,8 +232,9 @@ class BookProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.head = handle.getValueState("head", _HEAD)
-        self.waiting = handle.getListState("waiting", _MESSAGE)
-        self.snapshots = handle.getListState("snapshots", _MESSAGE)
+        self.waiting = handle.getMapState("waiting", "n bigint", _MESSAGE)
+        self.snapshots = handle.getMapState("snapshots", "n bigint", _MESSAGE)
+        self.queues = handle.getValueState("queues", "waiting bigint, waiting_end bigint, snapshots bigint, snapshots_end bigint")
         self.bands = handle.getMapState("bands", "side int, low bigint", "levels string")
         self.lows = handle.getValueState("lows", "bids string, asks string")
         self.counts = handle.getValueState("counts", ", ".join(f"{n} bigint" for n in COUNTS))
@@ -165,20 +243,31 @@ class BookProcessor(StatefulProcessor):
         pass
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        """A book as hand_over() gives it."""
+        """A book as hand_over() gives it; its rows come in pieces, in any order."""
         rows = initialState
-        state = json.loads(rows[rows["part"] == "head"]["head"].iloc[0])
-        self.head.update((-1 if state[0] is None else int(state[0]), *(bool(x) for x in state[1:4]), *(int(x) for x in state[4:])))
-        for part, put in (("waiting", self.waiting), ("snapshot", self.snapshots)):
-            own = rows[rows["part"] == part].sort_values("at")
-            if len(own):
-                put.put([_message(r) for r in own[_NAMES].itertuples(index=False, name=None)])
+        for text in rows[rows["part"] == "head"]["head"]:
+            state = json.loads(text)
+            self.head.update((-1 if state[0] is None else int(state[0]), *(bool(x) for x in state[1:4]), *(int(x) for x in state[4:])))
+        ends = list(self._ends())
+        for k, part, kept in ((1, "waiting", self.waiting), (3, "snapshot", self.snapshots)):
+            own = rows[rows["part"] == part]
+            for n, m in zip(own["at"].tolist(), own[_NAMES].itertuples(index=False, name=None)):
+                kept.updateValue((n,), _message(m))
+                ends[k] = max(ends[k], n + 1)
+        self.queues.update(tuple(ends))
         own = rows[rows["part"] == "level"]
-        book = (Side(-1), Side(1))
+        book = self._book()
         for side, price, qty in zip(own["side"], own["price"], own["qty"]):
             book[int(side)].put(int(price), int(qty))
         self._keep(book)
 
+    def _ends(self) -> tuple[int, ...]:
+        return tuple(self.queues.get()) if self.queues.exists() else (0, 0, 0, 0)
+
+    def _book(self) -> tuple[Side, Side]:
+        lows = [json.loads(x) for x in self.lows.get()] if self.lows.exists() else ([], [])
+        return tuple(Side(sign, lows[n], lambda low, n=n: json.loads(self.bands.getValue((n, low))[0])) for n, sign in enumerate((-1, 1)))
+
     def _keep(self, book: tuple[Side, Side]) -> None:
         for n, side in enumerate(book):
             gone, kept = side.changes()
@@ -196,27 +285,17 @@ class BookProcessor(StatefulProcessor):
             session.epoch = None if h[0] is None or h[0] < 0 else h[0]
             session.pending, session.ready, session.started = bool(h[1]), bool(h[2]), bool(h[3])
             session.last, session.segment, session.ordinal, session.number = h[4], h[5], h[6], h[7]
-        # a message is named by its place among those that wait and those of this batch
-        kept = dict(enumerate(tuple(m) for m in self.waiting.get())) if self.waiting.exists() else {}
-        session.buffer.extend(Diff(m[0], n, m[4], m[5], m[6]) for n, m in kept.items())
-        fresh = len(kept)
+        ends = self._ends()
+        session.buffer = waiting = Waiting(*ends[:2], lambda n: self.waiting.getValue((n,)))
+        session.snapshots = snapshots = Sidecar(*ends[2:], lambda n: self.snapshots.getValue((n,)))
         count = dict(zip(COUNTS, self.counts.get())) if self.counts.exists() else dict.fromkeys(COUNTS, 0)
-        stored = {m[1]: tuple(m) for m in self.snapshots.get()} if self.snapshots.exists() else {}
-        for m in stored.values():
-            session.add_snapshot(m[1], m[7])
-        lows = [json.loads(x) for x in self.lows.get()] if self.lows.exists() else ([], [])
-        book = tuple(Side(sign, lows[n], lambda low, n=n: json.loads(self.bands.getValue((n, low))[0])) for n, sign in enumerate((-1, 1)))
-        batch = pd.concat(list(rows))[_NAMES].sort_values(["epoch", "seq"], kind="stable")
+        book = self._book()
         out: list[tuple] = []
-        for row in batch.itertuples(index=False, name=None):
-            m = _message(row)
+        for n, m in enumerate(_in_order(rows)):
             if m[2] == "snapshot":
-                stored[m[1]] = m
-                session.add_snapshot(m[1], m[7])
+                snapshots.put(m)
                 continue
-            n, fresh = fresh, fresh + 1
-            if m[2] == "depth_diff":
-                kept[n] = m
+            waiting.coming = m
             count["msgs_total"] += 1
             count[m[2]] += 1
             count["parse_errors"] += not m[3]
@@ -224,14 +303,14 @@ class BookProcessor(StatefulProcessor):
                 if (counter := _COUNTED.get((a.action, a.source))) is not None:
                     count[counter] += 1
                 if a.action == "seed":
-                    source = stored.pop(a.seq) if a.source == "snapshot" else m
+                    source = snapshots.latest if a.source == "snapshot" else m
                     for side, levels in zip(book, _levels(source[10])):
                         side.clear()
                         for p, q in levels:
                             if q:
                                 side.put(p, q)
                 elif a.action == "apply":
-                    d = kept.pop(a.seq)
+                    d = waiting.latest if a.source == "buffer" else m
                     for side, levels in zip(book, _levels(d[10])):
                         for p, q in levels:
                             side.put(p, q)
@@ -244,14 +323,20 @@ class BookProcessor(StatefulProcessor):
                 elif a.action == "partial":
                     out.append((*key, m[8], m[9], a.number, "S", "N", *_first(_levels(m[10]))))
                 elif a.action in ("reset", "overflow"):
-                    kept = {k: v for k, v in kept.items() if k == n}
                     for side in book:
                         side.clear()
-            if len(kept) > 2 * len(session.buffer) + 1024:
-                kept = {d.seq: kept[d.seq] for d in session.buffer}
+                if len(out) == SLICE:
+                    count["ob_rows"] += len(out)
+                    yield pd.DataFrame(out, columns=[f.name for f in ROWS])
+                    out = []
         self.head.update((-1 if session.epoch is None else session.epoch, session.pending, session.ready, session.started, session.last, session.segment, session.ordinal, session.number))
-        self.waiting.put([kept[d.seq] for d in session.buffer]) if session.buffer else self.waiting.clear()
-        self.snapshots.put([stored[place] for place, _ in session.snapshots]) if session.snapshots else self.snapshots.clear()
+        for queue, kept in ((waiting, self.waiting), (snapshots, self.snapshots)):
+            gone, new = queue.changes()
+            for n in gone:
+                kept.removeKey((n,))
+            for n, m in new.items():
+                kept.updateValue((n,), m)
+        self.queues.update((waiting.first, waiting.end, snapshots.first, snapshots.end))
         self._keep(book)
         count["ob_rows"] += len(out)
         self.counts.update(tuple(int(count[c]) for c in COUNTS))
@@ -285,11 +370,12 @@ def hand_over(found: Rebuilt) -> DataFrame:
     heads = found.ends.select(*KEY, "state", "segment", "ordinal", "number").withColumn("_s", state)
     lean = F.array(*[F.col("_s")[k] for k in range(5)], *[F.col(c).cast("string") for c in ("segment", "ordinal", "number")])
     text = F.concat(F.lit("["), F.array_join(lean, ",", "null"), F.lit("]"))
-    none = {"head": "string", "side": "int", "price": "bigint", "qty": "bigint", "at": "bigint"} | dict(f.split() for f in _MESSAGE.split(", "))
+    types = {"head": "string", "side": "int", "price": "bigint", "qty": "bigint", "at": "bigint"} | dict(f.split() for f in _MESSAGE.split(", "))
+    empty = {"string": "", "boolean": False}  # no nulls: they would turn a column's numbers into doubles on their way
 
     def part(name: str, rows: DataFrame) -> DataFrame:
         have = set(rows.columns)
-        return rows.select(*KEY, F.lit(name).alias("part"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+        return rows.select(*KEY, F.lit(name).alias("part"), *[(F.col(c) if c in have else F.lit(empty.get(t, 0))).cast(t).alias(c) for c, t in types.items()])
 
     ready = heads.filter(F.col("_s")[2] == "true").select(*KEY, "segment")
     live = levels.state_at_end(found.writes.join(ready, [*KEY, "segment"], "left_semi"))
@@ -300,9 +386,9 @@ def hand_over(found: Rebuilt) -> DataFrame:
         return parts
     used = heads.select(*KEY, F.col("_s")[5].cast("bigint").alias("_used"))
     order = F.row_number().over(Window.partitionBy(*KEY).orderBy("snap_ord"))  # a book's snapshots, ids only
-    places = found.snapshots.filter("valid").select(*KEY, "snap_ord").withColumn("_n", order).join(used, KEY).filter("_n > _used").select(*KEY, "snap_ord")
-    left = snapshot_messages(found.snapshots.join(places, [*KEY, "snap_ord"], "left_semi"))
-    return parts.unionByName(part("snapshot", left.withColumn("at", F.col("seq"))))
+    places = found.snapshots.filter("valid").select(*KEY, "snap_ord").withColumn("_n", order).join(used, KEY).filter("_n > _used").select(*KEY, "snap_ord", (F.col("_n") - F.col("_used") - 1).alias("at"))
+    left = snapshot_messages(found.snapshots.join(places, [*KEY, "snap_ord"]), "at")
+    return parts.unionByName(part("snapshot", left))
 
 
 def health(spark: SparkSession, state: str) -> DataFrame:

@@ -21,6 +21,26 @@ def test_half_batch_half_stream(spark, venue, sidecar, cut):
     assert rows_of(found.book.unionByName(later)) == expected(cases, venue, sidecar, True, 65_536)
 
 
+@pytest.mark.parametrize("venue,cut", [("spot", 31), ("usdm", 60)])
+def test_books_are_handed_over_in_pieces(spark, venue, cut):
+    """A book of more rows than Spark gives a worker at once; some of its numbers are beyond what doubles hold."""
+    big = 24_000_000_001
+    cases = {f"S{i}": made(100 + i, venue, 100) for i in range(4)}
+    for rows, _ in cases.values():
+        for m in rows:
+            m |= {k: [(p, q * big) for p, q in m[k]] for k in ("b", "a") if k in m}
+    parsed, snapshots = tables(spark, cases, venue)
+    found = rebuild(parsed.filter(F.col("recv_tsec") < cut), snapshots, True)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        later, _ = run_books(spark, messages(parsed.filter(F.col("recv_tsec") >= cut)), True, hand_over(found), True)
+    finally:
+        spark.conf.set(limit, before)
+    assert rows_of(found.book.unionByName(later)) == expected(cases, venue, True, True, 65_536)
+
+
 @pytest.mark.parametrize("sidecar", [True, False])
 def test_health_equals_metrics(spark, sidecar):
     cases = {f"S{i}": made(90 + i, "spot", 100) for i in range(4)}
