@@ -30,6 +30,7 @@ from ..sources.storage import shared_dir, written
 
 KEY = ["capture_id", "venue", "symbol"]
 BAND = 128  # levels of a band of prices
+BATCH = 1 << 27  # bytes of messages, about, that a micro-batch of run_books() takes
 _MESSAGE = "epoch bigint, seq bigint, kind string, valid boolean, first_id bigint, final_id bigint, pu bigint, last_id bigint, tsec bigint, tnsec int, levels string"
 #: counters of a book, as Session's actions and the messages tell them
 COUNTS = ["msgs_total", "depth_diff", "depth5", "trade", "parse_errors", "gaps", "reconnects", "resyncs", "buffer_overflows", "depth5_mismatch", "ob_rows"]
@@ -397,19 +398,52 @@ def health(spark: SparkSession, state: str) -> DataFrame:
     return counts.select(*[F.col("key")[k].alias(k) for k in KEY], *[F.col("value")[c].alias(c) for c in COUNTS])
 
 
-def run_books(spark: SparkSession, rows: DataFrame, have_sidecar: bool, start: DataFrame | None = None, trades: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Messages landed as files and kept as live books until all are taken: (book rows, health())."""
+def _batches(rows: DataFrame, path: str, size: int) -> list[str]:
+    """rows written in parts of about `size` bytes: their folders, in an order in which each book's rows are in order.
+
+    Snapshots come before all messages; both are dealt out by connection and number, each evenly by itself, as one
+    may be much longer than the other.
+    """
+    late, weight = F.col("kind") != "snapshot", F.octet_length("levels") + 128
+    rows = written(rows, "messages")
+    sizes = {r["late"]: r["bytes"] for r in rows.groupBy(late.alias("late")).agg(F.sum(weight).alias("bytes")).collect()}
+    for k, n in sizes.items():
+        dealt = rows.filter(late == F.lit(k)).repartitionByRange(-(-n // size), "epoch", "seq", *KEY)
+        dealt.withColumn("batch", F.spark_partition_id()).write.partitionBy("batch").parquet(f"{path}/{int(k)}")
+    read = rows.sparkSession.read
+    return [f"{path}/{int(k)}/batch={r[0]}" for k in sorted(sizes) for r in sorted(read.parquet(f"{path}/{int(k)}").select("batch").distinct().collect())]
+
+
+def run_books(spark: SparkSession, rows: DataFrame, have_sidecar: bool, start: DataFrame | None = None, trades: bool = False, size: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """Messages landed as files and kept as live books until all are taken: (book rows, health()).
+
+    They land in parts of about `size` bytes, each as one file and when the one before it is done, so that a micro-batch
+    is bounded and the order of arrival is that of the messages.
+    """
     top = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{top}/in")
+    parts = [spark.read.schema(rows.schema).parquet(p) for p in _batches(rows, f"{top}/parts", size)]
+    if start is not None or not parts:  # books that are handed over come alone, as Spark holds the messages beside them back
+        parts.insert(0, rows.limit(0))
+
+    def land(part: DataFrame) -> None:
+        part.coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{top}/in")
+
+    land(parts[0])
     stream = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
     store, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(store, None)
     spark.conf.set(store, rocks)
+    query = None
     try:
-        query = book_stream(stream, have_sidecar, trades, start=start).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        query = book_stream(stream, have_sidecar, trades, start=start).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").start()
+        query.processAllAvailable()
+        for part in parts[1:]:
+            land(part)
+            query.processAllAvailable()
         return spark.read.parquet(f"{top}/out"), written(health(spark, f"{top}/state"), "health")
     finally:
+        if query is not None:
+            query.stop()
         spark.conf.set(store, before) if before else spark.conf.unset(store)
 
 

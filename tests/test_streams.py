@@ -54,6 +54,21 @@ def test_health_equals_metrics(spark, sidecar):
     assert sorted(map(tuple, health.select("symbol", *COUNTS).collect())) == sorted(map(tuple, want.select("symbol", *COUNTS).collect()))
 
 
+@pytest.mark.parametrize("venue,sidecar", [("spot", True), ("usdm", False)])
+def test_live_books_take_bounded_batches(spark, venue, sidecar):
+    """Messages are taken in parts, however many have landed, and in order."""
+    cases = {f"S{i}": made(110 + i, venue, 100) for i in range(3)}
+    parsed, snapshots = tables(spark, cases, venue)
+    rows = messages(parsed.orderBy(F.rand(1)))
+    if sidecar:
+        rows = rows.unionByName(snapshot_messages(snapshots))
+    book, health = run_books(spark, rows, sidecar, trades=True, size=20_000)
+    assert rows_of(book) == expected(cases, venue, sidecar, True, 65_536)
+    assert health.agg(F.sum("msgs_total")).first()[0] == 300
+    state = spark.read.text(f"{book.inputFiles()[0].rsplit('/', 2)[0]}/state/commits/[0-9]*")
+    assert len(state.inputFiles()) >= 4
+
+
 def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
     frames = spark.createDataFrame([('{"stream":"a@trade","data":{"E":1}}', 0, 0, 1, 5, 6), ('{"stream":"b@depth","data":{"u":"x"}}', 0, 0, 2, 5, 6), ("{", 0, 0, 3, 5, 6)], "frame string, shard_id int, conn_epoch bigint, conn_seq bigint, recv_tsec bigint, recv_tnsec int")
     listed = spark.createDataFrame([("B",)], "symbol string")
